@@ -1,0 +1 @@
+"""No operator of this library reads a stream: every input is a finished table."""
