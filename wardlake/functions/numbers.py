@@ -9,17 +9,19 @@ from pyspark.sql import functions as F
 def float_text(value: Column) -> Column:
     """The shortest text of a double: ``3.0``, ``0.0001``, ``12345678.5``, ``1e-05``, ``1e+16``.
 
-    Spark's cast switches to ``1.0E-4`` below 0.001 and ``1.0E7`` from ten million on;
-    here plain digits are kept from 0.0001 up to below 1e16.
+    Spark's cast switches to ``1.0E-4`` below 0.001 and to ``1.0E7`` from ten million on,
+    and on older Java may print more digits than needed. Here plain digits are
+    kept from 0.0001 up to below 1e16, and the shorter text wins if it reads back equal.
     """
     value = value.cast("double")
-    text = value.cast("string")
+    cast = value.cast("string")
+    text = F.when(F.length(cast) < 18, cast)
+    for pattern in ("%.13e", "%.14e", "%.15e", "%.16e"):
+        shorter = F.format_string(pattern, value)
+        text = text.when(shorter.try_cast("double") == value, F.upper(shorter))
+    text = text.otherwise(cast)
     size = F.abs(value)
-    plain = F.regexp_replace(text.try_cast("decimal(38,22)").cast("string"), r"0+$", "")
-    plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
-    big = F.regexp_replace(text.try_cast("decimal(38,12)").cast("string"), r"0+$", "")
-    big = F.when(big.endswith("."), F.concat(big, F.lit("0"))).otherwise(big)
-    mantissa = F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", "")
+    mantissa = _trim_zeros(F.substring_index(text, "E", 1), keep_one=False)
     power = F.substring_index(text, "E", -1).try_cast("int")
     exponent = F.concat(
         mantissa,
@@ -27,10 +29,17 @@ def float_text(value: Column) -> Column:
         F.when(F.abs(power) < 10, "0").otherwise(""),
         F.abs(power).cast("string"),
     )
+    fine = _trim_zeros(text.try_cast("decimal(38,22)").cast("string"))
+    coarse = _trim_zeros(text.try_cast("decimal(38,12)").cast("string"))
     return (
-        F.when((size < 1e-4) & (size > 0), exponent)
-        .when((size >= 1e16) & ~text.contains("Infinity"), exponent)
-        .when((size < 1e-3) & (size > 0), plain)
-        .when((size >= 1e7) & (size < 1e16), F.when(text.contains("E"), big).otherwise(text))
-        .otherwise(text)
+        F.when(~text.contains("E"), text)
+        .when((size < 1e-4) | (size >= 1e16), exponent)
+        .when(size < 1e7, fine)
+        .otherwise(coarse)
     )
+
+
+def _trim_zeros(text: Column, keep_one: bool = True) -> Column:
+    """Drops zeros at the end of the fraction; ``keep_one`` leaves ``3.0`` rather than ``3``."""
+    cut = F.regexp_replace(text, r"(\.\d*?)0+$", "$1")
+    return F.regexp_replace(cut, r"\.$", ".0" if keep_one else "")

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.clock import HOUR_US, MINUTE_US, micros
 from .joins import events_within
@@ -14,22 +13,9 @@ from .joins import events_within
 VITAL_COLUMNS = ["ed_temperature", "ed_heartrate", "ed_resprate", "ed_o2sat", "ed_sbp", "ed_dbp", "ed_pain"]
 
 
-def _summary(option: str, column: str, time: str) -> Column:
-    value = F.col(column)
-    # A missing reading has no order value, so first and last skip it. Readings of the
-    # same instant are ordered by value.
-    order = F.when(value.isNotNull(), F.struct(F.col(time), value))
-    summaries = {
-        "max": lambda: F.max(value),
-        "min": lambda: F.min(value),
-        "median": lambda: F.median(value),
-        "mean": lambda: F.avg(value),
-        "first": lambda: F.min_by(value, order),
-        "last": lambda: F.max_by(value, order),
-    }
-    if option not in summaries:
-        raise ValueError(f"{option} is not one of {', '.join(summaries)}")
-    return summaries[option]()
+SIMPLE_SUMMARIES = {"max": F.max, "min": F.min, "median": F.median, "mean": F.avg}
+#: Readings of the same instant count as one: the least for ``first``, the greatest for ``last``.
+ORDERED_SUMMARIES = {"first": (F.min, F.min_by), "last": (F.max, F.max_by)}
 
 
 def vital_summaries(
@@ -39,11 +25,41 @@ def vital_summaries(
     time: str = "charttime",
     columns: Sequence[str] = tuple(VITAL_COLUMNS),
 ) -> DataFrame:
-    """One row per stay with ``<column>_<option>``; all summaries combine on the map side."""
+    """One row per stay with ``<column>_<option>``; all summaries combine on the map side.
+
+    ``first`` and ``last`` skip missing values column by column. They are taken over one
+    row per instant, which keeps the buffers plain numbers and so the aggregation hashed.
+    """
+    unknown = set(options) - set(SIMPLE_SUMMARIES) - set(ORDERED_SUMMARIES)
+    if unknown:
+        raise ValueError(f"{sorted(unknown)} not among {[*SIMPLE_SUMMARIES, *ORDERED_SUMMARIES]}")
     present = [c for c in columns if c in readings.columns]
-    return readings.groupBy(*keys).agg(
-        *[_summary(o, c, time).alias(f"{c}_{o}") for o in options for c in present]
-    )
+    simple = [o for o in options if o in SIMPLE_SUMMARIES]
+    ordered = [o for o in options if o in ORDERED_SUMMARIES]
+    parts = []
+    if simple:
+        parts.append(
+            readings.groupBy(*keys).agg(
+                *[SIMPLE_SUMMARIES[o](c).alias(f"{c}_{o}") for o in simple for c in present]
+            )
+        )
+    if ordered:
+        timed = readings.select(*keys, micros(time).alias("_t"), *present)
+        instants = timed.groupBy(*keys, "_t").agg(
+            *[ORDERED_SUMMARIES[o][0](c).alias(f"{c}_{o}") for o in ordered for c in present]
+        )
+        at = lambda name: F.when(F.col(name).isNotNull(), F.col("_t"))
+        parts.append(
+            instants.groupBy(*keys).agg(
+                *[
+                    ORDERED_SUMMARIES[o][1](f"{c}_{o}", at(f"{c}_{o}")).alias(f"{c}_{o}")
+                    for o in ordered
+                    for c in present
+                ]
+            )
+        )
+    joined = parts[0] if len(parts) == 1 else parts[0].join(parts[1], list(keys))
+    return joined.select(*keys, *[f"{c}_{o}" for o in options for c in present])
 
 
 def merge_vital_summaries(visits: DataFrame, readings: DataFrame, options: Sequence[str]) -> DataFrame:

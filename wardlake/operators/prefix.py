@@ -90,12 +90,19 @@ def running_totals(
     return joined.select(*out)
 
 
-def rank_blocks(df: DataFrame, values: Sequence[str], blocks: int = 256) -> DataFrame:
+def block_count(df: DataFrame) -> int:
+    """Four blocks per shuffle partition, within limits a driver-side edge list can bear."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(max(4 * partitions, 64), 4096)
+
+
+def rank_blocks(df: DataFrame, values: Sequence[str], blocks: int | None = None) -> DataFrame:
     """Adds ``<value>_block``: the number of the evenly filled value range a row falls in.
 
     Range edges come from the distributed quantile sketch (one job, at most ``blocks``
     numbers per column reach the driver). NULL values get a NULL block.
     """
+    blocks = blocks or block_count(df)
     doubles = df.withColumns({v: F.col(v).cast("double") for v in values})
     probabilities = [i / blocks for i in range(1, blocks)]
     edges = doubles.approxQuantile(list(values), probabilities, 1.0 / (4 * blocks))
@@ -112,7 +119,7 @@ def rank_blocks(df: DataFrame, values: Sequence[str], blocks: int = 256) -> Data
     )
 
 
-def exact_medians(df: DataFrame, columns: Sequence[str], blocks: int = 256) -> DataFrame:
+def exact_medians(df: DataFrame, columns: Sequence[str], blocks: int | None = None) -> DataFrame:
     """Rows (``variable``, ``median``): the exact median of each column, missing values skipped.
 
     Equal values are counted before they are shuffled and no task holds a whole column.
