@@ -11,6 +11,7 @@ from ..functions import outcomes, scores, text, vitals
 from ..functions.panels import LAB_LABELS, PANELS, panel_feature_numbers
 from ..operators import events, joins, splits
 from ..operators.comorbidity_groups import CCI_FLAGS
+from ..session import materialize
 from .tasks import EXTRA_ECI, HISTORY, TRIAGE
 
 RECORD = [
@@ -26,8 +27,11 @@ def clean_cohort(master: DataFrame) -> DataFrame:
 
 
 def train_test(master: DataFrame, key: str = "stay_id", seed: int = 10, with_scores: bool = True) -> dict[str, DataFrame]:
-    """Clean, split 80/20, impute medians of the train rows, add the risk scores."""
-    parts = splits.split_parts(clean_cohort(master), key, test_seed=seed, valid_seed=None)
+    """Clean, split 80/20, impute medians of the train rows, add the risk scores.
+
+    The cleaned rows are written once: the medians and both parts read them.
+    """
+    parts = splits.split_parts(materialize(clean_cohort(master)), key, test_seed=seed, valid_seed=None)
     medians = splits.fit_medians(parts["train"], vitals.family_columns(parts["train"]))
     filled = {name: splits.fill_medians(part, medians) for name, part in parts.items()}
     if not with_scores:
@@ -55,7 +59,7 @@ def lab_master(
     """
     pivot = events.lab_pivot(single, items, labels)
     rows = joins.keep_right(outcomes.hospitalized(master), pivot, events.STAY_KEYS)
-    cleaned = clean_cohort(rows)
+    cleaned = materialize(clean_cohort(rows))
     columns = vitals.family_columns(cleaned, skip=("acuity",))
     if fit_on == "all":
         base = cleaned

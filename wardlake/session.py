@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: UTC keeps zone-less clinical clocks unchanged when they are turned into micros;
 #: AQE merges small shuffle partitions and splits skewed join partitions.
@@ -41,3 +42,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     return named
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Writes a frame once to the shared folder and reads it back as columnar files.
+
+    Used where several jobs need the same expensive result: the files outlive a lost
+    executor, end the lineage, and later reads still prune columns.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/wardlake-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
