@@ -27,47 +27,67 @@ def label_encoder(column: str, out: str | None = None) -> StringIndexer:
     )
 
 
-def classifier(kind: str, n_features: int, label: str = "label", seed: int = 0):
-    common = {"labelCol": label, "featuresCol": "features"}
+def classifier(kind: str, n_features: int, n_rows: int, seed: int = 0, **params):
+    """An unfitted classifier; ``params`` override its settings."""
+    common = {"labelCol": "label", "featuresCol": "features"}
     if kind == "logistic":
-        # A ridge penalty of 1 on the summed loss, as the usual defaults have it, is scaled by the fit below.
-        return LogisticRegression(**common, maxIter=100, regParam=0.0)
+        # A ridge penalty of strength 1 on the summed loss is 1/n on MLlib's mean loss.
+        settings = {"regParam": 1.0 / n_rows, "standardization": False, "maxIter": 100, "weightCol": "weight"}
+        return LogisticRegression(**{**common, **settings, **params})
     if kind == "forest":
-        return RandomForestClassifier(**common, numTrees=100, seed=seed)
+        return RandomForestClassifier(**{**common, "numTrees": 100, "maxDepth": 12, "seed": seed, **params})
     if kind == "boosting":
-        return GBTClassifier(**common, maxIter=20, seed=seed)
+        return GBTClassifier(**{**common, "maxIter": 100, "maxDepth": 3, "stepSize": 0.1, "seed": seed, **params})
     if kind == "perceptron":
-        return MultilayerPerceptronClassifier(**common, layers=[n_features, *HIDDEN_LAYERS, 2], maxIter=50, seed=seed)
+        layers = [n_features, *HIDDEN_LAYERS, 2]
+        return MultilayerPerceptronClassifier(**{**common, "layers": layers, "maxIter": 100, "seed": seed, **params})
     raise ValueError("kind must be 'logistic', 'forest', 'boosting' or 'perceptron'")
 
 
-def prepare(df: DataFrame, variables: Sequence[str], outcome: str, code_list: str | None = None) -> DataFrame:
-    """Numbers only: booleans to 0/1, the outcome as ``label``; rows keep their other columns."""
-    flags = {c: F.col(c).cast("double") for c in variables if df.schema[c].dataType.simpleString() != "string"}
-    return df.withColumns({**flags, "label": F.col(outcome).cast("double")})
+def is_text(df: DataFrame, column: str) -> bool:
+    return df.schema[column].dataType.simpleString() == "string"
 
 
-def feature_stages(df: DataFrame, variables: Sequence[str], code_list: str | None = None, min_df: float = 1.0) -> list:
-    """Encoders for text columns and code lists, then one feature vector."""
-    text = [c for c in variables if df.schema[c].dataType.simpleString() == "string"]
+def prepare(df: DataFrame, variables: Sequence[str], outcome: str) -> DataFrame:
+    """Numbers only: flags become 0/1 and the outcome ``label``; rows keep their other columns."""
+    numbers = {c: F.col(c).cast("double") for c in variables if not is_text(df, c)}
+    return df.withColumns({**numbers, "label": F.col(outcome).cast("double"), "weight": F.lit(1.0)})
+
+
+def feature_stages(df: DataFrame, variables: Sequence[str], code_list: str | None = None, vocabulary: int = 1 << 18) -> list:
+    """Encoders for text columns and code lists, then one feature vector.
+
+    The vocabulary of a code list is capped by ``vocabulary``; diagnosis codes stay far below it.
+    """
+    text = [c for c in variables if is_text(df, c)]
     stages = [label_encoder(c) for c in text]
     inputs = [f"{c}_idx" if c in text else c for c in variables]
     if code_list:
-        stages.append(CountVectorizer(inputCol=code_list, outputCol="_codes", binary=True, minDF=min_df))
+        stages.append(CountVectorizer(inputCol=code_list, outputCol="_codes", binary=True, vocabSize=vocabulary))
         inputs.append("_codes")
     return [*stages, VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="skip")]
 
 
 def fit_model(
-    train: DataFrame, variables: Sequence[str], outcome: str, kind: str, seed: int = 0, code_list: str | None = None
+    train: DataFrame,
+    variables: Sequence[str],
+    outcome: str,
+    kind: str,
+    seed: int = 0,
+    code_list: str | None = None,
+    positive_weight: float = 1.0,
+    **params,
 ) -> PipelineModel:
+    """Fits encoders and one classifier. ``code_list`` adds an array column as 0/1 code features."""
     prepared = prepare(train, variables, outcome)
-    stages = feature_stages(prepared, variables, code_list)
-    features = Pipeline(stages=stages).fit(prepared)
-    width = len(variables)
-    if kind == "perceptron" and code_list:
-        width = features.transform(prepared).select("features").first()["features"].size
-    model = classifier(kind, width, seed=seed).fit(features.transform(prepared))
+    prepared = prepared.withColumn("weight", F.when(F.col("label") == 1, positive_weight).otherwise(1.0))
+    features = Pipeline(stages=feature_stages(prepared, variables, code_list)).fit(prepared)
+    rows = features.transform(prepared).select("features", "label", "weight").persist()
+    try:
+        n_features = len(rows.first()["features"])
+        model = classifier(kind, n_features, rows.count(), seed, **params).fit(rows)
+    finally:
+        rows.unpersist()
     return PipelineModel(stages=[*features.stages, model])
 
 
@@ -77,13 +97,9 @@ def predict(model: PipelineModel, test: DataFrame, variables: Sequence[str], out
     return scored.select(*keep, F.col("label").cast("int").alias("label"), vector_to_array("probability")[1].alias("score"))
 
 
-def importance_ranking(model: PipelineModel, variables: Sequence[str]) -> DataFrame:
+def importance_ranking(model: PipelineModel, variables: Sequence[str], df: DataFrame) -> DataFrame:
     """Feature importances of a tree model, greatest first (one row per variable)."""
-    from pyspark.sql import SparkSession
-
     weights = model.stages[-1].featureImportances.toArray()
     rows = [(v, float(w)) for v, w in zip(variables, weights)]
-    spark = SparkSession.getActiveSession()
-    return spark.createDataFrame(rows, "variable string, importance double").orderBy(
-        F.desc("importance"), "variable"
-    )
+    ranked = df.sparkSession.createDataFrame(rows, "variable string, importance double")
+    return ranked.orderBy(F.desc("importance"), "variable")

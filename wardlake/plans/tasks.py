@@ -14,6 +14,7 @@ from ..operators.comorbidity_groups import CCI_FLAGS, ECI_FLAGS
 from ..operators.metrics import evaluate_scores
 from ..operators.models import fit_model, predict
 from ..operators.splits import class_ratio
+from ..session import materialize
 
 HISTORY = [f"n_{what}_{days}d" for what in ("ed", "hosp", "icu") for days in (30, 90, 365)]
 TRIAGE = [f"triage_{v}" for v in ("temperature", "heartrate", "resprate", "o2sat", "sbp", "dbp")]
@@ -62,11 +63,14 @@ def task_rows(df: DataFrame, task: Task, wrap_days: bool = True) -> DataFrame:
     return rows
 
 
-def run_task(train: DataFrame, test: DataFrame, task: Task, kind: str, key: str = "stay_id", replicates: int = 20, seed: int = 0):
-    """Fits one model on the train cohort and evaluates it on the test cohort."""
+def run_task(train: DataFrame, test: DataFrame, task: Task, kind: str, key: str = "stay_id", replicates: int = 20, seed: int = 0, **params):
+    """Fits one model on the train cohort and evaluates it on the test cohort.
+
+    The predictions are written once, since the metrics read them several times.
+    """
     train, test = task_rows(train, task), task_rows(test, task)
-    model = fit_model(train, task.variables, task.outcome, kind, seed)
-    scored = predict(model, test, task.variables, task.outcome, [key])
+    model = fit_model(train, task.variables, task.outcome, kind, seed, **params)
+    scored = materialize(predict(model, test, task.variables, task.outcome, [key]))
     result = evaluate_scores(scored, ["score"], "label", key, replicates, seed)
     return model, result.withColumn("group", F.lit(kind))
 
