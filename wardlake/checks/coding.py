@@ -9,6 +9,7 @@ from ..operators.comorbidity_groups import (
     CCI_FLAGS, ECI_FLAGS, FLAGS, custom_dimension, prefix_dimension, prefix_rows,
 )
 from ..plans.master import build_code_lists
+from ..session import local_table
 from .derived import MAP_10_TO_9, MAP_9_TO_10, Derived, _values, with_tables
 from .registry import query
 
@@ -101,14 +102,14 @@ _RECENT = f"""SELECT DISTINCT s.stay_id, x.icd_code, x.icd_version FROM edstays
     SELECT DISTINCT stay_id, icd_code FROM recent"""))
 def lookback_codes(d: Derived):
     dated = codes.dated_diagnoses(d.diagnoses, d.admissions)
-    return codes.lookback_codes(d.edstays, dated, "icd_code", "dischtime", DAYS)
+    return codes.lookback_codes(d.edstays, dated, "icd_code", "dischtime", DAYS).drop("subject_id")
 
 
 @query("lookback_codes_90_days", with_tables("edstays", "dated", extra={"recent": _RECENT.replace(f"{DAYS} DAY", "90 DAY")}, body="""
     SELECT DISTINCT stay_id, icd_code FROM recent"""))
 def lookback_codes_90_days(d: Derived):
     dated = codes.dated_diagnoses(d.diagnoses, d.admissions)
-    return codes.lookback_codes(d.edstays, dated, "icd_code", "dischtime", 90)
+    return codes.lookback_codes(d.edstays, dated, "icd_code", "dischtime", 90).drop("subject_id")
 
 
 def _flag_sql(scheme: str) -> str:
@@ -175,5 +176,5 @@ _ATC = [(1, "R", "level one r"), (1, "S", "level one s"), (2, "RED", "red"), (2,
       FROM (SELECT p_name, upper(p_name) AS u FROM part), (VALUES (1), (2), (3), (4), (5)) l(level))
     LEFT JOIN (VALUES {_values(_ATC)}) a(level, code, description) USING (level, code)""")
 def atc_levels(d: Derived):
-    atc = d.spark.createDataFrame(_ATC, "level int, code string, description string")
+    atc = local_table(d.spark, _ATC, "level int, code string, description string")
     return codes.atc_classes(d.table("part").withColumnRenamed("p_name", "atc_id"), atc)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.panels import LAB_LABELS, PANEL_GROUPS, PANELS
 from ..operators.policy import until_diagnosis
+from ..session import local_table
 from ..sources import tables as shapes
 
 #: Diagnosis codes that the lines of an order pick from: (code, version).
@@ -203,7 +204,8 @@ class Derived:
 
     @cached_property
     def lab_items_raw(self) -> DataFrame:
-        return self.spark.createDataFrame(
+        return local_table(
+            self.spark,
             lab_item_rows(),
             "itemid long, label string, fluid string, category string, ed_labs int, ed_most_common_labs int, "
             "frequency long, grouping string",
@@ -214,7 +216,7 @@ class Derived:
         return shapes.lab_dimension(self.lab_items_raw, PANEL_GROUPS)
 
     def code_map(self, pairs) -> DataFrame:
-        return self.spark.createDataFrame(pairs, "source_code string, target_code string")
+        return local_table(self.spark, pairs, "source_code string, target_code string")
 
     @property
     def tables(self) -> dict[str, DataFrame]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,18 +15,28 @@ def float_text(value: Column) -> Column:
     and on older Java may print more digits than needed. Here plain digits are
     kept from 0.0001 up to below 1e16, and the shorter text wins if it reads back equal.
     """
-    value = value.cast("double")
+    return let(value.cast("double"), lambda x: let(_digits(x), lambda text: _layout(x, text)))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once and written once into the expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _digits(value: Column) -> Column:
     cast = value.cast("string")
     text = F.when(F.length(cast) < 18, cast)
     for pattern in ("%.13e", "%.14e", "%.15e", "%.16e"):
         shorter = F.format_string(pattern, value)
         text = text.when(shorter.try_cast("double") == value, F.upper(shorter))
-    text = text.otherwise(cast)
+    return text.otherwise(cast)
+
+
+def _layout(value: Column, text: Column) -> Column:
     size = F.abs(value)
-    mantissa = _trim_zeros(F.substring_index(text, "E", 1), keep_one=False)
     power = F.substring_index(text, "E", -1).try_cast("int")
     exponent = F.concat(
-        mantissa,
+        _trim_zeros(F.substring_index(text, "E", 1), keep_one=False),
         F.when(power < 0, "e-").otherwise("e+"),
         F.when(F.abs(power) < 10, "0").otherwise(""),
         F.abs(power).cast("string"),

@@ -1,4 +1,8 @@
-"""Rows to text: ``name : value`` pairs, segments, and the growing text of an episode."""
+"""Rows to text: ``name : value`` pairs, segments, and the growing text of an episode.
+
+A row's values are put into an array of cells (name, number, text), and one lambda turns
+a cell into its pair, so the expression stays small however many columns there are.
+"""
 
 from __future__ import annotations
 
@@ -10,43 +14,47 @@ from pyspark.sql import types as T
 
 from .numbers import float_text
 
-NUMERIC = (T.DoubleType, T.FloatType, T.DecimalType)
+FRACTIONAL = (T.DoubleType, T.FloatType, T.DecimalType)
+
+
+def _cell(df: DataFrame, column: str, name: str, skip_empty: bool) -> Column:
+    """(name, number, text); with ``skip_empty`` a missing value or a zero has neither.
+
+    Any text counts, also an empty one, but not the word ``nan``.
+    """
+    kind, value = df.schema[column].dataType, F.col(f"`{column}`")
+    number, text = F.lit(None).cast("double"), F.lit(None).cast("string")
+    if isinstance(kind, FRACTIONAL):
+        number = value.cast("double")
+        if skip_empty:
+            number = F.when(number != 0, number)
+    elif isinstance(kind, T.StringType):
+        text = F.when(value != "nan", value) if skip_empty else value
+    elif isinstance(kind, T.BooleanType):
+        text = F.when(value, "True") if skip_empty else F.when(value, "True").when(~value, "False")
+    else:
+        text = F.when(value != 0, value.cast("string")) if skip_empty else value.cast("string")
+    return F.struct(F.lit(name).alias("name"), number.alias("number"), text.alias("text"))
 
 
-def value_text(df: DataFrame, column: str) -> Column:
-    kind = df.schema[column].dataType
-    value = F.col(f"`{column}`")
-    if isinstance(kind, NUMERIC):
-        return float_text(value)
-    if isinstance(kind, T.BooleanType):
-        return F.when(value, "True").when(~value, "False")
-    return value.cast("string")
+def _cells(df: DataFrame, columns: Sequence[str], names: Sequence[str] | None, skip_empty: bool) -> Column:
+    return F.array(*[_cell(df, c, n, skip_empty) for c, n in zip(columns, names or columns)])
 
 
-def _speaks(df: DataFrame, column: str) -> Column:
-    """Any text counts, also an empty one; a number counts unless it is missing or zero."""
-    value = F.col(f"`{column}`")
-    if isinstance(df.schema[column].dataType, T.StringType):
-        return value.isNotNull() & (value != "nan")
-    return F.coalesce(value.cast("double") != 0, F.lit(False))
+def _joined(cells: Column) -> Column:
+    shown = lambda c: F.coalesce(c["text"], float_text(c["number"]), F.lit("nan"))
+    return F.array_join(F.transform(cells, lambda c: F.concat(c["name"], F.lit(" : "), shown(c))), " | ")
 
 
 def record_text(df: DataFrame, columns: Sequence[str], names: Sequence[str] | None = None) -> Column:
     """The record segment: pairs joined by `` | ``; missing values and zeros are left out."""
-    pairs = [
-        F.when(_speaks(df, c), F.concat(F.lit(f"{n} : "), value_text(df, c)))
-        for c, n in zip(columns, names or columns)
-    ]
-    return F.array_join(F.array_compact(F.array(*pairs)), " | ")
+    cells = _cells(df, columns, names, skip_empty=True)
+    return _joined(F.filter(cells, lambda c: c["number"].isNotNull() | c["text"].isNotNull()))
 
 
 def full_text(df: DataFrame, columns: Sequence[str], names: Sequence[str] | None = None) -> Column:
     """A lab segment: every pair, zeros too; a missing value is written ``nan``."""
-    pairs = [
-        F.concat(F.lit(f"{n} : "), F.coalesce(value_text(df, c), F.lit("nan")))
-        for c, n in zip(columns, names or columns)
-    ]
-    return F.array_join(F.array(*pairs), " | ")
+    return _joined(_cells(df, columns, names, skip_empty=False))
 
 
 def flat_row_text(df: DataFrame, columns: Sequence[str], end_mark: str) -> Column:
@@ -55,8 +63,8 @@ def flat_row_text(df: DataFrame, columns: Sequence[str], end_mark: str) -> Colum
 
 def segments(df: DataFrame, record: Sequence[str], panels: Sequence[Sequence[str]], groups: str) -> Column:
     """Array of segments: the record, then each done panel in the row's own order."""
-    panel_texts = F.array(*[full_text(df, panel) for panel in panels])
-    done = F.transform(F.col(groups), lambda g: F.element_at(panel_texts, g.cast("int") + 1))
+    panel_cells = F.array(*[_cells(df, panel, None, skip_empty=False) for panel in panels])
+    done = F.transform(F.col(groups), lambda g: _joined(F.get(panel_cells, g.cast("int"))))
     return F.concat(F.array(record_text(df, record)), done)
 
 

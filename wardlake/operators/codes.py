@@ -137,6 +137,10 @@ def _slices(df: DataFrame, time_us: Column, width_us: int) -> DataFrame:
     )
 
 
+#: Flags that fit into one whole number, one bit each.
+FLAGS_PER_MASK = 62
+
+
 def lookback_flags(
     visits: DataFrame,
     events: DataFrame,
@@ -146,27 +150,34 @@ def lookback_flags(
     flag_column: str = "flag",
     subject: str = "subject_id",
     start: str = "intime",
+    key: str = "stay_id",
 ) -> DataFrame:
     """0/1 column per flag: an event with that flag has ``0 < start - time <= days``.
 
-    Events shrink to one row per (subject, time slice) on the map side before they meet
-    the visits, so no visit row is multiplied, however many events a subject has.
+    Events shrink to one row per (subject, time slice, flag) on the map side, so a visit
+    meets each flag once, however many events its subject has. Only visit keys and times
+    take part; the hits fold into bit masks that are joined to the visits at the end.
     """
-    width = days * DAY_US
+    numbers = F.create_map(*[F.lit(x) for i, f in enumerate(flags) for x in (f, i)])
     timed = events.filter(F.col(event_time).isNotNull()).select(
-        F.col(subject), F.col(flag_column).alias("_flag"), micros(event_time).alias("_time")
+        F.col(subject), numbers[F.col(flag_column)].alias("_flag"), F.col(event_time)
     )
-    sliced = _slices(timed, F.col("_time"), width)
-    marks = sliced.groupBy(subject, "_slice").agg(
-        *[F.min(F.when(F.col("_flag") == f, F.col("_cur"))).alias(f"_min_{f}") for f in flags],
-        *[F.max(F.when(F.col("_flag") == f, F.col("_prev"))).alias(f"_max_{f}") for f in flags],
+    hits = lookback_codes(
+        visits, timed.filter(F.col("_flag").isNotNull()), "_flag", event_time, days, subject, start, key
     )
-    at = micros(start)
-    joined = visits.withColumn("_slice", time_block(at, width)).join(marks, [subject, "_slice"], "left")
-    hit = lambda f: (F.col(f"_min_{f}") < at) | (F.col(f"_max_{f}") >= at - F.lit(width))
-    return joined.select(
-        *visits.columns, *[F.coalesce(hit(f), F.lit(False)).cast("int").alias(f) for f in flags]
+    chunks = range((len(flags) + FLAGS_PER_MASK - 1) // FLAGS_PER_MASK)
+    bit = lambda k: F.expr(f"shiftleft(1L, cast(_flag - {k * FLAGS_PER_MASK} as int))")
+    masks = hits.groupBy(subject, key).agg(
+        *[
+            F.bit_or(F.when(F.floor(F.col("_flag") / FLAGS_PER_MASK) == k, bit(k)).otherwise(F.lit(0).cast("long"))).alias(f"_mask_{k}")
+            for k in chunks
+        ]
+    )
+    joined = visits.join(masks, [subject, key], "left")
+    lit_up = lambda i: F.getbit(
+        F.coalesce(F.col(f"_mask_{i // FLAGS_PER_MASK}"), F.lit(0).cast("long")), F.lit(i % FLAGS_PER_MASK)
     )
+    return joined.select(*visits.columns, *[lit_up(i).cast("int").alias(f) for i, f in enumerate(flags)])
 
 
 def comorbidity_flags(
@@ -195,7 +206,7 @@ def lookback_codes(
     start: str = "intime",
     key: str = "stay_id",
 ) -> DataFrame:
-    """Rows (key, code), each once: the codes a visit's subject had within the look-back.
+    """Rows (subject, key, code), each once: the codes a visit's subject had within the look-back.
 
     A code's events in a time slice shrink to their first and last time before the join,
     so a visit meets each of its subject's codes once and not every event.
@@ -210,7 +221,7 @@ def lookback_codes(
     at = micros(start)
     asked = visits.select(F.col(key), F.col(subject), at.alias("_at"), time_block(at, width).alias("_slice"))
     recent = (F.col("_first") < F.col("_at")) | (F.col("_last") >= F.col("_at") - F.lit(width))
-    return asked.join(marks, [subject, "_slice"]).filter(recent).select(key, code)
+    return asked.join(marks, [subject, "_slice"]).filter(recent).select(subject, key, code)
 
 
 def code_index(codes: DataFrame, code: str) -> DataFrame:

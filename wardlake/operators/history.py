@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clock import DAY_US, HOUR_US, micros, time_block
-from .prefix import HOT_ROWS, pick_strategy, running_totals
+from .prefix import running_totals, strategy_for
 
 #: Time slice and key slice of the block strategy (one task scans one slice of a subject).
 BLOCK_US = DAY_US
@@ -27,7 +27,6 @@ def visit_history(
     past_events: Mapping[str, tuple[DataFrame, str, Sequence[int]]] | None = None,
     next_visit: int | None = None,
     strategy: str = "auto",
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Adds look-back counts and the next visit to every visit row.
 
@@ -45,12 +44,7 @@ def visit_history(
     (``strategy='auto'`` checks), the same numbers come from day-sized blocks instead.
     """
     request = _Request(subject, key, start, end, past_visits or {}, past_events or {}, next_visit)
-    chosen = pick_strategy(strategy, visits.select(subject), [subject], hot_rows)
-    if chosen == "window":
-        for events, _, _ in request.past_events.values():
-            chosen = pick_strategy(strategy, events.select(subject), [subject], hot_rows)
-            if chosen == "blocks":
-                break
+    chosen = strategy_for(strategy, subject, visits, *[e for e, _, _ in request.past_events.values()])
     return _by_window(visits, request) if chosen == "window" else _by_blocks(visits, request)
 
 

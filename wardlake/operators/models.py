@@ -16,6 +16,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import local_table
+
 # Hidden layer sizes of the perceptron.
 HIDDEN_LAYERS = [128, 64]
 
@@ -101,5 +103,5 @@ def importance_ranking(model: PipelineModel, variables: Sequence[str], df: DataF
     """Feature importances of a tree model, greatest first (one row per variable)."""
     weights = model.stages[-1].featureImportances.toArray()
     rows = [(v, float(w)) for v, w in zip(variables, weights)]
-    ranked = df.sparkSession.createDataFrame(rows, "variable string, importance double")
+    ranked = local_table(df.sparkSession, rows, "variable string, importance double")
     return ranked.orderBy(F.desc("importance"), "variable")

@@ -33,6 +33,12 @@ def pick_strategy(strategy: str, df: DataFrame, by: Sequence[str], limit: int =
     return "blocks" if has_hot_group(df, by, limit) else "window"
 
 
+def strategy_for(strategy: str, by: str, *tables: DataFrame) -> str:
+    """One strategy for several tables with the same key column: ``blocks`` if any needs it."""
+    picked = {pick_strategy(strategy, t.select(by), [by]) for t in tables}
+    return "blocks" if "blocks" in picked else "window"
+
+
 def running_totals(
     df: DataFrame,
     by: Sequence[str],

@@ -10,6 +10,7 @@ from ..functions import outcomes
 from ..functions.parse import complaint_flags
 from ..operators import codes, events, history, joins
 from ..operators.comorbidity_groups import prefix_dimension
+from ..operators.prefix import strategy_for
 from ..sources.sinks import write_code_index, write_table
 from ..sources.tables import FOLDERS, load
 
@@ -34,6 +35,9 @@ def build_master(
     Steps that share a key stand next to each other: first the subject's admission facts
     while rows are narrow, then the time line of the subject, then the per-stay tables.
     """
+    # Asked on the raw tables: one narrow scan each, before any join.
+    timed = [tables[name] for name in ("edstays", "admissions", "icustays")]
+    strategy = strategy_for(strategy, "subject_id", *timed)
     stays = joins.with_patients(tables["edstays"], tables["patients"])
     stays = joins.with_admissions(stays, tables["admissions"])
     stays = outcomes.add_age(stays)

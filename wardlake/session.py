@@ -5,8 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: UTC keeps zone-less clinical clocks unchanged when they are turned into micros;
 #: AQE merges small shuffle partitions and splits skewed join partitions.
@@ -53,3 +57,11 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/wardlake-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def local_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A small constant table of known size (so the planner can see how small it is)."""
+    fields = to_arrow_schema(T._parse_datatype_string(schema))
+    columns = list(zip(*rows)) if rows else [[] for _ in fields]
+    arrays = [pa.array(values, f.type) for values, f in zip(columns, fields)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=fields))
