@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from ..functions.clock import DAY_US, HOUR_US, micros, time_block
 from .prefix import running_totals, strategy_for
 
-#: Time slice and key slice of the block strategy (one task scans one slice of a subject).
+#: Time slice of the block strategy (one task scans one slice of a subject), and the number
+#: of key slices that visits of one subject and instant are cut into.
 BLOCK_US = DAY_US
-KEY_BITS = 20
+KEY_BLOCKS = 4096
 
 
 def visit_history(
@@ -212,13 +213,12 @@ def _ranks_at(points: DataFrame, rows: DataFrame, shifts: Mapping[str, int]) ->
 
 def _tie_ranks(rows: DataFrame) -> DataFrame:
     """Per visit key: how many visits of the same subject and instant have a smaller key."""
-    totals = running_totals(
-        rows.withColumn("n", F.lit(1)),
-        ["_subject", "_t"],
-        "_key",
-        ["n"],
-        F.shiftright("_key", KEY_BITS),
-    )
+    low, high = rows.agg(F.min("_key"), F.max("_key")).first()
+    low, high = low or 0, high or 0
+    width = (high - low) // KEY_BLOCKS + 1
+    # Halves keep the distance of far-apart 64-bit keys inside a long.
+    block = F.expr(f"(_key div 2 - {low // 2}L) div {max(width // 2, 1)}L")
+    totals = running_totals(rows.withColumn("n", F.lit(1)), ["_subject", "_t"], "_key", ["n"], block)
     return totals.select("_key", F.col("n_before").alias("_tie"))
 
 

@@ -63,6 +63,13 @@ def cumulative(scored: DataFrame, by: Sequence[str] = GROUP, weight: Column | No
     )
 
 
+def _turning() -> Column:
+    """The points that are not on a line with their neighbours: first, last, and every change of step."""
+    first = (F.col("tp_before") == 0) & (F.col("fp_before") == 0)
+    turns = (F.col("pos") != F.col("next_pos")) | (F.col("neg") != F.col("next_neg"))
+    return first | F.col("next_pos").isNull() | turns
+
+
 def roc_points(curve: DataFrame, by: Sequence[str] = GROUP, drop_collinear: bool = True) -> DataFrame:
     """ROC points with the start (0, 0) at an infinite threshold.
 
@@ -74,9 +81,7 @@ def roc_points(curve: DataFrame, by: Sequence[str] = GROUP, drop_collinear: bool
     )
     kept = curve
     if drop_collinear:
-        first = (F.col("tp_before") == 0) & (F.col("fp_before") == 0)
-        turns = (F.col("pos") != F.col("next_pos")) | (F.col("neg") != F.col("next_neg"))
-        kept = curve.filter(first | F.col("next_pos").isNull() | turns)
+        kept = curve.filter(_turning())
     points = kept.select(*by, F.col("score").alias("threshold"), "tp", "fp", "P", "N")
     return start.unionByName(points).select(
         *by,
@@ -112,27 +117,32 @@ def ranking_metrics(curve: DataFrame, by: Sequence[str] = GROUP, drop_collinear:
     group with one class only has NULL metrics.
     """
     tied = F.col("neg") * (F.col("tp_before") + F.col("pos") / 2)
-    areas = curve.groupBy(*by).agg(
+    fpr, tpr = F.try_divide("fp", "N"), F.try_divide("tp", "P")
+    distance = F.sqrt(fpr * fpr + (1 - tpr) * (1 - tpr))
+    point = F.struct(
+        distance.alias("distance"), (-F.col("score")).alias("down"), tpr.alias("tpr"), fpr.alias("fpr")
+    )
+    candidate = F.when(_turning(), point) if drop_collinear else point
+    # One pass: both areas and the best point come from the same scan of the curve.
+    folded = curve.groupBy(*by).agg(
         F.max("P").alias("P"),
         F.max("N").alias("N"),
         F.sum(tied).alias("_won"),
         F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("_ap"),
-    )
-    miss = 1 - F.col("tpr")
-    distance = F.sqrt(F.col("fpr") * F.col("fpr") + miss * miss)
-    best = roc_points(curve, by, drop_collinear).groupBy(*by).agg(
-        F.min_by(F.struct("tpr", "fpr", "threshold"), F.struct(distance, -F.col("threshold"))).alias("_best")
+        F.min(candidate).alias("_best"),
     )
     both = (F.col("P") > 0) & (F.col("N") > 0)
-    return areas.join(best, list(by)).select(
+    # The start of the curve has distance 1 and comes first, so it wins a tie.
+    started = F.col("_best.distance") >= 1
+    return folded.select(
         *by,
         F.col("P").alias("n_positive"),
         F.col("N").alias("n_negative"),
         F.when(both, F.try_divide(F.col("_won"), F.col("P").cast("double") * F.col("N"))).alias("auroc"),
         F.when(both, F.try_divide(F.col("_ap"), F.col("P"))).alias("ap"),
-        F.when(both, F.col("_best.tpr")).alias("sensitivity"),
-        F.when(both, 1 - F.col("_best.fpr")).alias("specificity"),
-        F.when(both, F.col("_best.threshold")).alias("threshold"),
+        F.when(both, F.when(started, 0.0).otherwise(F.col("_best.tpr"))).alias("sensitivity"),
+        F.when(both, F.when(started, 1.0).otherwise(1 - F.col("_best.fpr"))).alias("specificity"),
+        F.when(both, F.when(started, float("inf")).otherwise(0.0 - F.col("_best.down"))).alias("threshold"),
     )
 
 

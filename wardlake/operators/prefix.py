@@ -9,6 +9,8 @@ totals of the earlier blocks are carried in from a small per-block table.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -54,12 +56,15 @@ def running_totals(
     ``c_total`` (total of the group). ``with_next`` adds ``next_<order>`` and
     ``next_<c>``, taken from the next order value of the group.
 
-    ``block`` must never fall while ``order`` rises; how even the blocks are decides the
+    Rows without a group or a block are left out. ``block`` must never fall while ``order`` rises; how even the blocks are decides the
     task sizes, never the result.
     """
     block = F.col(block) if isinstance(block, str) else block
     keys = [*by, "_block"]
-    grid = df.groupBy(*by, block.alias("_block"), order).agg(*[F.sum(c).alias(c) for c in sums])
+    # Both uses of the grid get the same null filter, so the second one reuses its shuffle.
+    usable = reduce(and_, [F.col(c).isNotNull() for c in keys])
+    placed = df.select(*by, order, *sums, block.alias("_block")).filter(usable)
+    grid = placed.groupBy(*keys, order).agg(*[F.sum(c).alias(c) for c in sums])
 
     first_row = F.min(F.struct(order, *sums)).alias("_first")
     per_block = grid.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums], first_row)
