@@ -12,7 +12,7 @@ from ..plans import master, tasks, training
 from ..session import checkpoint_dir, materialize
 from ..sources.sinks import write_code_index, write_table
 from ..sources.tables import conform, parse_list_text, read_table
-from .clinical import _clamp_sql
+from .clinical import _clamp_sql, _score_sql
 from .coding import _HITS, _RECENT, _flag_sql
 from .derived import MAP_10_TO_9, Derived, with_tables
 from .readings import V, _summary_sql, small_master
@@ -92,11 +92,28 @@ def train_test_rows(d: Derived):
     return pick("train").unionByName(pick("test"))
 
 
-@query("scored_train_test")
+_SCORED_VITALS = ("temperature", "heartrate", "resprate", "o2sat", "sbp", "dbp")
+_SCORE_NAMES = ("CCI", "CART", "REMS", "NEWS", "NEWS2", "MEWS")
+_STT = {
+    "m": """SELECT e.stay_id, year(intime) - anchor_year + anchor_age AS age,
+        t.* EXCLUDE (subject_id, stay_id) REPLACE ((triage_temperature - 32) * (5.0::DOUBLE / 9) AS triage_temperature)
+      FROM edstays e LEFT JOIN patients USING (subject_id) LEFT JOIN triage t USING (subject_id, stay_id)""",
+    "clean": "SELECT stay_id, age, " + ", ".join(_clamp_sql(f"triage_{v}", v) for v in _SCORED_VITALS)
+    + """, ('0x' || substr(md5('10:' || stay_id), 1, 8))::BIGINT % 1000000 < 800000 AS train
+      FROM m WHERE age >= 18 AND triage_acuity IS NOT NULL""",
+    "filled": "SELECT stay_id, age, " + ", ".join(
+        f"coalesce(triage_{v}, (SELECT median(triage_{v}) FROM clean WHERE train)) AS triage_{v}" for v in _SCORED_VITALS
+    ) + ", " + ", ".join(f"(stay_id % {k + 3} = 0)::INTEGER AS {c}" for k, c in enumerate(CCI_FLAGS)) + " FROM clean",
+    "ready": "SELECT *, triage_sbp * 1 / 3 + triage_dbp * 2 / 3 AS triage_MAP FROM filled",
+}
+
+
+@query("scored_train_test", with_tables("edstays", "patients", "triage", extra=_STT, body="SELECT stay_id, " + ", ".join(
+    map(_score_sql, _SCORE_NAMES)) + " FROM ready"))
 def scored_train_test(d: Derived):
     flags = {c: F.expr(f"cast(stay_id % {k + 3} = 0 as int)") for k, c in enumerate(CCI_FLAGS)}
     parts = training.train_test(small_master(d).withColumns(flags))
-    names = ["stay_id", "score_CCI", "score_CART", "score_REMS", "score_NEWS", "score_NEWS2", "score_MEWS"]
+    names = ["stay_id", *[f"score_{n}" for n in _SCORE_NAMES]]
     return parts["train"].select(*names).unionByName(parts["test"].select(*names))
 
 

@@ -29,6 +29,7 @@ def vital_summaries(
 
     ``first`` and ``last`` skip missing values column by column. They are taken over one
     row per instant, which keeps the buffers plain numbers and so the aggregation hashed.
+    The exact ``median`` counts distinct values per stay, so repeated readings cost nothing.
     """
     unknown = set(options) - set(SIMPLE_SUMMARIES) - set(ORDERED_SUMMARIES)
     if unknown:
