@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlake.session import materialize
 
-__all__ = ["materialize", "read", "texts", "text_key", "fresh_name"]
+__all__ = ["materialize", "read", "texts", "text_key", "fresh_name", "let_workers_import"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,3 +32,15 @@ def fresh_name(wanted: str, taken: list[str]) -> str:
     while wanted.lower() in have:
         wanted = f"_{wanted}"
     return wanted
+
+
+def let_workers_import(spark: SparkSession) -> None:
+    """Adds this checkout to the workers' module path, for runs that start from it.
+
+    Where the package is installed or sent with ``--py-files`` this changes nothing.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join(p for p in [root, *paths] if p)
