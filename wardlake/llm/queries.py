@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, wavelet, winnowing
+from . import packing, substring_dedup, wavelet, winnowing
 from .tables import let_workers_import, materialize, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,27 @@ def winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         "contaminated",
     )
+
+
+#: Word windows of 50, each with the least document it starts in.
+SUBSTRING_SQL = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, md5_number(array_to_string(w[i:i + 49], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM words WHERE len(w) >= 50)),
+firsts AS (SELECT h, min(doc_id) AS first FROM windows GROUP BY h HAVING min(doc_id) < max(doc_id)),
+gone AS (
+  SELECT doc_id, list(DISTINCT p) AS places FROM (
+    SELECT doc_id, unnest(range(i, i + 50)) AS p FROM windows JOIN firsts USING (h) WHERE first < doc_id) GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, coalesce(len(places), 0) AS n_removed, CAST(len(w) AS BIGINT) AS n_words,
+         CASE WHEN places IS NULL THEN w
+              ELSE list_select(w, list_filter(range(1, len(w) + 1), lambda x: NOT list_contains(places, x))) END AS w
+  FROM words LEFT JOIN gone USING (doc_id))
+SELECT doc_id, n_words, CAST(n_removed AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(w, ' '), '')) AS kept_sha256 FROM kept
+"""
+
+
+@query("op4_countmin_substring_dedup", SUBSTRING_SQL)
+def countmin_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.without_repeats(read(spark, sf_dir, "documents"), window=50, text=False)
