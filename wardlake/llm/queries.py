@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, substring_dedup, wavelet, winnowing
+from . import packing, substring_dedup, suffix_dedup, wavelet, winnowing
 from .tables import let_workers_import, materialize, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,8 @@ SELECT doc_id, n_words, CAST(n_removed AS BIGINT) AS n_removed, sha256(coalesce(
 @query("op4_countmin_substring_dedup", SUBSTRING_SQL)
 def countmin_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.without_repeats(read(spark, sf_dir, "documents"), window=50, text=False)
+
+
+@query("op2_suffix_array_dedup")
+def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(read(spark, sf_dir, "documents"), length=200, keep="none", body=False)
