@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, substring_dedup, suffix_dedup, wavelet, winnowing
+from . import order_minhash, packing, substring_dedup, suffix_dedup, wavelet, winnowing
 from .tables import let_workers_import, materialize, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,9 @@ def countmin_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_suffix_array_dedup")
 def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.without_repeats(read(spark, sf_dir, "documents"), length=200, keep="none", body=False)
+
+
+@query("op6_order_minhash")
+def order_minhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = order_minhash.near_duplicates(read(spark, sf_dir, "documents"), similarity=0.8, size=5)
+    return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
