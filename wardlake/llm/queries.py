@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import order_minhash, packing, substring_dedup, suffix_dedup, wavelet, winnowing
+from . import language_id, order_minhash, packing, substring_dedup, suffix_dedup, wavelet, winnowing
 from .tables import let_workers_import, materialize, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,9 @@ def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_minhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = order_minhash.near_duplicates(read(spark, sf_dir, "documents"), similarity=0.8, size=5)
     return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
+@query("op5_language_id")
+def language_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id.identify(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
