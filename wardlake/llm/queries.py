@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, order_minhash, packing, substring_dedup, suffix_dedup, wavelet, winnowing
+from . import language_id, order_minhash, packing, sharding, substring_dedup, suffix_dedup, syncmers, wavelet, winnowing
 from .tables import let_workers_import, materialize, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,13 @@ def order_minhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def language_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language_id.identify(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op10_label_propagation_sharding")
+def label_propagation_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(sharding.sized(read(spark, sf_dir, "documents")), shards=40, law="rows")
+
+
+@query("op3_syncmer_fingerprints")
+def syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.compare_with_edits(read(spark, sf_dir, "documents"))
