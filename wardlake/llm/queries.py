@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, order_minhash, packing, sharding, substring_dedup, suffix_dedup, syncmers, wavelet, winnowing
+from . import language_id, order_minhash, packing, sharding, substring_dedup, suffix_dedup, syncmers, url_filters, wavelet, winnowing
 from .tables import let_workers_import, materialize, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,89 @@ def label_propagation_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_syncmer_fingerprints")
 def syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.compare_with_edits(read(spark, sf_dir, "documents"))
+
+
+def _number(text: str) -> str:
+    """SQL for a number fixed by a text: the first 32 bits of its MD5."""
+    return f"cast(conv(substring(md5({text}), 1, 8), 16, 10) as bigint)"
+
+
+def dated_entries(pages: DataFrame) -> DataFrame:
+    """Lists with a history for the hosts, domains and paths that ``pages`` has.
+
+    Entries are added, removed and added again on days of 2024 fixed by a hash of the value.
+    """
+    host = url_filters.host_of(F.col("url"))
+    first = F.concat(host, F.lit("/"), F.regexp_extract("url", r"^[^/]*//[^/?#]*/([^/?#]+)", 1))
+    values = (
+        pages.select(F.lit("host").alias("kind"), host.alias("value"))
+        .unionByName(pages.select(F.lit("domain").alias("kind"), F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1).alias("value")))
+        .unionByName(pages.filter(first.rlike("/.")).select(F.lit("prefix").alias("kind"), first.alias("value")))
+        .filter("value is not null and value <> ''")
+        .distinct()
+        .withColumn("n", F.expr(_number("concat(kind, ':', value)")))
+    )
+    added = F.expr("date_add(date'2024-01-01', cast(n % 300 as int))")
+    removed = F.date_add(added, (F.lit(20) + F.expr("n div 300") % 60).cast("int"))
+    block = values.filter("n % 3 <> 0").withColumn("list", F.concat(F.lit("block-"), "kind"))
+    allow = values.filter("kind = 'host' and n % 11 = 3").withColumn("list", F.lit("allow"))
+    both = block.unionByName(allow)
+    key = ["list", "kind", "value"]
+    return (
+        both.select(*key, F.lit("add").alias("action"), added.alias("day"))
+        .unionByName(both.filter("n % 4 < 3").select(*key, F.lit("remove").alias("action"), removed.alias("day")))
+        .unionByName(both.filter("n % 4 = 1").select(*key, F.lit("add").alias("action"), F.date_add(removed, 15).alias("day")))
+    )
+
+
+#: The same entries and captures, judged by a plain range join.
+URL_SQL = r"""
+WITH captures AS (
+  SELECT page_id, url, nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '.'), '') AS host,
+         DATE '2024-01-01' + CAST(CAST('0x' || substring(md5(CAST(page_id AS VARCHAR) || ':' || url), 1, 8) AS BIGINT) % 366 AS INTEGER) AS day,
+         list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/'), lambda x: x <> '') AS parts
+  FROM pages),
+kinds AS (
+  SELECT 'host' AS kind, host AS value FROM captures UNION
+  SELECT 'domain', regexp_extract(host, '([^.]+\.[^.]+)$', 1) FROM captures UNION
+  SELECT 'prefix', host || '/' || regexp_extract(url, '^[^/]*//[^/?#]*/([^/?#]+)', 1) FROM captures
+  WHERE regexp_extract(url, '^[^/]*//[^/?#]*/([^/?#]+)', 1) <> ''),
+numbered AS (
+  SELECT kind, value, CAST('0x' || substring(md5(kind || ':' || value), 1, 8) AS BIGINT) AS n
+  FROM kinds WHERE value IS NOT NULL AND value <> ''),
+listed AS (
+  SELECT 'block-' || kind AS list, * FROM numbered WHERE n % 3 <> 0 UNION ALL
+  SELECT 'allow', * FROM numbered WHERE kind = 'host' AND n % 11 = 3),
+dated AS (
+  SELECT *, DATE '2024-01-01' + CAST(n % 300 AS INTEGER) AS added,
+         DATE '2024-01-01' + CAST(n % 300 + 20 + (n // 300) % 60 AS INTEGER) AS removed FROM listed),
+spans AS (
+  SELECT list, kind, value, added AS f, CASE WHEN n % 4 < 3 THEN removed END AS t FROM dated UNION ALL
+  SELECT list, kind, value, removed + 15, NULL FROM dated WHERE n % 4 = 1),
+keys AS (
+  SELECT page_id, day, 'host' AS kind, host AS value FROM captures WHERE host IS NOT NULL UNION ALL
+  SELECT page_id, day, 'domain', array_to_string(labels[i:], '.') FROM (
+    SELECT page_id, day, string_split(host, '.') AS labels, unnest(range(1, len(string_split(host, '.')) + 1)) AS i FROM captures WHERE host IS NOT NULL) UNION ALL
+  SELECT page_id, day, 'prefix', host || '/' || array_to_string(parts[:i], '/') FROM (
+    SELECT page_id, day, host, parts, unnest(range(1, len(parts) + 1)) AS i FROM captures WHERE host IS NOT NULL)),
+hits AS (
+  SELECT page_id, string_agg(DISTINCT list, ',' ORDER BY list) AS active
+  FROM keys JOIN spans USING (kind, value) WHERE day >= f AND (t IS NULL OR day < t) GROUP BY page_id)
+SELECT page_id, host, strftime(day, '%Y-%m-%d') AS fetched, coalesce(active, '') AS active,
+       coalesce(active, '') <> '' AND NOT contains(coalesce(active, ''), 'allow') AS blocked
+FROM captures LEFT JOIN hits USING (page_id)
+"""
+
+
+@query("op7_temporal_url_filters", URL_SQL)
+def temporal_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    fetched = F.expr(f"date_add(date'2024-01-01', cast({_number("concat(page_id, ':', url)")} % 366 as int))")
+    found = url_filters.judge(pages.withColumn("day", fetched), dated_entries(pages))
+    return found.select(
+        "page_id",
+        "host",
+        F.date_format("day", "yyyy-MM-dd").alias("fetched"),
+        F.array_join("active", ",").alias("active"),
+        "blocked",
+    )

@@ -39,9 +39,11 @@ from .tables import materialize, text_key, texts
 #: Runs of one anchor that a task sorts together; anchors with more are split.
 GROUP_RUNS = 2_000
 #: Run bytes of all anchors that are sorted at once.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
+#: Bytes of one slice; a dozen 64-bit arrays of that length are held.
+SLICE = 1 << 20
 #: Bytes of a text looked at together; parts overlap by a string less one byte.
-PART_BYTES = 8 << 20
+PART_BYTES = 4 << 20
 LETTERS = randoms(256, 7)
 
 
@@ -149,7 +151,7 @@ def repeated_anchors(docs: DataFrame, length: int, k: int) -> Repeats:
 
     def count(frames):
         sketch = PartitionSketch(bits)
-        for _, data, offsets in batches(frames):
+        for _, data, offsets in batches(frames, "text", SLICE):
             for _, _, part, bounds in _parts(data, offsets, length):
                 _, grams, (_, _, _, at) = _anchored(part, bounds, length, k)
                 sketch.add(grams[at])
@@ -166,7 +168,7 @@ def candidate_runs(docs: DataFrame, repeats: Repeats, length: int, k: int) -> Da
     shared = docs.sparkSession.sparkContext.broadcast(repeats)
 
     def search(frames):
-        for rows, data, offsets in batches(frames):
+        for rows, data, offsets in batches(frames, "text", SLICE):
             for index, shift, part, bounds in _parts(data, offsets, length):
                 rolling, grams, (text, start, n, at) = _anchored(part, bounds, length, k)
                 keep = shared.value.may_repeat(grams[at])
