@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .arrow_rows import batches, binary_array, column
 from .countmin import PartitionSketch, Repeats, merge, sketch_bits
 from .hashing import Rolling, Words, anchor_runs
-from .tables import materialize, text_key, texts
+from .tables import fresh_name, materialize, text_key, texts
 
 #: Where rows with a null id stand in the order of documents.
 LAST = (1 << 63) - 1
@@ -185,17 +185,8 @@ def without_repeats(docs: DataFrame, window: int = 50, k: int = 16, text: bool =
 
     def cut(frames):
         for rows, data, offsets in batches(frames):
-            words = Words(data, offsets)
+            words, kept = _kept_words(data, offsets, column(rows, "spans"))
             first = words.first
-            gone = np.zeros(len(words) + 1, np.int64)
-            lists = column(rows, "spans")
-            row = np.repeat(np.arange(len(rows)), np.diff(np.asarray(_offsets(lists))))
-            flat = lists.flatten()
-            at = first[row] + flat.field("at").to_numpy() if len(flat) else np.zeros(0, np.int64)
-            end = first[row] + flat.field("end").to_numpy() if len(flat) else np.zeros(0, np.int64)
-            np.add.at(gone, at, 1)
-            np.add.at(gone, end, -1)
-            kept = np.cumsum(gone)[:-1] == 0
             raw = data.tobytes()
             ids, digests, bodies = column(rows, "doc_id"), [], []
             for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
@@ -215,6 +206,56 @@ def without_repeats(docs: DataFrame, window: int = 50, k: int = 16, text: bool =
     return joined.mapInArrow(cut, schema)
 
 
+def cut_documents(docs: DataFrame, window: int = 50, k: int = 16) -> DataFrame:
+    """``docs`` with repeated words removed; same columns, ``n_chars`` follows if there is one.
+
+    A text that loses nothing is left as it is, and one that loses all its words goes.
+    """
+    names = docs.columns
+    id_, key, spans = (fresh_name(n, names) for n in ("_id", "_key", "_spans"))
+    keyed = texts(docs).withColumn("text_key", text_key())
+    found = removed_spans(keyed, window, k).select(
+        F.col("doc_id").alias(id_), F.col("text_key").alias(key), F.col("spans").alias(spans)
+    )
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (text_key() == F.col(key))
+    joined = docs.join(found, same, "left")
+    whole = joined.filter(F.col(spans).isNull()).select(*names)
+    return whole.unionByName(_cut_rows(joined.filter(F.col(spans).isNotNull()), names, spans))
+
+
+def _cut_rows(rows: DataFrame, names: list[str], spans: str) -> DataFrame:
+    """The rows that lose words, with what is left of them as text."""
+
+    def cut(frames):
+        for part, data, offsets in batches(frames):
+            words, kept = _kept_words(data, offsets, column(part, spans))
+            raw = data.tobytes()
+            bodies = []
+            for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
+                own = a + np.flatnonzero(kept[a:b])
+                bodies.append(b" ".join([raw[s:e] for s, e in zip(words.start[own].tolist(), words.end[own].tolist())]))
+            text = pa.array(bodies, pa.binary()).cast(pa.string())
+            arrays = [text if n == "text" else column(part, n) for n in names]
+            yield pa.RecordBatch.from_arrays(arrays, names)
+
+    left = rows.select(*names, spans).mapInArrow(cut, rows.select(*names).schema).filter(F.col("text") != "")
+    if "n_chars" in names:
+        left = left.withColumn("n_chars", F.char_length("text").cast(rows.schema["n_chars"].dataType))
+    return left.select(*names)
+
+
+def _kept_words(data: np.ndarray, offsets: np.ndarray, lists: pa.Array) -> tuple[Words, np.ndarray]:
+    """The words of a slice and which of them no span covers."""
+    words = Words(data, offsets)
+    gone = np.zeros(len(words) + 1, np.int64)
+    row = np.repeat(np.arange(len(lists)), np.diff(_offsets(lists)))
+    flat = lists.flatten()
+    if len(flat):
+        np.add.at(gone, words.first[row] + flat.field("at").to_numpy(), 1)
+        np.add.at(gone, words.first[row] + flat.field("end").to_numpy(), -1)
+    return words, np.cumsum(gone)[:-1] == 0
+
+
 def _offsets(lists: pa.ListArray) -> np.ndarray:
     """Offsets into the flattened list, with nulls as empty lists."""
     sizes = np.asarray(lists.value_lengths().fill_null(0))
