@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .arrow_rows import batches, binary_array, column
 from .hashing import BASES, PLACE_BITS, Rolling, U, Words, mix, randoms
-from .tables import materialize, texts
+from .tables import fresh_name, materialize, texts
 
 BANDS = 12
 TAKE = 2
@@ -283,7 +283,8 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     found = near_duplicates(docs, **options)
     first = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
     # Two texts of a class may share its least id; the least digest stays.
-    first = first.groupBy(F.col("class_id").alias("_id")).agg(F.min("digest").alias("_digest"))
+    id_, own = fresh_name("_id", docs.columns), fresh_name("_digest", docs.columns)
+    first = first.groupBy(F.col("class_id").alias(id_)).agg(F.min("digest").alias(own))
     digest = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (digest == F.col("_digest"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (digest == F.col(own))
     return docs.join(first, same, "left_semi")

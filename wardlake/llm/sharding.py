@@ -100,7 +100,8 @@ def propagate(linked: DataFrame, room: DataFrame, rounds: int) -> DataFrame:
         askers = askers.join(own, ["link", "shard"]).filter("shard <> `to` and here <= there")
         # Keys too large for one shard's room are admitted document by document.
         large = F.col("all") * 4 > F.col("free")
-        step = F.pmod(F.xxhash64("link", F.lit(turn)) + F.when(large, F.xxhash64("row")).otherwise(F.lit(0)), F.lit(ADMISSIONS))
+        mixed = F.when(large, F.xxhash64("link", "row", F.lit(turn))).otherwise(F.xxhash64("link", F.lit(turn)))
+        step = F.pmod(mixed, F.lit(ADMISSIONS))
         askers = askers.withColumn("step", step.cast("int"))
         sums = askers.groupBy("to", "step").agg(F.count("*").alias("m"))
         total = F.sum("m").over(Window.partitionBy("to").orderBy("step"))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .arrow_rows import batches, column
 from .hashing import BASES, NOT_ALNUM, Rolling, U, Words, anchors
-from .tables import materialize, text_key, texts
+from .tables import fresh_name, materialize, text_key, texts
 
 #: log2 of the bits in the lookup table of a task: 1 MB, whatever the benchmark's size.
 TABLE_BITS = 23
@@ -242,6 +242,7 @@ def contamination(
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the contaminated rows; columns unchanged."""
     bad = contamination(docs, benchmark, **options).filter("contaminated")
-    bad = bad.select(F.col("doc_id").alias("_bad_id"), F.col("text_key").alias("_bad_key")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_bad_id")) & (text_key() == F.col("_bad_key"))
+    id_, key = fresh_name("_id", docs.columns), fresh_name("_key", docs.columns)
+    bad = bad.select(F.col("doc_id").alias(id_), F.col("text_key").alias(key)).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (text_key() == F.col(key))
     return docs.join(bad, same, "left_anti")
