@@ -10,11 +10,13 @@ texts less the matched. It never exceeds the shingles' Jaccard similarity and eq
 for edits that move nothing. An alignment of 0.8 or more stays within a band of a ninth
 of both lengths around the diagonal.
 
-Equal texts are one node. In a bucket every node is compared with a few hubs (the nodes
-that share most buckets), not with every other node. Nodes that fall into one class are
-not compared again; nodes that stay apart meet further hubs of their buckets in later
-rounds, taken from outside the bucket's largest class. After ``rounds`` rounds a bucket
-with at most ``rounds * hubs + 1`` classes was compared in full.
+Equal texts are one node. In a bucket every node is compared with three hubs, not with
+every other node: the one that shares most buckets with others, one drawn from all and
+one drawn from outside the bucket's largest class. Nodes that fall into one class are not
+compared again; nodes that stay apart meet further hubs in later rounds. Buckets of a few
+nodes are so compared in full. A link is lost only if its ends share no bucket (below one
+in 100,000 at a similarity of 0.8) or if neither is a hub of any bucket they share and no
+chain of other links joins them.
 
 Edge cases: a null text counts as empty; texts without words are classes of equal texts;
 a text of fewer than five words is one shingle; an empty table gives an empty table; rows
@@ -197,8 +199,7 @@ def near_duplicates(
     size: int = 5,
     bands: int = BANDS,
     take: int = TAKE,
-    rounds: int = 3,
-    hubs: int = 2,
+    rounds: int = 5,
 ) -> DataFrame:
     """Per document row ``doc_id, digest, class_id``: the least ``doc_id`` of its class.
 
@@ -223,33 +224,30 @@ def near_duplicates(
     bodies = keyed.join(chosen, "digest").groupBy("node").agg(F.first("text").alias("text"))
     sequences = materialize(_sequences(bodies, size))
 
-    labels, links, met = None, None, None
+    labels, links, met, used = None, None, None, None
     for turn in range(rounds):
         live = buckets.withColumn("label", F.col("node")) if labels is None else (
             buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         )
-        by_label = live.groupBy("band", "element", "label").agg(
-            F.count("*").alias("n"),
-            F.max(F.struct("company", F.xxhash64("node", F.lit(turn)).alias("tie"), "node")).alias("top"),
-        )
+        by_label = live.groupBy("band", "element", "label").agg(F.count("*").alias("n"))
         bucket = by_label.groupBy("band", "element").agg(
             F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("most")
         ).filter("labels > 1")
-        # Round 1 may take any node; later hubs come from outside the largest class.
-        outside = by_label.join(bucket, ["band", "element"])
-        if turn:
-            outside = outside.filter("label <> most.label")
-        if met is not None:
-            used = met.select(F.col("hub").alias("node")).distinct()
-            fresh = live.join(used, "node", "left_anti")
-            outside = fresh.join(bucket, ["band", "element"]).filter("label <> most.label").select(
-                "band", "element", F.struct("company", F.xxhash64("node", F.lit(turn)).alias("tie"), "node").alias("top")
-            )
-        tops = outside.groupBy("band", "element").agg(
-            F.max("top").alias("one"), F.max(F.struct(F.col("top.tie").alias("tie"), F.col("top.node").alias("node"))).alias("two")
+        fresh = live.join(bucket, ["band", "element"])
+        if used is not None:
+            fresh = fresh.join(used.withColumnRenamed("hub", "node"), ["band", "element", "node"], "left_anti")
+        # The node with most company, one drawn from all and one from outside the largest
+        # class; draws differ from bucket to bucket, so a node meets many hubs of its group.
+        draw = F.struct(F.xxhash64("node", "band", F.lit(turn)).alias("tie"), "node")
+        other = F.struct(F.xxhash64("node", "band", F.lit(-1 - turn)).alias("tie"), "node")
+        tops = fresh.groupBy("band", "element").agg(
+            F.max(F.struct("company", "node")).alias("one"),
+            F.max(F.when(F.col("label") != F.col("most.label"), draw)).alias("two"),
+            F.max(other).alias("three"),
         )
-        both = F.array_distinct(F.slice(F.array("one.node", "two.node"), 1, hubs))
-        tops = tops.select("band", "element", F.explode(both).alias("hub"))
+        chosen = F.array_distinct(F.array_compact(F.array("one.node", "two.node", "three.node")))
+        tops = materialize(tops.select("band", "element", F.explode(chosen).alias("hub")))
+        used = tops if used is None else used.unionByName(tops)
         hub_label = live.select(F.col("node").alias("hub"), F.col("label").alias("hub_label")).distinct()
         pairs = (
             live.join(tops, ["band", "element"])
