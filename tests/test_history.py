@@ -133,3 +133,46 @@ def test_strategy_switches_on_a_hot_group(spark):
     df = spark.range(100).select((F.col("id") % 2).alias("g"))
     assert pick_strategy("auto", df, ["g"], limit=50) == "window"
     assert pick_strategy("auto", df, ["g"], limit=49) == "blocks"
+
+
+def brute_history(rows, events, days, horizon):
+    """Counts and the next start by comparing all rows; what has no place has no history."""
+    placed = lambda r: r[0] is not None and r[2] is not None
+    order = lambda r: (r[2], r[1] is not None, r[1] if r[1] is not None else 0)
+    out = []
+    for r in rows:
+        n = sum(
+            placed(r) and placed(o) and o[0] == r[0] and order(o) < order(r) and (r[2] - o[2]).total_seconds() <= days * 86400
+            for o in rows
+        )
+        e = sum(
+            placed(r) and s == r[0] and t is not None and 0 < (r[2] - t).total_seconds() <= days * 86400 for s, t in events
+        )
+        later = [o[2] for o in rows if placed(r) and placed(o) and o[0] == r[0] and (o[2] > r[2] or (o[2] == r[2] and order(o) > order(r)))]
+        after = min(later, default=None)
+        soon = after is not None and r[3] is not None and (after - r[3]).total_seconds() < horizon * 86400
+        out.append((r[0], r[1], n, e, after, soon))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("strategy", ["window", "blocks"])
+@pytest.mark.parametrize("text_keys", [False, True])
+def test_missing_repeated_and_text_keys(spark, strategy, text_keys):
+    from datetime import datetime, timedelta
+
+    start = datetime(2024, 1, 1)
+    at = lambda h: None if h is None else start + timedelta(hours=h)
+    base = [
+        (1, 10, 0), (1, 11, 30), (1, 11, 30), (1, 12, 30), (1, 9, 200), (1, 13, None), (None, 14, 5), (None, 15, 5),
+        (2, 16, 7), (2, 16, 7), (2, 17, 7), (2, 18, 7 + 24 * 30), (3, 19, 1),
+    ]
+    rows = [(s, f"k{k:03d}" if text_keys else k, at(t), at(None if t is None else t + 2)) for s, k, t in base]
+    events = [(1, at(0)), (1, at(29)), (1, at(29)), (1, None), (None, at(3)), (2, at(7)), (2, at(6))]
+    kind = "string" if text_keys else "long"
+    visits = spark.createDataFrame(rows, f"subject_id long, stay_id {kind}, intime timestamp_ntz, outtime timestamp_ntz")
+    seen = spark.createDataFrame(events, "subject_id long, at timestamp_ntz")
+    got = history.visit_history(
+        visits, past_visits={"n_ed_2d": 2}, past_events={"seen": (seen, "at", [2])}, next_visit=3, strategy=strategy
+    )
+    found = [(r.subject_id, r.stay_id, r.n_ed_2d, r.n_seen_2d, r.next_ed_visit_time, r.outcome_ed_revisit_3d) for r in got.collect()]
+    assert sorted(found, key=repr) == brute_history(rows, events, 2, 3)

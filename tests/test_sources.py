@@ -110,3 +110,31 @@ def test_bad_cells_become_null(spark):
     raw = spark.createDataFrame([("1", "x", "oops")], "subject_id string, hadm_id string, intime string")
     r = tables.conform(raw, "icustays").first()
     assert (r["subject_id"], r["hadm_id"], r["intime"]) == (1, None, None)
+
+
+def test_csv_cells_as_other_tools_write_them(spark, tmp_path):
+    from wardlake.sources import tables
+
+    folder = tmp_path / "ed"
+    folder.mkdir()
+    (folder / "edstays.csv").write_text(
+        "race,subject_id,hadm_id,stay_id,intime,outtime,gender\n"
+        "A,1,2345.0,10,2024-01-01 10:00:00,2024-01-01 12:00:00,F\n"
+        "B,2,NaN,11,2024-01-02 10:00:00,bad,M\n"
+        "C,3,,12,2024-01-03 10:00:00,2024-01-03 12:00:00,M\n"
+        "D,4,23.5,13,2024-01-03 10:00:00,2024-01-03 12:00:00,M\n"
+    )
+    (folder / "triage.csv").write_text(
+        "subject_id,stay_id,temperature,heartrate,resprate,o2sat,sbp,dbp,pain,acuity,chiefcomplaint\n"
+        '1,10,98.6,nan,16,99,120,80,3,2.0,"chest pain,\n""since"" noon"\n'
+        "2,11,x,80,NaN,99,120,80,unable,3,fall\n"
+    )
+    stays = {r.stay_id: r for r in tables.load(spark, str(tmp_path), "edstays").collect()}
+    assert [stays[i].hadm_id for i in (10, 11, 12, 13)] == [2345, None, None, None]
+    assert stays[11].outtime is None and stays[10].outtime is not None
+    triage = {r.stay_id: r for r in tables.load(spark, str(tmp_path), "triage").collect()}
+    assert len(triage) == 2 and triage[10].chiefcomplaint == 'chest pain,\n"since" noon'
+    assert triage[10].triage_heartrate is None and triage[11].triage_resprate is None and triage[11].triage_temperature is None
+    raw = spark.read.option("header", True).csv(str(folder / "edstays.csv"))
+    bad = {r["column"]: r.rejected for r in tables.rejected_cells(raw, "edstays").collect()}
+    assert bad["hadm_id"] == 1 and bad["subject_id"] == 0

@@ -157,18 +157,12 @@ def impute_medians(d: Derived):
 _AGE_SQL = "(year(intime) - anchor_year + anchor_age)"
 
 
-def _band_sql(column: str, bands: str) -> str:
-    """The same band text read on its own: every band becomes one BETWEEN-like test."""
+def _band_sql(column: str, bands) -> str:
     cases = []
-    for band in bands.split():
-        bounds, points = band.rsplit(":", 1)
-        if ".." in bounds:
-            low, high = bounds.split("..")
-            left = f"{column} > {low[:-1]}" if low.endswith("<") else f"{column} >= {low}"
-            right = f"{column} < {high[1:]}" if high.startswith("<") else f"{column} <= {high}"
-            cases.append(f"WHEN {left} AND {right} THEN {points}")
-        else:
-            cases.append(f"WHEN {column} {bounds} THEN {points}")
+    for low, low_in, high, high_in, points in bands:
+        tests = [] if low is None else [f"{column} {'>=' if low_in else '>'} {low}"]
+        tests += [] if high is None else [f"{column} {'<=' if high_in else '<'} {high}"]
+        cases.append(f"WHEN {' AND '.join(tests)} THEN {points}")
     return f"CASE {' '.join(cases)} ELSE 0 END"
 
 

@@ -3,37 +3,127 @@
 from __future__ import annotations
 
 import operator
-import re
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed values. A band is "bounds:points"; "45..54" includes both ends, "35<..36" leaves
-# out the low end and "35..<38.5" the high end. A value in no band (a gap between whole
-# numbers, or a missing value) has 0 points.
-HEART_NEWS = "<=40:3 41..50:1 51..90:0 91..110:1 111..130:2 >130:3"
-RESP_NEWS = "<=8:3 9..11:1 12..20:0 21..24:2 >=25:3"
-TEMP_NEWS = "<=35:3 35<..36:1 36<..38:0 38<..39:1 >39:2"
-SBP_NEWS = "<=90:3 91..100:2 101..110:1 111..219:0 >219:3"
+# Fixed values. A band is (low, low included, high, high included, points); None is open.
+# A value in no band (a gap between whole numbers, or a missing value) has 0 points.
+HEART_NEWS = [
+    (None, False, 40, True, 3),
+    (41, True, 50, True, 1),
+    (51, True, 90, True, 0),
+    (91, True, 110, True, 1),
+    (111, True, 130, True, 2),
+    (130, False, None, False, 3),
+]
+RESP_NEWS = [
+    (None, False, 8, True, 3),
+    (9, True, 11, True, 1),
+    (12, True, 20, True, 0),
+    (21, True, 24, True, 2),
+    (25, True, None, False, 3),
+]
+TEMP_NEWS = [
+    (None, False, 35, True, 3),
+    (35, False, 36, True, 1),
+    (36, False, 38, True, 0),
+    (38, False, 39, True, 1),
+    (39, False, None, False, 2),
+]
+SBP_NEWS = [
+    (None, False, 90, True, 3),
+    (91, True, 100, True, 2),
+    (101, True, 110, True, 1),
+    (111, True, 219, True, 0),
+    (219, False, None, False, 3),
+]
 BANDS = {
-    "CCI": {"age": "<50:0 50..59:1 60..69:2 70..79:3 >=80:4"},
+    "CCI": {
+        "age": [
+            (None, False, 50, False, 0),
+            (50, True, 59, True, 1),
+            (60, True, 69, True, 2),
+            (70, True, 79, True, 3),
+            (80, True, None, False, 4),
+        ],
+    },
     "REMS": {
-        "age": "<45:0 45..54:2 55..64:3 65..74:5 >74:6",
-        "triage_MAP": ">159:4 130..159:3 110..129:2 70..109:0 50..69:2 <49:4",
-        "triage_heartrate": ">179:4 140..179:3 110..139:2 70..109:0 55..69:2 40..54:3 <40:4",
-        "triage_resprate": ">49:4 35..49:3 25..34:1 12..24:0 10..11:1 6..9:2 <6:4",
-        "triage_o2sat": "<75:4 75..85:3 86..89:1 >89:0",
+        "age": [
+            (None, False, 45, False, 0),
+            (45, True, 54, True, 2),
+            (55, True, 64, True, 3),
+            (65, True, 74, True, 5),
+            (74, False, None, False, 6),
+        ],
+        "triage_MAP": [
+            (159, False, None, False, 4),
+            (130, True, 159, True, 3),
+            (110, True, 129, True, 2),
+            (70, True, 109, True, 0),
+            (50, True, 69, True, 2),
+            (None, False, 49, False, 4),
+        ],
+        "triage_heartrate": [
+            (179, False, None, False, 4),
+            (140, True, 179, True, 3),
+            (110, True, 139, True, 2),
+            (70, True, 109, True, 0),
+            (55, True, 69, True, 2),
+            (40, True, 54, True, 3),
+            (None, False, 40, False, 4),
+        ],
+        "triage_resprate": [
+            (49, False, None, False, 4),
+            (35, True, 49, True, 3),
+            (25, True, 34, True, 1),
+            (12, True, 24, True, 0),
+            (10, True, 11, True, 1),
+            (6, True, 9, True, 2),
+            (None, False, 6, False, 4),
+        ],
+        "triage_o2sat": [
+            (None, False, 75, False, 4),
+            (75, True, 85, True, 3),
+            (86, True, 89, True, 1),
+            (89, False, None, False, 0),
+        ],
     },
     "CART": {
-        "age": "<55:0 55..69:4 >=70:9",
-        "triage_resprate": "<21:0 21..23:8 24..25:12 26..29:15 >=30:22",
-        "triage_heartrate": "<110:0 110..139:4 >=140:13",
-        "triage_dbp": ">49:0 40..49:4 35..39:6 <35:13",
+        "age": [
+            (None, False, 55, False, 0),
+            (55, True, 69, True, 4),
+            (70, True, None, False, 9),
+        ],
+        "triage_resprate": [
+            (None, False, 21, False, 0),
+            (21, True, 23, True, 8),
+            (24, True, 25, True, 12),
+            (26, True, 29, True, 15),
+            (30, True, None, False, 22),
+        ],
+        "triage_heartrate": [
+            (None, False, 110, False, 0),
+            (110, True, 139, True, 4),
+            (140, True, None, False, 13),
+        ],
+        "triage_dbp": [
+            (49, False, None, False, 0),
+            (40, True, 49, True, 4),
+            (35, True, 39, True, 6),
+            (None, False, 35, False, 13),
+        ],
     },
     "NEWS": {
         "triage_resprate": RESP_NEWS,
-        "triage_o2sat": "<=91:3 92..93:2 94..95:1 >=96:0",
+        "triage_o2sat": [
+            (None, False, 91, True, 3),
+            (92, True, 93, True, 2),
+            (94, True, 95, True, 1),
+            (96, True, None, False, 0),
+        ],
         "triage_temperature": TEMP_NEWS,
         "triage_sbp": SBP_NEWS,
         "triage_heartrate": HEART_NEWS,
@@ -45,32 +135,131 @@ BANDS = {
         "triage_heartrate": HEART_NEWS,
     },
     "MEWS": {
-        "triage_sbp": "<=70:3 71..80:2 81..100:1 101..199:0 >199:2",
-        "triage_heartrate": "<=40:2 41..50:1 51..100:0 101..110:1 111..129:2 >=130:3",
-        "triage_resprate": "<9:2 9..14:0 15..20:1 21..29:2 >=30:3",
-        "triage_temperature": "<35:2 35..<38.5:0 >=38.5:2",
+        "triage_sbp": [
+            (None, False, 70, True, 3),
+            (71, True, 80, True, 2),
+            (81, True, 100, True, 1),
+            (101, True, 199, True, 0),
+            (199, False, None, False, 2),
+        ],
+        "triage_heartrate": [
+            (None, False, 40, True, 2),
+            (41, True, 50, True, 1),
+            (51, True, 100, True, 0),
+            (101, True, 110, True, 1),
+            (111, True, 129, True, 2),
+            (130, True, None, False, 3),
+        ],
+        "triage_resprate": [
+            (None, False, 9, False, 2),
+            (9, True, 14, True, 0),
+            (15, True, 20, True, 1),
+            (21, True, 29, True, 2),
+            (30, True, None, False, 3),
+        ],
+        "triage_temperature": [
+            (None, False, 35, False, 2),
+            (35, True, 38.5, False, 0),
+            (38.5, True, None, False, 2),
+        ],
     },
     "SERP2d": {
-        "age": "<30:0 30..49:9 50..79:13 >=80:17",
-        "triage_heartrate": "<60:3 60..69:0 70..94:3 95..109:6 >=110:10",
-        "triage_resprate": "<16:11 16..19:0 >=20:7",
-        "triage_sbp": "<100:10 100..114:4 115..149:1 >=150:0",
-        "triage_dbp": "<50:5 50..94:0 >=95:1",
-        "triage_o2sat": "<90:7 90..94:5 >=95:0",
+        "age": [
+            (None, False, 30, False, 0),
+            (30, True, 49, True, 9),
+            (50, True, 79, True, 13),
+            (80, True, None, False, 17),
+        ],
+        "triage_heartrate": [
+            (None, False, 60, False, 3),
+            (60, True, 69, True, 0),
+            (70, True, 94, True, 3),
+            (95, True, 109, True, 6),
+            (110, True, None, False, 10),
+        ],
+        "triage_resprate": [
+            (None, False, 16, False, 11),
+            (16, True, 19, True, 0),
+            (20, True, None, False, 7),
+        ],
+        "triage_sbp": [
+            (None, False, 100, False, 10),
+            (100, True, 114, True, 4),
+            (115, True, 149, True, 1),
+            (150, True, None, False, 0),
+        ],
+        "triage_dbp": [
+            (None, False, 50, False, 5),
+            (50, True, 94, True, 0),
+            (95, True, None, False, 1),
+        ],
+        "triage_o2sat": [
+            (None, False, 90, False, 7),
+            (90, True, 94, True, 5),
+            (95, True, None, False, 0),
+        ],
     },
     "SERP7d": {
-        "age": "<30:0 30..49:10 50..79:17 >=80:21",
-        "triage_heartrate": "<60:2 60..69:0 70..94:4 95..109:8 >=110:12",
-        "triage_resprate": "<16:10 16..19:0 >=20:6",
-        "triage_sbp": "<100:12 100..114:6 115..149:1 >=150:0",
-        "triage_dbp": "<50:4 50..94:0 >=95:2",
+        "age": [
+            (None, False, 30, False, 0),
+            (30, True, 49, True, 10),
+            (50, True, 79, True, 17),
+            (80, True, None, False, 21),
+        ],
+        "triage_heartrate": [
+            (None, False, 60, False, 2),
+            (60, True, 69, True, 0),
+            (70, True, 94, True, 4),
+            (95, True, 109, True, 8),
+            (110, True, None, False, 12),
+        ],
+        "triage_resprate": [
+            (None, False, 16, False, 10),
+            (16, True, 19, True, 0),
+            (20, True, None, False, 6),
+        ],
+        "triage_sbp": [
+            (None, False, 100, False, 12),
+            (100, True, 114, True, 6),
+            (115, True, 149, True, 1),
+            (150, True, None, False, 0),
+        ],
+        "triage_dbp": [
+            (None, False, 50, False, 4),
+            (50, True, 94, True, 0),
+            (95, True, None, False, 2),
+        ],
     },
     "SERP30d": {
-        "age": "<30:0 30..49:8 50..79:14 >=80:19",
-        "triage_heartrate": "<60:1 60..69:0 70..94:2 95..109:6 >=110:9",
-        "triage_resprate": "<16:8 16..19:0 >=20:6",
-        "triage_sbp": "<100:8 100..114:5 115..149:2 >=150:0",
-        "triage_dbp": "<50:3 50..94:0 >=95:2",
+        "age": [
+            (None, False, 30, False, 0),
+            (30, True, 49, True, 8),
+            (50, True, 79, True, 14),
+            (80, True, None, False, 19),
+        ],
+        "triage_heartrate": [
+            (None, False, 60, False, 1),
+            (60, True, 69, True, 0),
+            (70, True, 94, True, 2),
+            (95, True, 109, True, 6),
+            (110, True, None, False, 9),
+        ],
+        "triage_resprate": [
+            (None, False, 16, False, 8),
+            (16, True, 19, True, 0),
+            (20, True, None, False, 6),
+        ],
+        "triage_sbp": [
+            (None, False, 100, False, 8),
+            (100, True, 114, True, 5),
+            (115, True, 149, True, 2),
+            (150, True, None, False, 0),
+        ],
+        "triage_dbp": [
+            (None, False, 50, False, 3),
+            (50, True, 94, True, 0),
+            (95, True, None, False, 2),
+        ],
     },
 }
 # Points of each comorbidity flag.
@@ -83,28 +272,24 @@ WEIGHTS = {
     "SERP30d": {"cci_Cancer1": 6, "cci_Cancer2": 12},
 }
 
-_BOUNDS = re.compile(r"(?:(?P<op><=|>=|<|>)(?P<edge>[\d.]+?)|(?P<lo>[\d.]+?)(?P<lox><?)\.\.(?P<hix><?)(?P<hi>[\d.]+))$")
-_COMPARE = {"<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
+Band = tuple[float | None, bool, float | None, bool, int]
 
 
-def _inside(value: Column, bounds: str) -> Column:
-    m = _BOUNDS.match(bounds)
-    if m is None:
-        raise ValueError(f"not a band: {bounds}")
-    if m["op"]:
-        return _COMPARE[m["op"]](value, float(m["edge"]))
-    above = value > float(m["lo"]) if m["lox"] else value >= float(m["lo"])
-    below = value < float(m["hi"]) if m["hix"] else value <= float(m["hi"])
-    return above & below
+def _inside(value: Column, band: Band) -> Column:
+    low, low_in, high, high_in, _ = band
+    tests = []
+    if low is not None:
+        tests.append(value >= float(low) if low_in else value > float(low))
+    if high is not None:
+        tests.append(value <= float(high) if high_in else value < float(high))
+    return reduce(operator.and_, tests)
 
 
-def band_points(column: str, bands: str) -> Column:
+def band_points(column: str, bands: Sequence[Band]) -> Column:
     """Points of the first band that holds the value, else 0."""
-    chain = None
-    for band in bands.split():
-        bounds, points = band.rsplit(":", 1)
-        hit = _inside(F.col(column), bounds)
-        chain = F.when(hit, int(points)) if chain is None else chain.when(hit, int(points))
+    chain = F
+    for band in bands:
+        chain = chain.when(_inside(F.col(column), band), band[4])
     return chain.otherwise(0)
 
 

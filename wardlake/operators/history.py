@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..functions.clock import DAY_US, HOUR_US, micros, time_block
 from .prefix import running_totals, strategy_for
@@ -41,8 +42,13 @@ def visit_history(
     this visit's end) and ``outcome_ed_revisit_<d>d`` (gap strictly below the limit,
     False without a next visit).
 
+    A row without a subject or a start has no history: counts of 0, no next visit, and it
+    is in no other row's count. Rows with equal subject, start and key do not count each
+    other. Keys may be numbers or text.
+
     All of them share one shuffle by subject. When a subject is too large for one task
-    (``strategy='auto'`` checks), the same numbers come from day-sized blocks instead.
+    (``strategy='auto'`` checks), the same numbers come from day-sized blocks instead;
+    tests hold both ways against each other.
     """
     request = _Request(subject, key, start, end, past_visits or {}, past_events or {}, next_visit)
     chosen = strategy_for(strategy, subject, visits, *[e for e, _, _ in request.past_events.values()])
@@ -89,6 +95,7 @@ class _Request:
 
 def _by_window(visits: DataFrame, q: _Request) -> DataFrame:
     columns = visits.columns
+    placed = F.col("_subject").isNotNull() & F.col("_t").isNotNull()
     stream = visits.select(
         F.col(q.subject).alias("_subject"),
         micros(q.start).alias("_t"),
@@ -96,20 +103,26 @@ def _by_window(visits: DataFrame, q: _Request) -> DataFrame:
         F.struct(*columns).alias("_row"),
         F.lit("").alias("_kind"),
     )
+    # Rows that have no place on a time line are spread over windows of their own.
+    stream = stream.withColumn("_apart", F.when(~placed, F.xxhash64("_key", "_t", "_subject")).otherwise(F.lit(0)))
     for name, (events, time, _) in q.past_events.items():
         stream = stream.unionByName(
-            events.filter(F.col(time).isNotNull()).select(
-                F.col(q.subject).alias("_subject"), micros(time).alias("_t"), F.lit(name).alias("_kind")
+            events.filter(F.col(time).isNotNull() & F.col(q.subject).isNotNull()).select(
+                F.col(q.subject).alias("_subject"),
+                micros(time).alias("_t"),
+                F.lit(name).alias("_kind"),
+                F.lit(0).cast("long").alias("_apart"),
             ),
             allowMissingColumns=True,
         )
 
     # Growing frames only: each row is added once, however wide the look-back is.
-    line = Window.partitionBy("_subject").orderBy("_t")
+    line = Window.partitionBy("_subject", "_apart").orderBy("_t")
     until = lambda last: line.rangeBetween(Window.unboundedPreceding, last)
-    in_order = Window.partitionBy("_subject").orderBy("_t", "_key")
-    before_me = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    is_visit = F.col("_kind") == ""
+    in_order = Window.partitionBy("_subject", "_apart").orderBy("_t", "_key")
+    up_to_me = in_order.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    equal = Window.partitionBy("_subject", "_apart", "_t", "_key")
+    is_visit = (F.col("_kind") == "") & placed
 
     def counted(what: Column, frame) -> Column:
         return F.coalesce(F.sum(F.when(what, 1)).over(frame), F.lit(0))
@@ -117,16 +130,19 @@ def _by_window(visits: DataFrame, q: _Request) -> DataFrame:
     added: dict[str, Column] = {}
     for out, days in q.past_visits.items():
         too_old = counted(is_visit, until(-(days * DAY_US) - 1))
-        added[out] = counted(is_visit, before_me) - too_old
+        added[out] = counted(is_visit, up_to_me) - counted(is_visit, equal) - too_old
     for name, (_, _, days_list) in q.past_events.items():
         hit = F.col("_kind") == name
         for days in days_list:
             added[f"n_{name}_{days}d"] = counted(hit, until(-1)) - counted(hit, until(-(days * DAY_US) - 1))
     if q.next_visit is not None:
         stream = stream.withColumn("_visit_t", F.when(is_visit, F.col("_t")))
-        added["_next"] = F.expr(
-            "lead(_visit_t) IGNORE NULLS OVER (PARTITION BY _subject ORDER BY _t, _key)"
-        )
+        # Rows of one instant see it in each other, in key order; of equal keys all see the next.
+        # Read backwards, so that this frame grows as well.
+        backwards = Window.partitionBy("_subject", "_apart").orderBy(F.desc("_t"))
+        added["_next"] = F.min("_visit_t").over(backwards.rangeBetween(Window.unboundedPreceding, -1))
+        last_key = F.max(F.when(is_visit, F.col("_key"))).over(Window.partitionBy("_subject", "_apart", "_t"))
+        added["_next"] = F.when(F.col("_key") < last_key, F.col("_visit_t")).otherwise(added["_next"])
     scanned = stream.withColumns(added).filter(F.col("_row").isNotNull())
     kept = [c for c in added if c != "_next"]
     flat = scanned.select("_row.*", *added)
@@ -137,37 +153,37 @@ def _by_window(visits: DataFrame, q: _Request) -> DataFrame:
     )
 
 
+#: Where a visit stands: several rows may share one place.
+PLACE = ["_subject", "_t", "_key"]
+
+
 def _by_blocks(visits: DataFrame, q: _Request) -> DataFrame:
     """The same columns from look-ups in block-wise running totals.
 
     Every count is a difference of two ranks, and a rank is "how many lie before this
-    instant": looked up by (subject, instant), summed back per visit key.
+    instant": looked up by (subject, instant), brought back by place.
     """
     rows = visits.select(
-        F.col(q.subject).alias("_subject"), F.col(q.key).alias("_key"), micros(q.start).alias("_t")
-    )
+        F.col(q.subject).alias("_subject"), micros(q.start).alias("_t"), F.col(q.key).alias("_key")
+    ).filter("_subject is not null and _t is not null")
+    places = rows.distinct()
     parts: list[DataFrame] = []
     points = rows.select("_subject", "_t", F.lit(1).alias("n"), F.col("_key").alias("_last"))
 
     if q.past_visits:
         probes = {out: -days * DAY_US for out, days in q.past_visits.items()}
-        ranks = _ranks_at(points.select("_subject", "_t", "n"), rows, {**probes, "_me": 0})
-        ties = _tie_ranks(rows)
-        ranked = ranks.join(ties, "_key")
+        ranks = _ranks_at(points.select("_subject", "_t", "n"), places, {**probes, "_me": 0})
+        ranked = _with_ties(ranks, rows)
         parts.append(
-            ranked.select(
-                "_key", *[(F.col("_me") + F.col("_tie") - F.col(out)).alias(out) for out in q.past_visits]
-            )
+            ranked.select(*PLACE, *[(F.col("_me") + F.col("_tie") - F.col(out)).alias(out) for out in q.past_visits])
         )
     for name, (events, time, days_list) in q.past_events.items():
-        seen = events.filter(F.col(time).isNotNull()).select(
+        seen = events.filter(F.col(time).isNotNull() & F.col(q.subject).isNotNull()).select(
             F.col(q.subject).alias("_subject"), micros(time).alias("_t"), F.lit(1).alias("n")
         )
-        ranks = _ranks_at(seen, rows, {**{f"_{d}": -d * DAY_US for d in days_list}, "_me": 0})
+        ranks = _ranks_at(seen, places, {**{f"_{d}": -d * DAY_US for d in days_list}, "_me": 0})
         parts.append(
-            ranks.select(
-                "_key", *[(F.col("_me") - F.col(f"_{d}")).alias(f"n_{name}_{d}d") for d in days_list]
-            )
+            ranks.select(*PLACE, *[(F.col("_me") - F.col(f"_{d}")).alias(f"n_{name}_{d}d") for d in days_list])
         )
     if q.next_visit is not None:
         # The last key of an instant sees the next instant, its ties see their own.
@@ -180,46 +196,76 @@ def _by_blocks(visits: DataFrame, q: _Request) -> DataFrame:
             time_block(F.col("_t"), BLOCK_US),
             with_next=True,
         ).select("_subject", "_t", "next__t")
-        per_row = rows.join(following, ["_subject", "_t"]).join(instants, ["_subject", "_t"])
+        per_row = places.join(following, ["_subject", "_t"]).join(instants, ["_subject", "_t"])
         parts.append(
             per_row.select(
-                "_key", F.when(F.col("_key") < F.col("_last"), F.col("_t")).otherwise(F.col("next__t")).alias("_next")
+                *PLACE, F.when(F.col("_key") < F.col("_last"), F.col("_t")).otherwise(F.col("next__t")).alias("_next")
             )
         )
-    joined = reduce(lambda left, right: left.join(right, "_key"), parts)
-    wide = visits.join(joined.withColumnRenamed("_key", q.key), q.key, "left")
+    joined = reduce(_join_places, parts)
+    own = (
+        F.col(q.subject).eqNullSafe(F.col("_subject"))
+        & micros(q.start).eqNullSafe(F.col("_t"))
+        & F.col(q.key).eqNullSafe(F.col("_key"))
+    )
+    wide = visits.join(joined, own, "left").drop(*PLACE)
+    counts = [*q.past_visits, *[f"n_{n}_{d}d" for n, (_, _, days) in q.past_events.items() for d in days]]
+    wide = wide.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
     if q.next_visit is not None:
         wide = q.outcome(wide, F.col("_next")).drop("_next")
     return wide.select(*visits.columns, *[c for c in wide.columns if c not in visits.columns])
 
 
-def _ranks_at(points: DataFrame, rows: DataFrame, shifts: Mapping[str, int]) -> DataFrame:
-    """Per visit key: how many points lie strictly before ``start + shift``, one column per shift."""
+def _join_places(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Joins two frames by place; a place without a key is one, too."""
+    other = right.withColumnsRenamed({c: f"{c}_other" for c in PLACE})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{c}_other")) for c in PLACE])
+    return left.join(other, same).drop(*[f"{c}_other" for c in PLACE])
+
+
+def _ranks_at(points: DataFrame, places: DataFrame, shifts: Mapping[str, int]) -> DataFrame:
+    """Per place: how many points lie strictly before ``start + shift``, one column per shift."""
     probe = F.explode(
         F.array(
             *[F.struct(F.lit(out).alias("what"), (F.col("_t") + F.lit(s)).alias("at")) for out, s in shifts.items()]
         )
     )
-    probes = rows.select("_subject", "_key", probe.alias("p")).select(
-        "_subject", "_key", "p.what", F.col("p.at").alias("_t")
+    probes = places.select(*PLACE, probe.alias("p")).select(
+        "_subject", "_key", "p.what", F.col("_t").alias("_start"), F.col("p.at").alias("_t")
     )
     marks = points.unionByName(probes.select("_subject", "_t", F.lit(0).alias("n")))
     totals = running_totals(marks, ["_subject"], "_t", ["n"], time_block(F.col("_t"), BLOCK_US))
     looked_up = probes.join(totals.select("_subject", "_t", "n_before"), ["_subject", "_t"])
-    return looked_up.groupBy("_key").agg(
-        *[F.sum(F.when(F.col("what") == out, F.col("n_before"))).alias(out) for out in shifts]
+    return (
+        looked_up.groupBy("_subject", "_start", "_key")
+        .agg(*[F.sum(F.when(F.col("what") == out, F.col("n_before"))).alias(out) for out in shifts])
+        .withColumnRenamed("_start", "_t")
     )
 
 
-def _tie_ranks(rows: DataFrame) -> DataFrame:
-    """Per visit key: how many visits of the same subject and instant have a smaller key."""
-    low, high = rows.agg(F.min("_key"), F.max("_key")).first()
+def _with_ties(ranks: DataFrame, rows: DataFrame) -> DataFrame:
+    """Adds ``_tie``: how many visits of the same subject and instant have a smaller key.
+
+    A missing key comes first, and is in no block; it has no smaller key.
+    """
+    none = rows.filter("_key is null").groupBy("_subject", "_t").agg(F.count("*").alias("_none"))
+    keyed = rows.filter("_key is not null")
+    totals = running_totals(keyed.withColumn("n", F.lit(1)), ["_subject", "_t"], "_key", ["n"], _key_block(keyed))
+    ties = totals.select("_subject", "_t", "_key", F.col("n_before").alias("_tie"))
+    out = ranks.join(ties, PLACE, "left").join(none, ["_subject", "_t"], "left")
+    before = F.coalesce("_tie", F.lit(0)) + F.when(F.col("_key").isNotNull(), F.coalesce("_none", F.lit(0))).otherwise(0)
+    return out.withColumn("_tie", before).drop("_none")
+
+
+def _key_block(rows: DataFrame) -> Column:
+    """Slices of keys that never fall while keys rise: ranges of numbers, first letters of text."""
+    if not isinstance(rows.schema["_key"].dataType, NumericType):
+        return F.substring(F.col("_key").cast("string"), 1, 4)
+    low, high = rows.agg(F.min("_key").cast("long"), F.max("_key").cast("long")).first()
     low, high = low or 0, high or 0
     width = (high - low) // KEY_BLOCKS + 1
     # Halves keep the distance of far-apart 64-bit keys inside a long.
-    block = F.expr(f"(_key div 2 - {low // 2}L) div {max(width // 2, 1)}L")
-    totals = running_totals(rows.withColumn("n", F.lit(1)), ["_subject", "_t"], "_key", ["n"], block)
-    return totals.select("_key", F.col("n_before").alias("_tie"))
+    return F.expr(f"(cast(_key as long) div 2 - {low // 2}L) div {max(width // 2, 1)}L")
 
 
 def fill_from_subject(

@@ -11,7 +11,7 @@ from pyspark.ml.classification import (
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import CountVectorizer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import CountVectorizer, Imputer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +20,8 @@ from ..session import local_table
 
 # Hidden layer sizes of the perceptron.
 HIDDEN_LAYERS = [128, 64]
+#: The vocabulary of a code list is not cut.
+ALL_CODES = (1 << 31) - 1
 
 
 def label_encoder(column: str, out: str | None = None) -> StringIndexer:
@@ -29,12 +31,14 @@ def label_encoder(column: str, out: str | None = None) -> StringIndexer:
     )
 
 
-def classifier(kind: str, n_features: int, n_rows: int, seed: int = 0, **params):
+def classifier(kind: str, n_features: int, total_weight: float, seed: int = 0, **params):
     """An unfitted classifier; ``params`` override its settings."""
     common = {"labelCol": "label", "featuresCol": "features"}
+    if kind in ("forest", "boosting"):
+        common["weightCol"] = "weight"
     if kind == "logistic":
-        # A ridge penalty of strength 1 on the summed loss is 1/n on MLlib's mean loss.
-        settings = {"regParam": 1.0 / n_rows, "standardization": False, "maxIter": 100, "weightCol": "weight"}
+        # A ridge penalty of strength 1 on the summed loss is 1/(sum of weights) on MLlib's mean loss.
+        settings = {"regParam": 1.0 / total_weight, "standardization": False, "maxIter": 100, "weightCol": "weight"}
         return LogisticRegression(**{**common, **settings, **params})
     if kind == "forest":
         return RandomForestClassifier(**{**common, "numTrees": 100, "maxDepth": 12, "seed": seed, **params})
@@ -56,18 +60,22 @@ def prepare(df: DataFrame, variables: Sequence[str], outcome: str) -> DataFrame:
     return df.withColumns({**numbers, "label": F.col(outcome).cast("double"), "weight": F.lit(1.0)})
 
 
-def feature_stages(df: DataFrame, variables: Sequence[str], code_list: str | None = None, vocabulary: int = 1 << 18) -> list:
-    """Encoders for text columns and code lists, then one feature vector.
+def feature_stages(df: DataFrame, variables: Sequence[str], code_list: str | None = None) -> list:
+    """Encoders for text columns and code lists, medians for missing numbers, then one vector.
 
-    The vocabulary of a code list is capped by ``vocabulary``; diagnosis codes stay far below it.
+    No row is left out, in the fit or in a prediction, and every code is a feature.
     """
     text = [c for c in variables if is_text(df, c)]
+    numbers = [c for c in variables if c not in text]
     stages = [label_encoder(c) for c in text]
-    inputs = [f"{c}_idx" if c in text else c for c in variables]
+    if numbers:
+        filled = [f"{c}_filled" for c in numbers]
+        stages.append(Imputer(inputCols=numbers, outputCols=filled, strategy="median"))
+    inputs = [f"{c}_idx" if c in text else f"{c}_filled" for c in variables]
     if code_list:
-        stages.append(CountVectorizer(inputCol=code_list, outputCol="_codes", binary=True, vocabSize=vocabulary))
+        stages.append(CountVectorizer(inputCol=code_list, outputCol="_codes", binary=True, vocabSize=ALL_CODES))
         inputs.append("_codes")
-    return [*stages, VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="skip")]
+    return [*stages, VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep")]
 
 
 def fit_model(
@@ -81,13 +89,16 @@ def fit_model(
     **params,
 ) -> PipelineModel:
     """Fits encoders and one classifier. ``code_list`` adds an array column as 0/1 code features."""
+    if kind == "perceptron" and positive_weight != 1.0:
+        raise ValueError("the perceptron takes no weights")
     prepared = prepare(train, variables, outcome)
     prepared = prepared.withColumn("weight", F.when(F.col("label") == 1, positive_weight).otherwise(1.0))
     features = Pipeline(stages=feature_stages(prepared, variables, code_list)).fit(prepared)
     rows = features.transform(prepared).select("features", "label", "weight").persist()
     try:
         n_features = len(rows.first()["features"])
-        model = classifier(kind, n_features, rows.count(), seed, **params).fit(rows)
+        total_weight = rows.agg(F.sum("weight")).first()[0]
+        model = classifier(kind, n_features, total_weight, seed, **params).fit(rows)
     finally:
         rows.unpersist()
     return PipelineModel(stages=[*features.stages, model])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,22 +15,43 @@ from .schemas import ADMISSION_COLUMNS, SCHEMAS, SERIES_VITALS, TRIAGE_VITALS
 def read_table(spark: SparkSession, path: str, name: str | None = None, fmt: str | None = None) -> DataFrame:
     """Reads parquet or header CSV; CSV columns are matched to the schema by their names.
 
-    CSV is read as text first, so column order and extra columns do not matter, and
-    only cells that parse are kept (others become NULL).
+    CSV is read as text first, so column order and extra columns do not matter. Quoted
+    cells may hold line breaks. Cells that do not parse become NULL; `rejected_cells`
+    counts them.
     """
     fmt = fmt or ("csv" if path.rstrip("/").endswith((".csv", ".csv.gz")) else "parquet")
     if fmt != "csv":
         return nan_to_null(spark.read.format(fmt).load(path))
-    raw = spark.read.option("header", True).option("escape", '"').csv(path)
+    raw = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
     return conform(raw, name) if name else raw
 
 
+def _typed(cell: Column, kind: T.DataType) -> Column:
+    """A text cell as a value; ``NaN`` is missing, and ``2345.0`` is a whole number."""
+    cell = F.when(~F.lower(F.trim(cell)).isin("nan", ""), F.trim(cell)) if not isinstance(kind, T.StringType) else cell
+    if isinstance(kind, T.IntegralType):
+        number = cell.try_cast("decimal(38, 6)")
+        return F.coalesce(cell.try_cast(kind), F.when(number == F.floor(number), number).try_cast(kind))
+    return cell.try_cast(kind)
+
+
 def conform(raw: DataFrame, name: str) -> DataFrame:
     """Casts the known columns of a text frame; unknown columns stay as they are."""
     types = {f.name: f.dataType for f in T._parse_datatype_string(SCHEMAS[name]).fields}
     return raw.select(
-        *[F.col(f"`{c}`").try_cast(types[c]).alias(c) if c in types else F.col(f"`{c}`") for c in raw.columns]
+        *[_typed(F.col(f"`{c}`"), types[c]).alias(c) if c in types else F.col(f"`{c}`") for c in raw.columns]
+    )
+
+
+def rejected_cells(raw: DataFrame, name: str) -> DataFrame:
+    """``column, rejected``: cells of a text frame that hold something but not the column's type."""
+    types = {f.name: f.dataType for f in T._parse_datatype_string(SCHEMAS[name]).fields}
+    known = [c for c in raw.columns if c in types]
+    given = {c: ~F.lower(F.trim(F.col(f"`{c}`"))).isin("nan", "") for c in known}
+    counts = raw.select(
+        *[F.count(F.when(given[c] & _typed(F.col(f"`{c}`"), types[c]).isNull(), 1)).alias(c) for c in known]
     )
+    return counts.unpivot([], known, "column", "rejected")
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
