@@ -3,15 +3,27 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlake.session import materialize
+from wardlake.session import checkpoint_dir
 
 __all__ = ["materialize", "read", "texts", "text_key", "fresh_name", "let_workers_import"]
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Writes a frame once to the shared folder and reads it back.
+
+    The files outlive a lost executor and end the lineage. They hold text and hashes, so
+    the slower of the usual codecs pays.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/text-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
