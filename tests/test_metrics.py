@@ -98,3 +98,19 @@ def test_imputation_is_fitted_on_train_only(spark):
 def test_missing_share_base(spark, total, share):
     df = spark.createDataFrame([(1, None), (None, None), (2, 1), (None, 1)], "a int, b int")
     assert {r["share"] for r in splits.missing_stats(df, total=total).collect()} == {share}
+
+
+def test_infinite_scores_rank_first_and_last(spark):
+    inf = float("inf")
+    rows = [(i, x, y) for i, (x, y) in enumerate([(inf, 1), (inf, 1), (0.5, 0), (0.2, 1), (-inf, 0), (-inf, 0)] * 5)]
+    df = spark.createDataFrame(rows, "id long, score double, label int")
+    got = metrics.ranking_metrics(metrics.cumulative(metrics.long_scores(df, ["score"], "label"))).first()
+    plain = df.replace({inf: 9.0, -inf: -9.0}, subset="score")
+    want = metrics.ranking_metrics(metrics.cumulative(metrics.long_scores(plain, ["score"], "label"))).first()
+    assert got.auroc == want.auroc and got.ap == want.ap
+
+
+def test_nan_scores_are_refused(spark):
+    df = spark.createDataFrame([(1, float("nan"), 1), (2, 0.5, 0)], "id long, score double, label int")
+    with pytest.raises(Exception, match="is NaN"):
+        metrics.long_scores(df, ["score"], "label").collect()

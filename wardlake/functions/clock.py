@@ -27,7 +27,5 @@ def rounded_span(span_us: Column, unit_us: int, digits: int = 2) -> Column:
 
 def time_block(time_us: Column, width_us: int) -> Column:
     """Number of the ``width_us`` wide slice of the time axis that holds ``time_us``.
-
-    The remainder is taken off first, so the division is exact up to the year 2255.
     """
-    return ((time_us - F.pmod(time_us, F.lit(width_us))) / F.lit(width_us)).cast("long")
+    return F.call_function("div", time_us - F.pmod(time_us, F.lit(width_us)), F.lit(width_us))

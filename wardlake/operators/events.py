@@ -168,7 +168,7 @@ def hourly_series(
     origin = at.groupBy(key).agg(F.min("_t").alias("_origin"), F.max("_t").alias("_end"))
     placed = at.join(origin, key).withColumn("_offset", F.col("_t") - F.col("_origin"))
     on_grid = placed.filter(F.pmod("_offset", F.lit(grid_us)) == 0)
-    step_of = lambda offset: ((offset - F.pmod(offset, F.lit(step_us))) / F.lit(step_us)).cast("long")
+    step_of = lambda offset: F.call_function("div", offset - F.pmod(offset, F.lit(step_us)), F.lit(step_us))
 
     def edge(column: str, pick) -> Column:
         value = F.col(column)

@@ -8,6 +8,8 @@ the data shrinks before it is ordered, and ordering works in blocks of the score
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
+from math import exp, factorial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,8 +21,13 @@ GROUP = ["group"]
 
 
 def long_scores(df: DataFrame, scores: Sequence[str], label: str, keep: Sequence[str] = ()) -> DataFrame:
-    """Rows (keep, ``group`` = score name, ``score``, ``positive``, ``_block``) from several score columns."""
-    ranked = rank_blocks(df.select(*keep, label, *scores), scores)
+    """Rows (keep, ``group`` = score name, ``score``, ``positive``, ``_block``) from several score columns.
+
+    Rows without a score or a label are left out; a NaN score is an error, as it has no rank.
+    """
+    no_rank = lambda s: F.when(F.isnan(s), F.raise_error(F.lit(f"{s} is NaN"))).otherwise(F.col(s).cast("double"))
+    df = df.select(*keep, label, *[no_rank(s).alias(s) for s in scores])
+    ranked = rank_blocks(df, scores)
     cells = F.array(
         *[
             F.struct(F.lit(s).alias("group"), F.col(s).alias("score"), F.col(f"{s}_block").alias("_block"))
@@ -164,12 +171,9 @@ def confusion(df: DataFrame, predicted: Column, label: Column, by: Sequence[str]
     return counted.withColumn("f1", F.coalesce(f1, F.lit(0.0)))
 
 
-# Distribution of a Poisson(1) count, P(count <= k) for k = 0, 1, 2, ...
-POISSON_ONE = [
-    0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
-    0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253,
-    0.999998874797402, 0.9999998885745217,
-]
+#: P(count <= k) of a Poisson(1) count for k = 0, 1, 2, ... up to where 32 random bits
+#: can tell no further count apart.
+POISSON_ONE = list(accumulate(exp(-1) / factorial(k) for k in range(13)))
 
 
 def bootstrap_weights(scored: DataFrame, key: str, replicates: int, seed: int) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.costs import personal_costs, price_array, step_reward
 from ..functions.panels import N_PANELS, PANEL_PRICES, POSITIVE
+from ..session import materialize
 from .metrics import confusion, cumulative, long_scores, ranking_metrics
 from .prefix import running_totals
 
@@ -90,8 +91,12 @@ def episodes(log: DataFrame) -> DataFrame:
 
 
 def policy_report(log: DataFrame, patients: DataFrame) -> DataFrame:
-    """One row: F1, areas, operating point, and reward, cost and tests per patient."""
-    per_patient = episodes(log)
+    """One row: F1, areas, operating point, and reward, cost and tests per patient.
+
+    The episodes are written once, as three results read them.
+    """
+    log = until_diagnosis(log)
+    per_patient = materialize(episodes(log))
     ranking = ranking_metrics(cumulative(long_scores(per_patient, ["prob"], "label"))).drop("n_positive", "n_negative")
     counts = confusion(
         per_patient.withColumn("group", F.lit("prob")), F.col("predicted"), F.col("label") == 1, ["group"]
@@ -115,7 +120,7 @@ def budget_stops(log: DataFrame, budgets: Sequence[int] = BUDGETS) -> DataFrame:
 
     At an unpaid test the prediction is negative and the probability is the step's own.
     """
-    costed = running_cost(log)
+    costed = running_cost(until_diagnosis(log))
     budget = F.explode(F.array(*[F.lit(b) for b in budgets])).alias("budget")
     is_test = F.col("action") < N_PANELS
     paid = F.col("spent") <= F.col("budget")
@@ -131,7 +136,7 @@ def budget_stops(log: DataFrame, budgets: Sequence[int] = BUDGETS) -> DataFrame:
 
 def budget_curve(log: DataFrame, budgets: Sequence[int] = BUDGETS) -> DataFrame:
     """Metrics and mean number of tests at every budget."""
-    stops = budget_stops(log, budgets)
+    stops = materialize(budget_stops(log, budgets))
     scored = long_scores(stops, ["prob"], "label", keep=["budget"])
     ranking = ranking_metrics(cumulative(scored, ["budget"]), ["budget"])
     counts = confusion(stops, F.col("predicted"), F.col("label") == 1, ["budget"]).select("budget", "f1")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from math import isfinite
 from operator import and_
 
 from pyspark.ml.feature import Bucketizer
@@ -117,7 +118,7 @@ def rank_blocks(df: DataFrame, values: Sequence[str], blocks: int | None = None)
     doubles = df.withColumns({v: F.col(v).cast("double") for v in values})
     probabilities = [i / blocks for i in range(1, blocks)]
     edges = doubles.approxQuantile(list(values), probabilities, 1.0 / (4 * blocks))
-    splits = [[-float("inf"), *sorted(set(e)), float("inf")] for e in edges]
+    splits = [[-float("inf"), *sorted({x for x in e if isfinite(x)}), float("inf")] for e in edges]
     bucketizer = Bucketizer(
         splitsArray=splits,
         inputCols=list(values),
