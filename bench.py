@@ -52,7 +52,7 @@ def main() -> None:
         "wardlake-bench",
         **{
             "spark.sql.shuffle.partitions": str(cpus),
-            "spark.driver.memory": "20g",
+            "spark.driver.memory": "12g",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
         },
