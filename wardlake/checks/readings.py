@@ -165,10 +165,34 @@ def resampled_series(d: Derived):
     )
 
 
-@query("hourly_vitals")
+# Every hour of a stay, and around it the nearest readings that lie on whole minutes from the first.
+_HOURLY = {
+    "span": "SELECT stay_id, min(charttime) AS a, max(charttime) AS z FROM vitalsign GROUP BY 1",
+    "placed": "SELECT v.*, epoch_us(charttime) - epoch_us(a) AS x FROM vitalsign v JOIN span USING (stay_id)",
+    "hours": """SELECT stay_id, epoch_us(a) AS a, step, step * 3600000000 AS x FROM (
+        SELECT stay_id, a, unnest(range(0, (epoch_us(z) - epoch_us(a)) // 3600000000 + 1)) AS step FROM span)""",
+    **{
+        f"near_{c}": f"""SELECT h.stay_id, h.step, h.a, h.x,
+            max({{'x': p.x, 'y': {c}::DOUBLE}}) FILTER (p.x < h.x) AS past, min({{'x': p.x, 'y': {c}::DOUBLE}}) FILTER (p.x >= h.x) AS next
+          FROM hours h LEFT JOIN placed p ON p.stay_id = h.stay_id AND {c} IS NOT NULL AND p.x % 60000000 = 0 GROUP BY ALL"""
+        for c in V
+    },
+    **{
+        f"at_{c}": f"""SELECT stay_id, step, a, x, CASE WHEN next.x = x THEN next.y WHEN past IS NULL THEN NULL WHEN next IS NULL THEN past.y
+            ELSE past.y + (next.y - past.y) / (next.x - past.x)::DOUBLE * (x - past.x)::DOUBLE END AS {c} FROM near_{c}"""
+        for c in V
+    },
+}
+
+
+@query("hourly_vitals", with_tables("vitalsign", extra=_HOURLY, body="SELECT stay_id, step, a + x AS at_us, " + ", ".join(
+    f"""round(coalesce({c}, first_value({c} IGNORE NULLS) OVER (PARTITION BY stay_id ORDER BY step
+      ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) + 1e-7, 3) AS {c}""" for c in V)
+    + f" FROM at_{V[0]} " + " ".join(f"JOIN at_{c} USING (stay_id, step, a, x)" for c in V[1:])))
 def hourly_vitals(d: Derived):
     numeric = d.vitalsign.select("stay_id", "charttime", *V)
-    return events.hourly_series(numeric, V)
+    out = events.hourly_series(numeric, V)
+    return out.select("stay_id", "step", micros("charttime").alias("at_us"), *[F.round(F.col(c) + 1e-7, 3).alias(c) for c in V])
 
 
 def small_master(d: Derived):
