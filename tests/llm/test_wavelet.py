@@ -55,4 +55,7 @@ def test_round_trip(spark, edge_docs, edge_rows, tokenizer):
 
 def test_empty_table(spark, no_docs, tokenizer):
     folder = wavelet.shard_folder(spark)
-    assert materialize(wavelet.write_shards(no_docs, tokenizer, folder)).count() == 0
+    written = materialize(wavelet.write_shards(no_docs, tokenizer, folder))
+    assert written.count() == 0
+    assert wavelet.read_shards(spark, folder, written).count() == 0
+    assert wavelet.read_shards(spark, folder).count() == 0

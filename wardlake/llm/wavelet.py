@@ -217,7 +217,7 @@ def read_shards(spark: SparkSession, folder: str, written: DataFrame | None = No
 
     ``written``, if given, names the files that belong to the data set.
     """
-    files = spark.read.format("binaryFile").load(f"{folder}/*.wmx").select(
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wmx").load(folder).select(
         F.regexp_extract("path", r"([0-9-]+)\.wmx$", 1).alias("shard"), "content"
     )
 
