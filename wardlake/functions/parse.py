@@ -41,18 +41,17 @@ def complaint_flags(df: DataFrame, patterns: Mapping[str, str] = COMPLAINTS, tex
 
 
 def clean_code(column: str | Column) -> Column:
-    """A diagnosis code without dots and outer blanks."""
+    """A diagnosis code without dots and outer white space."""
     column = F.col(column) if isinstance(column, str) else column
-    return F.trim(F.replace(column, F.lit("."), F.lit("")))
+    return F.regexp_replace(F.replace(column, F.lit("."), F.lit("")), r"^\s+|\s+$", "")
 
 
 def pharm_class(column: str) -> tuple[Column, Column]:
     """``(term, type)`` of a class text such as ``Beta Blocker [EPC]``: the last word is the type."""
-    last = F.substring_index(column, " ", -1)
-    term = F.when(
-        F.instr(column, " ") > 0,
-        F.expr(f"substring({column}, 1, length({column}) - length(substring_index({column}, ' ', -1)) - 1)"),
-    ).otherwise(F.lit(""))
+    text = F.col(column)
+    last = F.substring_index(text, " ", -1)
+    before = F.substring(text, F.lit(1), F.length(text) - F.length(last) - 1)
+    term = F.when(F.instr(text, " ") > 0, before).otherwise(F.lit(""))
     return term, F.regexp_replace(last, r"^[\[\]]+|[\[\]]+$", "")
 
 

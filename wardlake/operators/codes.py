@@ -83,7 +83,7 @@ def rejected_codes(codes: DataFrame, known: DataFrame, code: str = "icd_code", v
 def unique_code_map(pairs: DataFrame, rank: str | None = None) -> DataFrame:
     """One target per source code: the one with the greatest ``rank``, else the greatest target.
 
-    The shipped map repeats source codes; without a rank column the rule is by value, so
+    Maps may repeat source codes; without a rank column the rule is by value, so
     that the result does not depend on file order.
     """
     order = F.struct(rank, "target_code") if rank else F.col("target_code")
