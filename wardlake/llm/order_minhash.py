@@ -247,6 +247,8 @@ def near_duplicates(
         )
         chosen = F.array_distinct(F.array_compact(F.array("one.node", "two.node", "three.node")))
         tops = materialize(tops.select("band", "element", F.explode(chosen).alias("hub")))
+        if tops.isEmpty():
+            break
         used = tops if used is None else used.unionByName(tops)
         hub_label = live.select(F.col("node").alias("hub"), F.col("label").alias("hub_label")).distinct()
         pairs = (
@@ -260,7 +262,7 @@ def near_duplicates(
             pairs = pairs.join(met, ["node", "hub"], "left_anti")
         pairs = materialize(pairs)
         if pairs.isEmpty():
-            break
+            continue
         found = materialize(_links(pairs, sequences, similarity))
         met = pairs if met is None else met.unionByName(pairs)
         links = found if links is None else links.unionByName(found)

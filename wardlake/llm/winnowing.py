@@ -30,7 +30,7 @@ from .tables import fresh_name, materialize, text_key, texts
 TABLE_BITS = 23
 
 
-def _grams(words: Words, sizes: list[int], extra: int = 0):
+def _grams(words: Words, sizes: list[int]):
     """Per size the 64-bit hashes of all word n-grams, two independent ones."""
     first = Rolling(words.hashes(1), BASES[0])
     second = Rolling(words.hashes(2), BASES[1])
