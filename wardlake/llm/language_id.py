@@ -33,7 +33,9 @@ MOST_WORDS = 100_000
 LONGEST_GRAM = 4
 UNKNOWN = "und"
 #: Unseen words whose scores a task keeps.
-KEEP_WORDS = 300_000
+KEEP_WORDS = 100_000
+#: Text bytes scored at once; a word takes a row of scores.
+SLICE = 2 << 20
 
 
 @dataclass
@@ -137,7 +139,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 found = unseen[word] = own.backoff(word)
             return found
 
-        for rows, _, _ in batches(frames, "text", 8 << 20):
+        for rows, _, _ in batches(frames, "text", SLICE):
             text = pc.utf8_lower(column(rows, "text").cast(pa.large_string()).fill_null(""))
             pieces = pc.ascii_split_whitespace(pc.replace_substring_regex(text, r"\P{L}+", " "))
             bounds = np.asarray(pieces.offsets)
@@ -169,6 +171,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 arrays + [pa.array(languages, pa.string()), pa.array(chance)], names + ["lang_pred", "score"]
             )
+        pa.default_memory_pool().release_unused()
 
     from pyspark.sql import types as T
 

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from .arrow_rows import batches
 
 #: Parts a worker remembers before it starts anew.
-KEEP_PARTS = 1_000_000
+KEEP_PARTS = 600_000
 SIMPLE = r"^(?P<w>[a-zß-öø-ÿ]+)(?P<p>[!-/:-@\[-`{-~]*)$"
 WORD_END = "</w>"
 
@@ -133,9 +133,11 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encoded(frames, path: str, limit: int = 16 << 20):
+def encoded(frames, path: str, limit: int = 6 << 20):
     """Yields ``(rows, ids, starts)`` for slices of the batches; column ``text``."""
     own = encoder(path)
     for rows, _, _ in batches(frames, "text", limit):
         ids, starts = own.encode(rows.column(rows.schema.get_field_index("text")))
         yield rows, ids, starts
+    # A worker may serve another operator next; what this one needed goes back.
+    pa.default_memory_pool().release_unused()
