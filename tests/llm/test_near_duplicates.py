@@ -87,6 +87,40 @@ def test_groups_of_edited_copies(spark):
     assert got == classes(rows)
 
 
+@pytest.mark.parametrize("rounds", [0, 5])
+def test_pairs_in_one_wide_bucket(spark, rounds):
+    """Pages of one template, each twice with a word edited: links between pairs only."""
+    own, rows = random.Random(8), []
+    template = [f"t{i}" for i in range(99)]
+    for page in range(120):
+        body = template + [f"p{page}x{i}" for i in range(13)]
+        rows.append((len(rows), " ".join(body)))
+        body[own.randrange(20, 90)] = f"edit{page}"
+        rows.append((len(rows), " ".join(body)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = order_minhash.near_duplicates(docs, rounds=rounds)
+    got = sorted(((r.doc_id, r.class_id) for r in found.collect()), key=repr)
+    assert got == classes(rows)
+
+
+def test_reachable_pairs_hold_every_link(spark):
+    own, rows = np.random.default_rng(3), []
+    for node in range(150):
+        body = own.integers(0, 6, own.integers(1, 40)) if node % 3 == 0 else rows[own.integers(0, len(rows))][1].copy()
+        for _ in range(int(own.integers(0, 4))):
+            body[own.integers(0, len(body))] = own.integers(0, 9)
+        rows.append((node, body))
+    table = [(node, bytearray(body.astype("<u4").tobytes())) for node, body in rows]
+    sequences = spark.createDataFrame(table, "node long, sequence binary")
+    found = [(r.node, r.hub) for r in order_minhash._reachable(sequences, 0.8).collect()]
+    assert len(found) == len(set(found)) == len({frozenset(p) for p in found})
+    held = {frozenset(p) for p in found}
+    for i, a in rows:
+        for j, b in rows[:i]:
+            if order_minhash.alignment(a, b, 0.8):
+                assert frozenset((i, j)) in held
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r.node: r.label for r in order_minhash.components(edges).collect()}

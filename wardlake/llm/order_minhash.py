@@ -14,9 +14,10 @@ Equal texts are one node. In a bucket every node is compared with three hubs, no
 every other node: the one that shares most buckets with others, one drawn from all and
 one drawn from outside the bucket's largest class. Nodes that fall into one class are not
 compared again; nodes that stay apart meet further hubs in later rounds. Buckets of a few
-nodes are so compared in full. A link is lost only if its ends share no bucket (below one
-in 100,000 at a similarity of 0.8) or if neither is a hub of any bucket they share and no
-chain of other links joins them.
+nodes are so compared in full. Buckets that hold several classes beside their hubs after
+the last round are finished exactly: all pairs of their nodes that can reach the
+similarity by a prefix filter over their labelled shingles are aligned. A link is lost
+only if its ends share no bucket (below one in 100,000 at a similarity of 0.8).
 
 Edge cases: a null text counts as empty; texts without words are classes of equal texts;
 a text of fewer than five words is one shingle; an empty table gives an empty table; rows
@@ -31,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_rows import batches, binary_array, column
+from .arrow_rows import SLICE_BYTES, batches, binary_array, column
 from .hashing import BASES, PLACE_BITS, Rolling, U, Words, mix, randoms
 from .tables import fresh_name, materialize, texts
 
 BANDS = 12
 TAKE = 2
+#: Nodes of one shingle that are joined in one block.
+BLOCK_NODES = 1_000
 MOST = U(0xFFFFFFFFFFFFFFFF)
 
 
@@ -193,6 +196,86 @@ def _links(pairs: DataFrame, sequences: DataFrame, similarity: float) -> DataFra
     return both.mapInArrow(align, "a long, b long, similarity double").filter("similarity > 0")
 
 
+def _labels(sequences: DataFrame) -> DataFrame:
+    """``(node, n, token)``: every labelled shingle of a sequence, and how many there are."""
+
+    def label(frames):
+        for batch in frames:
+            bodies = column(batch, "sequence")
+            sizes = np.array([len(x.as_buffer()) // 4 for x in bodies], np.int64)
+            nodes = column(batch, "node").to_numpy()
+            parts = np.cumsum(sizes) * 4 // SLICE_BYTES
+            for part in np.unique(parts):
+                rows = np.flatnonzero(parts == part)
+                body = b"".join(bodies[int(i)].as_buffer().to_pybytes() for i in rows)
+                first = np.concatenate([[0], np.cumsum(sizes[rows])])
+                if not first[-1]:
+                    continue
+                tokens = labelled(np.frombuffer(body, "<u4").astype(U), first)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.repeat(nodes[rows], sizes[rows])),
+                        pa.array(np.repeat(sizes[rows], sizes[rows])),
+                        pa.array(tokens.view(np.int64)),
+                    ],
+                    ["node", "n", "token"],
+                )
+
+    return sequences.mapInArrow(label, "node long, n long, token long")
+
+
+def _reachable(sequences: DataFrame, similarity: float) -> DataFrame:
+    """All pairs ``(node, hub)`` of ``sequences`` that may reach ``similarity``, each once.
+
+    Of two sets of n >= m shingles with a Jaccard similarity of at least s, the first
+    ``n - s n + 1`` shingles of the one and ``m - 2 s / (1 + s) m + 1`` of the other, rare
+    ones first, have one in common. How many they have there, and how many can follow the
+    last of those, bounds what the two have in common at all. Shingles of a single node
+    only count for the places of the others.
+    """
+    tokens = materialize(_labels(sequences))
+    often = tokens.groupBy("token").agg(F.count("*").alias("often")).filter("often > 1")
+    ranked = (
+        tokens.join(often, "token")
+        .groupBy("node", "n")
+        .agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("all"))
+    )
+    prefix = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1
+    placed = ranked.select("node", "n", (F.col("n") - F.size("all")).alias("single"), F.posexplode("all").alias("i", "x"))
+    placed = placed.select("node", "n", (F.col("single") + F.col("i")).alias("place"), "x.often", "x.token").filter(
+        F.col("place") < prefix
+    )
+    placed = materialize(placed.withColumn("blocks", F.ceil(F.col("often") / BLOCK_NODES).cast("int")).drop("often"))
+    short = F.col("n") - F.ceil(F.col("n") * (2 * similarity / (1 + similarity)) - 1e-9) + 1
+    ours = placed.filter(F.col("place") < short).select(
+        "token",
+        F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"),
+        F.col("node").alias("hub"),
+        F.col("n").alias("m"),
+        F.col("place").alias("hub_place"),
+    )
+    theirs = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    longer = (F.col("n") > F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("node") > F.col("hub")))
+    pairs = theirs.join(ours, ["token", "block"]).filter(longer & (F.col("m") >= F.col("n") * similarity - 1e-9))
+    pairs = pairs.groupBy("node", "hub", "n", "m").agg(
+        F.count("*").alias("common"), F.max("place").alias("place"), F.max("hub_place").alias("hub_place")
+    )
+    after = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("hub_place")) - 1
+    need = (F.col("n") + F.col("m")) * (similarity / (1 + similarity)) - 1e-9
+    return pairs.filter(F.col("common") + after >= need).select("node", "hub")
+
+
+def _unmet(buckets: DataFrame, labels: DataFrame | None, used: DataFrame | None) -> DataFrame:
+    """Distinct ``(node, label)`` of buckets with several classes among nodes that were no hub there."""
+    live = buckets.withColumn("label", F.col("node")) if labels is None else (
+        buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    )
+    if used is not None:
+        live = live.join(used.withColumnRenamed("hub", "node"), ["band", "element", "node"], "left_anti")
+    several = live.groupBy("band", "element").agg(F.min("label").alias("least"), F.max("label").alias("most"))
+    return live.join(several.filter("least <> most"), ["band", "element"]).select("node", "label").distinct()
+
+
 def near_duplicates(
     docs: DataFrame,
     similarity: float = 0.8,
@@ -267,6 +350,17 @@ def near_duplicates(
         met = pairs if met is None else met.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         labels = components(links)
+    left = materialize(_unmet(buckets, labels, used))
+    if not left.isEmpty():
+        pairs = _reachable(sequences.join(left.select("node"), "node", "left_semi"), similarity)
+        other = left.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
+        pairs = pairs.join(left, "node").join(other, "hub").filter("label <> hub_label").select("node", "hub")
+        if met is not None:
+            pairs = pairs.join(met, ["node", "hub"], "left_anti")
+            pairs = pairs.join(met.select(F.col("hub").alias("node"), F.col("node").alias("hub")), ["node", "hub"], "left_anti")
+        found = materialize(_links(materialize(pairs), sequences, similarity))
+        if not found.isEmpty():
+            labels = components(found if links is None else links.unionByName(found))
     classes = nodes.select("node", "digest", "least")
     if labels is not None:
         classes = classes.join(labels, "node", "left").withColumn("node", F.coalesce("label", "node"))
