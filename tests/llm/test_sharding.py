@@ -50,6 +50,35 @@ def test_hot_group_fills_few_shards(spark):
     assert len(hot) < 10 and max(hot.values()) >= 100
 
 
+def test_hot_group_fills_no_more_shards_than_it_needs(spark):
+    docs = spark.range(0, 20000).select(
+        F.col("id").alias("doc_id"), F.lit(16).cast("long").alias("size"), F.lit(0).cast("long").alias("text_crc32"),
+        F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") + 10).cast("long").alias("link"),
+    )
+    got = rows_of(sharding.assign(docs, 40))
+    sizes = check_slots(got, 40)
+    assert max(sizes) - min(sizes) <= 1
+    hot = Counter(r["shard"] for r in got if r["doc_id"] % 3 == 0)
+    assert len(hot) == -(-6667 // 500)
+
+
+@pytest.mark.parametrize("few", [0, sharding.FEW_ASKERS])
+def test_groups_meet_where_all_rows_are_linked(spark, monkeypatch, few):
+    monkeypatch.setattr(sharding, "FEW_ASKERS", few)
+    docs = spark.range(0, 4000).select(
+        F.col("id").alias("doc_id"), F.lit(16).cast("long").alias("size"), F.lit(0).cast("long").alias("text_crc32"),
+        (F.col("id") % 400).alias("link"),
+    )
+    got = rows_of(sharding.assign(docs, 8))
+    sizes = check_slots(got, 8)
+    assert max(sizes) - min(sizes) <= 1
+    together = Counter((r["doc_id"] % 400, r["shard"]) for r in got)
+    most = defaultdict(int)
+    for (link, _), n in together.items():
+        most[link] = max(most[link], n)
+    assert sum(most.values()) >= 0.9 * 4000
+
+
 def test_all_rows_linked_and_more_shards_than_rows(spark):
     rows = [(i, f"t{i % 7}") for i in range(29)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

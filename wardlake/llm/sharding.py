@@ -1,11 +1,16 @@
 """Sharding by balanced label propagation.
 
 Documents that share a link key are neighbours. Each has a shard as its label. In a
-round every key counts its documents per shard, and every document asks to move to the
-shard where its keys' other documents weigh most. A shard takes as many as its quota
-leaves room for; askers are admitted in the order of their keys, in buckets, so that
-those of one key move together. Documents without a neighbour go where room is left, and
-with them so do those for whom their shard has none, which makes the sizes exact.
+round every key counts its documents per shard and holds on to the shards that have most
+of them, as many as it needs; its other documents ask to move there. Every other round
+it needs so many that their quotas hold all its documents, in the rounds between so many
+that their documents and free places do. Of two shards as many documents change places as
+ask on both sides, and a shard takes exactly as many more as its quota leaves room for.
+Askers are admitted in the order of their keys, in buckets, so that those of one key move
+together. A document never moves to a shard with fewer of its key, so the squares of all
+counts add up to more each time and the rounds end: when none of either kind moves a
+document. Documents without a neighbour go where room is left, and with them so do those
+for whom their shard has none, which makes the sizes exact.
 
 Laws: ``rows`` gives every shard its share of rows, counts at most one apart; ``key`` is
 a rendezvous hash of ``doc_id`` and looks at nothing else (a null id counts as id 0).
@@ -28,8 +33,12 @@ from .tables import materialize
 
 #: Rows of one ranking bucket, about.
 BUCKET_ROWS = 2_000
-#: Steps in which a shard admits its askers.
-ADMISSIONS = 512
+#: Buckets of a key with more documents than ``BUCKET_ROWS``.
+KEY_BUCKETS = 256
+#: So many askers at most are ranked by one sort for a shard, without buckets.
+FEW_ASKERS = 200_000
+#: Steps in which a document's draw places it among those of its key that move.
+DRAWS = 1 << 30
 
 
 def sized(docs: DataFrame, id_column: str = "doc_id", text: str = "text", overhead: int = 16) -> DataFrame:
@@ -81,39 +90,91 @@ def _room(spark, total: int, shards: int) -> DataFrame:
     )
 
 
-def propagate(linked: DataFrame, room: DataFrame, rounds: int) -> DataFrame:
-    """Rounds of label propagation over ``(row, doc_id, link, shard)``; returns the same columns."""
-    for turn in range(rounds):
-        counts = linked.groupBy("link", "shard").agg(F.count("*").alias("n"))
+def _asking(linked: DataFrame, free: DataFrame, swaps: bool, turn: int) -> DataFrame:
+    """The documents that ask to move, with the shard ``to`` they ask for and their key's ``all``.
+
+    A key holds on to its fullest shards until their places, with ``swaps`` all of the
+    quota and else those free, hold all of its documents; the others ask for the places
+    left in these, fullest first.
+    """
+    counts = linked.groupBy("link", "shard").agg(F.count("*").alias("n")).join(free, "shard")
+    spare = F.greatest(F.col("quota") - F.col("n"), F.lit(0)) if swaps else F.col("free")
+    # A key has at most one row per shard.
+    fullest = Window.partitionBy("link").orderBy(F.desc("n"), F.xxhash64("link", "shard"), "shard")
+    counts = counts.withColumn("spare", spare).select(
+        "link",
+        "shard",
+        "n",
+        "spare",
+        F.sum("n").over(Window.partitionBy("link")).alias("all"),
+        F.sum(F.col("n") + F.col("spare")).over(fullest).alias("held"),
+        F.sum("spare").over(fullest).alias("upto"),
+    )
+    held = F.col("held") - F.col("n") - F.col("spare") < F.col("all")
+    plan = counts.groupBy("link", "all").agg(
+        F.sum(F.when(~held, F.col("n")).otherwise(0)).alias("movers"),
+        F.collect_list(F.when(held, F.col("shard"))).alias("held"),
+        F.array_sort(F.collect_list(F.when(held & (F.col("spare") > 0), F.struct("upto", "shard")))).alias("places"),
+    )
+    draw = F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(DRAWS))
+    at = F.floor(draw / DRAWS * F.col("movers"))
+    to = F.get(F.filter("places", lambda x: x["upto"] > F.col("at")), F.lit(0))["shard"]
+    askers = linked.join(plan.filter("movers > 0"), "link").filter(~F.array_contains("held", F.col("shard")))
+    return askers.withColumn("at", at).select("row", "link", "shard", "all", to.alias("to")).filter("`to` is not null")
+
+
+def _admitted(askers: DataFrame, free: DataFrame, buckets: int, turn: int) -> DataFrame:
+    """``(row, _to)`` of the askers that move: equal numbers both ways, then as many as are free."""
+    mixed = F.xxhash64("link", F.lit(turn))
+    askers = askers.withColumn("mixed", mixed)
+    order = [F.col("mixed"), F.col("link"), F.col("row")]
+    flow = askers.groupBy("shard", "to").agg(F.count("*").alias("m"))
+    back = flow.select(F.col("shard").alias("to"), F.col("to").alias("shard"), F.col("m").alias("back"))
+    both = flow.join(back, ["shard", "to"], "left").select(
+        "shard", "to", F.least("m", F.coalesce("back", F.lit(0))).alias("swapped")
+    )
+    free = free.select(F.col("shard").alias("to"), "free")
+    if askers.count() <= FEW_ASKERS:
+        rank = F.row_number().over(Window.partitionBy("shard", "to").orderBy(*order))
+        placed = askers.withColumn("rank", rank).join(both, ["shard", "to"])
+        placed = placed.withColumn("swap", (F.col("rank") <= F.col("swapped")).cast("int"))
+        to = Window.partitionBy("to")
+        placed = placed.withColumn("swaps", F.sum("swap").over(to))
+        placed = placed.withColumn("nth", F.row_number().over(to.orderBy(F.desc("swap"), *order)) - F.col("swaps"))
+        return placed.join(free, "to").filter("swap = 1 or nth <= free").select("row", F.col("to").alias("_to"))
+    inside = F.when(F.col("all") > BUCKET_ROWS, F.pmod(F.xxhash64("row"), F.lit(KEY_BUCKETS))).otherwise(0)
+    askers = askers.withColumn("bucket", F.pmod("mixed", F.lit(buckets)) * KEY_BUCKETS + inside)
+    placed = materialize(ranked(askers, ["shard", "to"], order, buckets * KEY_BUCKETS, "rank").join(both, ["shard", "to"]))
+    rest = ranked(placed.filter("rank >= swapped").drop("rank"), ["to"], order, buckets * KEY_BUCKETS, "rank")
+    rest = rest.join(free, "to").filter("rank < free").select("row", F.col("to").alias("_to"))
+    return placed.filter("rank < swapped").select("row", F.col("to").alias("_to")).unionByName(rest)
+
+
+def propagate(linked: DataFrame, room: DataFrame, rounds: int | None = None) -> DataFrame:
+    """Label propagation over ``(row, doc_id, link, shard)``; returns the same columns.
+
+    Goes on until no document moves, or for ``rounds`` rounds.
+    """
+    buckets = max(1, linked.count() // BUCKET_ROWS)
+    turn, still = 0, 0
+    while still < 2 and (rounds is None or turn < rounds):
         used = linked.groupBy("shard").agg(F.count("*").alias("used"))
         free = room.join(used, "shard", "left").select(
-            "shard", F.greatest(F.col("quota") - F.coalesce("used", F.lit(0)), F.lit(0)).alias("free")
-        )
-        # A key wants the shard where most of its documents are, among those with room.
-        wish = counts.join(free.filter("free > 0"), "shard")
-        tie = F.xxhash64("link", "shard")
-        best = wish.groupBy("link").agg(
-            F.max(F.struct("n", tie.alias("tie"), F.col("shard").alias("to"), "free")).alias("w"), F.sum("n").alias("all")
-        )
-        askers = linked.join(best.select("link", "w.to", F.col("w.n").alias("there"), "w.free", "all"), "link")
-        own = counts.select("link", "shard", F.col("n").alias("here"))
-        askers = askers.join(own, ["link", "shard"]).filter("shard <> `to` and here <= there")
-        # Keys too large for one shard's room are admitted document by document.
-        large = F.col("all") * 4 > F.col("free")
-        mixed = F.when(large, F.xxhash64("link", "row", F.lit(turn))).otherwise(F.xxhash64("link", F.lit(turn)))
-        step = F.pmod(mixed, F.lit(ADMISSIONS))
-        askers = askers.withColumn("step", step.cast("int"))
-        sums = askers.groupBy("to", "step").agg(F.count("*").alias("m"))
-        total = F.sum("m").over(Window.partitionBy("to").orderBy("step"))
-        admitted = (
-            sums.withColumn("sum", total)
-            .join(free.withColumnRenamed("shard", "to"), "to")
-            .filter("sum <= free")
-            .select("to", "step")
+            "shard", "quota", F.greatest(F.col("quota") - F.coalesce("used", F.lit(0)), F.lit(0)).alias("free")
         )
-        moves = materialize(askers.join(admitted, ["to", "step"]).select("row", F.col("to").alias("_to")))
+        # One row per shard.
+        free = linked.sparkSession.createDataFrame(free.collect(), free.schema)
+        askers = materialize(_asking(linked, free, turn % 2 == 0, turn))
+        moves = _admitted(askers, free, buckets, turn) if (asking := askers.count()) else askers
+        turn += 1
+        if not asking:
+            still += 1
+            continue
+        moves = materialize(moves)
         if moves.isEmpty():
-            break
+            still += 1
+            continue
+        still = 0
         linked = materialize(
             linked.join(moves, "row", "left").withColumn("shard", F.coalesce("_to", "shard")).drop("_to")
         )
@@ -132,7 +193,7 @@ def rendezvous(key: Column, shards: int) -> Column:
     return F.array_max(draws)["shard"].cast("int")
 
 
-def assign(docs: DataFrame, shards: int = 40, law: str = "rows", rounds: int = 8, links: DataFrame | None = None) -> DataFrame:
+def assign(docs: DataFrame, shards: int = 40, law: str = "rows", rounds: int | None = None, links: DataFrame | None = None) -> DataFrame:
     """Per document row ``doc_id, size, text_crc32, law, shard, slot, grown_shard``.
 
     ``docs`` has the columns of `sized`; ``links`` replaces its ``link`` by ``(doc_id, link)``.
