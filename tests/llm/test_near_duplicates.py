@@ -72,6 +72,13 @@ def test_edge_cases(edge_docs, edge_rows):
     assert 0 in ids and 3 in ids and not {1, 2, 4, None} & set(ids)
 
 
+def test_repeated_rows_stay_once(edge_docs):
+    kept = order_minhash.keep_one(edge_docs)
+    assert kept.columns == edge_docs.columns
+    ids = [r.doc_id for r in kept.collect()]
+    assert ids.count(11) == 1 and ids.count(0) == 1
+
+
 def test_groups_of_edited_copies(spark):
     own, rows = random.Random(4), []
     for group in range(6):

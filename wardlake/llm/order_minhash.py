@@ -378,7 +378,15 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     first = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
     # Two texts of a class may share its least id; the least digest stays.
     id_, own = fresh_name("_id", docs.columns), fresh_name("_digest", docs.columns)
-    first = first.groupBy(F.col("class_id").alias(id_)).agg(F.min("digest").alias(own))
+    first = first.groupBy("class_id", "digest").agg(F.count("*").alias("n"))
+    least = F.min(F.struct("digest", "n")).alias("least")
+    first = materialize(first.groupBy("class_id").agg(least).select(F.col("class_id").alias(id_), F.col("least.digest").alias(own), "least.n"))
     digest = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (digest == F.col(own))
-    return docs.join(first, same, "left_semi")
+    repeated = first.filter("n > 1").drop("n")
+    if repeated.isEmpty():
+        return docs.join(first.drop("n"), same, "left_semi")
+    # Of repeated rows that differ in other columns the one that is least as JSON stays.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = docs.join(repeated, same).groupBy(id_, own).agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+    return docs.join(first.filter("n = 1").drop("n"), same, "left_semi").unionByName(one)
