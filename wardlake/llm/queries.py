@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, order_minhash, packing, sharding, substring_dedup, suffix_dedup, syncmers, url_filters, wavelet, winnowing
+from . import (
+    language_id,
+    order_minhash,
+    packing,
+    resampling,
+    sharding,
+    substring_dedup,
+    suffix_dedup,
+    syncmers,
+    url_filters,
+    vector_codes,
+    wavelet,
+    winnowing,
+)
 from .tables import let_workers_import, materialize, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -225,3 +238,94 @@ def temporal_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join("active", ",").alias("active"),
         "blocked",
     )
+
+
+def vector_codes_sql(width: int = 16, parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Lloyd rounds over all pairs of parts and entries, one pair of WITH tables a round."""
+    places = range(width)
+    columns = ", ".join(f"v[{width} * part + {i + 1}] AS c{i}" for i in places)
+    names = ", ".join(f"c{i}" for i in places)
+    distance = " + ".join(f"(p.c{i} - b.c{i}) * (p.c{i} - b.c{i})" for i in places)
+    mean = ", ".join(f"coalesce((s{i} - ((s{i} % n) + n) % n) // n, b.c{i}) AS c{i}" for i in places)
+    steps = [
+        f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pieces AS MATERIALIZED (SELECT vec_id, label, part, {columns} FROM kept, (SELECT unnest(range({parts})) AS part)),
+book0 AS MATERIALIZED (
+  SELECT part, entry, {names} FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry FROM pieces) WHERE entry < {entries})"""
+    ]
+    for n in range(rounds + 1):
+        steps.append(
+            f"""owner{n} AS MATERIALIZED (
+  SELECT vec_id, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d
+  FROM (SELECT vec_id, part, entry, {distance} AS d FROM pieces p JOIN book{n} b USING (part)) GROUP BY vec_id, part)"""
+        )
+        if n < rounds:
+            totals = ", ".join(f"CAST(sum(c{i}) AS BIGINT) AS s{i}" for i in places)
+            steps.append(
+                f"""book{n + 1} AS MATERIALIZED (
+  SELECT part, entry, {mean} FROM book{n} b LEFT JOIN (
+    SELECT part, entry, count(*) AS n, {totals} FROM pieces JOIN owner{n} USING (vec_id, part) GROUP BY part, entry) USING (part, entry))"""
+            )
+    entry_text = " || ',' || ".join(f"CAST(c{i} AS VARCHAR)" for i in places)
+    steps.append(
+        f"""codes AS (
+  SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM owner{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg({entry_text}, ',' ORDER BY part, entry)) FROM book{rounds}) AS codebooks_sha256
+FROM codes JOIN kept USING (vec_id)"""
+    )
+    return ",\n".join(steps)
+
+
+@query("op11_dual_tree_codes", vector_codes_sql())
+def dual_tree_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compress(read(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024)
+    digest = F.lit(vector_codes.books_sha256(books))
+    return codes.select("vec_id", "code", "error", "label_error", digest.alias("codebooks_sha256"))
+
+
+#: CRC-32 byte by byte over the distinct words; scores, cut and ranks by one sort.
+RESAMPLING_SQL = r"""
+WITH step AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, CAST(range(8) AS BIGINT[])),
+           lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM (SELECT unnest(CAST(range(256) AS BIGINT[])) AS i))),
+texts AS (
+  SELECT 'd' AS side, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents UNION ALL
+  SELECT 'b', NULL, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+words AS MATERIALIZED (SELECT side, doc_id, word, count(*) AS n FROM (SELECT side, doc_id, unnest(w) AS word FROM texts) GROUP BY ALL),
+buckets AS MATERIALIZED (
+  SELECT word, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+           list_transform(range(len(hex(encode(word))) // 2), lambda i: CAST('0x' || substr(hex(encode(word)), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))),
+           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), CAST(4294967295 AS BIGINT)) % 10000 AS bucket
+  FROM (SELECT DISTINCT word FROM words), step),
+counts AS (
+  SELECT bucket, coalesce(sum(n) FILTER (side = 'd'), 0) AS s, coalesce(sum(n) FILTER (side = 'b'), 0) AS t
+  FROM words JOIN buckets USING (word) GROUP BY bucket),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST(t + 1 AS DOUBLE) * CAST((SELECT sum(s) FROM counts) + 10000 AS DOUBLE)
+         / (CAST(s + 1 AS DOUBLE) * CAST((SELECT sum(t) FROM counts) + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM counts),
+weights AS (
+  SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS total
+  FROM words JOIN buckets USING (word) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY doc_id),
+scored AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features,
+         coalesce((total - ((total % n_features) + n_features) % n_features) // n_features, 0) AS weight,
+         CAST('0x' || substr(sha256('2024:' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) AS h
+  FROM documents LEFT JOIN weights USING (doc_id)),
+noisy AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score FROM scored),
+ranks AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS able FROM noisy WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * able // 100 THEN place END AS rank FROM noisy LEFT JOIN ranks USING (doc_id)
+"""
+
+
+@query("op13_bisection_resampling", RESAMPLING_SQL)
+def bisection_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), percent=10, least_words=20)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
