@@ -16,6 +16,7 @@ from . import (
     substring_dedup,
     suffix_dedup,
     syncmers,
+    toxicity,
     url_filters,
     vector_codes,
     wavelet,
@@ -287,6 +288,11 @@ def dual_tree_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.select("vec_id", "code", "error", "label_error", digest.alias("codebooks_sha256"))
 
 
+@query("op12_levenshtein_toxicity")
+def levenshtein_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), at=0.7)
+
+
 #: CRC-32 byte by byte over the distinct words; scores, cut and ranks by one sort.
 RESAMPLING_SQL = r"""
 WITH step AS (
