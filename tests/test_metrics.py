@@ -52,15 +52,32 @@ def test_collinear_points_are_dropped(spark):
     assert metrics.roc_points(curve, drop_collinear=False).count() == 6
 
 
-def test_bootstrap_weights_are_repeatable_and_average_one(spark):
-    df = spark.range(2000).withColumnRenamed("id", "k")
-    drawn = metrics.bootstrap_weights(df, "k", 5, 10)
-    totals = [r["s"] for r in drawn.groupBy("replicate").agg(F.sum("weight").alias("s")).collect()]
-    assert len(totals) == 5 and all(1850 < t < 2150 for t in totals)
-    again = metrics.bootstrap_weights(df.repartition(7), "k", 5, 10)
+def test_bootstrap_draws_cells_as_poisson_counts(spark):
+    """Cells of 1, 30 and 5,000 rows; many replicates; the same on any partitioning."""
+    sizes = {1: 40, 30: 20, 5000: 4}
+    cells = [("g", 0, float(n * 1000 + i), i % 2, n, str(n * 1000 + i)) for n, m in sizes.items() for i in range(m)]
+    frame = spark.createDataFrame(cells, "group string, _block int, score double, positive int, n long, _key string")
+    drawn = metrics.bootstrap_weights(frame, 150, 10)
+    got = {}
+    for r in drawn.collect():
+        got.setdefault(r.n, []).append(r.weight)
+    for n, m in sizes.items():
+        draws = got[n] + [0] * (150 * m - len(got[n]))
+        mean = sum(draws) / len(draws)
+        spread = sum((x - mean) ** 2 for x in draws) / len(draws)
+        assert abs(mean - n) < 4 * (n / len(draws)) ** 0.5
+        assert 0.8 < spread / n < 1.25
+    again = metrics.bootstrap_weights(frame.repartition(7), 150, 10)
     assert drawn.exceptAll(again).count() == 0
 
 
+def test_cells_hold_all_rows(spark):
+    rows = [(0, 1.5, 1), (1, 1.5, 1), (2, 1.5, 0), (3, 2.0, 0), (4, None, 1), (5, 2.0, None)]
+    df = spark.createDataFrame(rows, "id long, score double, y int")
+    cells = metrics.score_cells(metrics.long_scores(df, ["score"], "y", keep=["id"]), "id").collect()
+    assert sorted((r.score, r.positive, r.n, r._key) for r in cells) == [(1.5, 0, 1, "2"), (1.5, 1, 2, "0"), (2.0, 0, 1, "3")]
+
+
 def test_intervals_hold_the_estimate(spark):
     rng = random.Random(2)
     rows = [(rng.gauss(y, 1), y) for y in (0, 1) for _ in range(150)]

@@ -103,12 +103,18 @@ def confusion(d: Derived):
 # ---- bootstrap ----------------------------------------------------------------------
 
 REPLICATES = 20
-_WEIGHT_SQL = " + ".join(f"(u >= {edge!r}::DOUBLE)::INTEGER" for edge in metrics.POISSON_ONE)
+_SHARES_SQL = "[" + ", ".join(
+    "[" + ", ".join(f"{x!r}::DOUBLE" for x in metrics.poisson_shares(n)) + "]" for n in range(1, metrics.SMALL_CELL + 1)) + "]"
 _BOOT = {
-    "drawn": f"""SELECT grp, rep, score, y, {_WEIGHT_SQL} AS w FROM (
-        SELECT *, ('0x' || substr(md5('10:' || rep || ':' || doc_id), 1, 8))::BIGINT::DOUBLE / 4294967296 AS u
-        FROM (SELECT 'length_score' AS grp, doc_id, length_score AS score, quality AS y FROM scored
-              UNION ALL SELECT 'coarse_score', doc_id, coarse_score, quality FROM scored), range(1, {REPLICATES + 1}) r(rep))""",
+    "rows_of_cells": """SELECT grp, score, y, count(*) AS n, min(doc_id) AS k FROM (
+        SELECT 'length_score' AS grp, doc_id, length_score AS score, quality AS y FROM scored
+        UNION ALL SELECT 'coarse_score', doc_id, coarse_score, quality FROM scored) GROUP BY ALL""",
+    "bits": f"""SELECT *, ('0x' || substr(d, 1, 8))::BIGINT::DOUBLE AS b1, ('0x' || substr(d, 9, 8))::BIGINT::DOUBLE AS b2
+      FROM (SELECT *, md5('10:' || rep || ':' || k) AS d FROM rows_of_cells, range(1, {REPLICATES + 1}) r(rep))""",
+    "normal": "SELECT *, sqrt(-2 * ln((b1 + 0.5) / 4294967296::DOUBLE)) * cos(2 * pi() * b2 / 4294967296::DOUBLE) AS z FROM bits",
+    "drawn": f"""SELECT grp, rep, score, y, CASE WHEN n <= {metrics.SMALL_CELL}
+        THEN len(list_filter(({_SHARES_SQL})[n], lambda x: b1 / 4294967296::DOUBLE >= x))
+        ELSE greatest(0, floor(n + sqrt(n) * z + (z * z - 1) / 6 + 0.5)) END::BIGINT AS w FROM normal""",
     "cells": "SELECT grp, rep, score, sum(y * w)::BIGINT AS pos, sum((1 - y) * w)::BIGINT AS neg FROM drawn WHERE w > 0 GROUP BY ALL",
     "curve": """SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY grp, rep) AS p, sum(neg) OVER (PARTITION BY grp, rep) AS n,
         lead(pos) OVER (PARTITION BY grp, rep ORDER BY score DESC) AS next_pos, lead(neg) OVER (PARTITION BY grp, rep ORDER BY score DESC) AS next_neg,

@@ -7,13 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.clock import HOUR_US, MINUTE_US, micros
+from ..functions.clock import HOUR_US, MINUTE_US, micros, time_block
 from .joins import events_within
+from .prefix import carried, grouped_medians, null_safe
 
 VITAL_COLUMNS = ["ed_temperature", "ed_heartrate", "ed_resprate", "ed_o2sat", "ed_sbp", "ed_dbp", "ed_pain"]
 
 
-SIMPLE_SUMMARIES = {"max": F.max, "min": F.min, "median": F.median, "mean": F.avg}
+SIMPLE_SUMMARIES = {"max": F.max, "min": F.min, "mean": F.avg}
 #: Readings of the same instant count as one: the least for ``first``, the greatest for ``last``.
 ORDERED_SUMMARIES = {"first": (F.min, F.min_by), "last": (F.max, F.max_by)}
 
@@ -29,13 +30,18 @@ def vital_summaries(
 
     ``first`` and ``last`` skip missing values column by column. They are taken over one
     row per instant, which keeps the buffers plain numbers and so the aggregation hashed.
-    The exact ``median`` counts distinct values per stay, so repeated readings cost nothing.
+    The exact ``median`` is found by ranks (:func:`prefix.grouped_medians`), so that no
+    buffer holds the readings of a stay.
     """
-    unknown = set(options) - set(SIMPLE_SUMMARIES) - set(ORDERED_SUMMARIES)
-    if unknown:
-        raise ValueError(f"{sorted(unknown)} not among {[*SIMPLE_SUMMARIES, *ORDERED_SUMMARIES]}")
+    able = [*SIMPLE_SUMMARIES, "median", *ORDERED_SUMMARIES]
+    if unknown := set(options) - set(able):
+        raise ValueError(f"{sorted(unknown)} not among {able}")
     present = [c for c in columns if c in readings.columns]
     simple = [o for o in options if o in SIMPLE_SUMMARIES]
+    if "median" in options and present:
+        medians = grouped_medians(readings, list(keys), present)
+        by_column = [F.max(F.when(F.col("variable") == c, F.col("median"))).alias(f"{c}_median") for c in present]
+        medians = medians.groupBy(*keys).agg(*by_column)
     ordered = [o for o in options if o in ORDERED_SUMMARIES]
     parts = []
     if simple:
@@ -59,7 +65,11 @@ def vital_summaries(
                 ]
             )
         )
-    joined = parts[0] if len(parts) == 1 else parts[0].join(parts[1], list(keys))
+    if not parts:
+        parts.append(readings.select(*keys).distinct())
+    joined = parts[0] if len(parts) == 1 else null_safe(parts[0], parts[1], list(keys))
+    if "median" in options and present:
+        joined = null_safe(joined, medians, list(keys), "left")
     return joined.select(*keys, *[f"{c}_{o}" for o in options for c in present])
 
 
@@ -146,6 +156,10 @@ def lab_pivot(single: DataFrame, items: DataFrame, labels: Sequence[str], groups
     return wide.withColumn("lab_group_idx", F.col("_order.group_idx")).drop("_order")
 
 
+#: Steps of a block of the hourly series.
+STEP_BITS = 10
+
+
 def hourly_series(
     readings: DataFrame,
     columns: Sequence[str],
@@ -161,38 +175,47 @@ def hourly_series(
     leading steps take the value of the next step. Output: (key, time, step, columns).
 
     Only the first and last reading of each step are needed for its neighbours, so
-    readings shrink to one row per (stay, step) before anything is ordered.
+    readings shrink to one row per (stay, step) with readings. What lies around such a row
+    is carried along blocks of steps; the steps up to the next row with readings are made
+    last, from that row alone. No task orders a whole stay, and no made step is shuffled.
     """
     zone = next(f.dataType for f in readings.schema.fields if f.name == time)
     at = readings.filter(F.col(time).isNotNull()).withColumn("_t", micros(time))
     origin = at.groupBy(key).agg(F.min("_t").alias("_origin"), F.max("_t").alias("_end"))
     placed = at.join(origin, key).withColumn("_offset", F.col("_t") - F.col("_origin"))
     on_grid = placed.filter(F.pmod("_offset", F.lit(grid_us)) == 0)
-    step_of = lambda offset: F.call_function("div", offset - F.pmod(offset, F.lit(step_us)), F.lit(step_us))
+    step_of = lambda offset: time_block(offset, step_us)
 
     def edge(column: str, pick) -> Column:
         value = F.col(column)
         return pick(F.when(value.isNotNull(), F.struct(F.col("_offset").alias("x"), value.cast("double").alias("y"))))
 
+    # The first reading is on the grid, so every stay has a row at step 0.
     per_step = on_grid.groupBy(key, step_of(F.col("_offset")).alias("step")).agg(
-        *[edge(c, F.min).alias(f"_first_{c}") for c in columns],
-        *[edge(c, F.max).alias(f"_last_{c}") for c in columns],
-    )
-    steps = origin.select(
-        key, "_origin", F.explode(F.sequence(F.lit(0), step_of(F.col("_end") - F.col("_origin")))).alias("step")
+        F.min("_origin").alias("_origin"),
+        step_of(F.max(F.col("_end") - F.col("_origin"))).alias("_most"),
+        *[edge(c, F.min).alias(f"first_{c}") for c in columns],
+        *[edge(c, F.max).alias(f"last_{c}") for c in columns],
+    ).withColumn("_step", F.col("step"))
+    lined = carried(
+        per_step,
+        [key],
+        "step",
+        F.shiftright("step", STEP_BITS),
+        past=[f"last_{c}" for c in columns],
+        following=["_step", *[f"first_{c}" for c in columns]],
     )
-    line = Window.partitionBy(key).orderBy("step")
-    earlier = line.rowsBetween(Window.unboundedPreceding, -1)
-    back = Window.partitionBy(key).orderBy(F.col("step").desc())
-    later = back.rowsBetween(Window.unboundedPreceding, 0)
-    filled = steps.join(per_step, [key, "step"], "left")
-    # Looking ahead is a growing frame on the reversed order: one addition per row.
-    ahead = filled.withColumns({f"_next_{c}": F.last(f"_first_{c}", ignorenulls=True).over(later) for c in columns})
-    both = ahead.withColumns({f"_past_{c}": F.last(f"_last_{c}", ignorenulls=True).over(earlier) for c in columns})
-    x = F.col("step") * F.lit(step_us)
-
-    def value(column: str) -> Column:
-        past, following = F.col(f"_past_{column}"), F.col(f"_next_{column}")
+    until = F.coalesce(F.col("next__step") - 1, F.col("_most"))
+
+    def value(column: str, step: Column, own: bool) -> Column:
+        """Value at ``step``: the step of the row itself, or one after it and before the next row."""
+        last, first = F.col(f"last_{column}"), F.col(f"first_{column}")
+        past, following = F.col(f"past_last_{column}"), F.col(f"next_first_{column}")
+        if own:
+            following = F.coalesce(first, following)
+        else:
+            past = F.coalesce(last, past)
+        x = step * F.lit(step_us)
         slope = (following.y - past.y) / (following.x - past.x)
         return (
             F.when(following.x == x, following.y)
@@ -201,11 +224,30 @@ def hourly_series(
             .otherwise(past.y + slope * (x - past.x))
         )
 
-    gridded = both.withColumns({f"_v_{c}": value(c) for c in columns})
-    leading = gridded.withColumns({f"_f_{c}": F.last(f"_v_{c}", ignorenulls=True).over(later) for c in columns})
-    return leading.select(
+    # Missing leading steps: the first value at any step. It lies at a row's own step or the one after it.
+    leading = [
+        F.min(
+            F.coalesce(
+                *[
+                    F.when(v.isNotNull(), F.struct(s.alias("step"), v.alias("v")))
+                    for s, v in (
+                        (F.col("step"), value(c, F.col("step"), True)),
+                        (F.col("step") + 1, F.when(until > F.col("step"), value(c, F.col("step") + 1, False))),
+                    )
+                ]
+            )
+        )["v"].alias(f"lead_{c}")
+        for c in columns
+    ]
+    filled = null_safe(lined, lined.groupBy(key).agg(*leading), [key])
+    made = filled.withColumn("_at", F.explode(F.sequence("step", until)))
+    here = F.col("_at") == F.col("step")
+    return made.select(
         key,
-        F.timestamp_micros(F.col("_origin") + x).cast(zone).alias(time),
-        "step",
-        *[F.coalesce(f"_v_{c}", f"_f_{c}").alias(c) for c in columns],
+        F.timestamp_micros(F.col("_origin") + F.col("_at") * F.lit(step_us)).cast(zone).alias(time),
+        F.col("_at").alias("step"),
+        *[
+            F.coalesce(F.when(here, value(c, F.col("_at"), True)).otherwise(value(c, F.col("_at"), False)), F.col(f"lead_{c}")).alias(c)
+            for c in columns
+        ],
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clock import DAY_US, micros, time_block
@@ -40,6 +40,27 @@ def keep_right(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right, keys, "right")
 
 
+def dyadic_blocks(first: str, last: str) -> Column:
+    """The slices ``first`` to ``last`` (columns, both ends included) as aligned blocks of doubling size.
+
+    A list of ``(_level, _block)``; block ``b`` of level ``j`` holds the slices from
+    ``b * 2**j`` on, ``2**j`` of them. At most two blocks of a size are needed, no two of
+    them overlap, and an empty range has none.
+    """
+    low, high = f"-shiftright(-{first}, j)", f"shiftright({last} + 1, j)"
+    return F.expr(
+        f"""flatten(transform(
+          sequence(0, cast(log2(greatest({last} - {first} + 1, 1)) as int) + 1),
+          j -> transform(
+            filter(
+              array(
+                case when {low} < {high} and {low} % 2 <> 0 then {low} end,
+                case when {low} + abs({low} % 2) < {high} and {high} % 2 <> 0 then {high} - 1 end),
+              b -> b is not null),
+            b -> struct(j as _level, b as _block))))"""
+    )
+
+
 def events_within(
     spans: DataFrame,
     events: DataFrame,
@@ -51,12 +72,21 @@ def events_within(
 ) -> DataFrame:
     """Inner join of events to the spans that hold them, both ends included.
 
-    Spans are listed under every time slice they touch and events under their own, so
-    spans and events of a huge key meet slice by slice instead of all with all.
+    A span is listed under the blocks of its dyadic cover, an event under its block of
+    every size that some span uses, so each pair meets in exactly one block: a span of n
+    slices has about ``2 log2 n`` copies, and spans and events of a huge key meet block by
+    block instead of all with all. One narrow job over the spans finds the sizes in use.
     """
     number = lambda column: time_block(micros(column), slice_us)
-    touched = spans.filter(micros(start) <= micros(end)).select(
-        "*", F.explode(F.sequence(number(start), number(end))).alias("_slice")
-    )
-    placed = events.filter(F.col(time).isNotNull()).withColumn("_slice", number(time))
-    return touched.join(placed, [*keys, "_slice"]).filter(F.col(time).between(F.col(start), F.col(end))).drop("_slice")
+    known = spans.filter(micros(start) <= micros(end))
+    placed = known.select("*", number(start).alias("_first"), number(end).alias("_last"))
+    listed = placed.select("*", F.inline(dyadic_blocks("_first", "_last"))).drop("_first", "_last")
+    narrow = placed.select(F.explode(dyadic_blocks("_first", "_last")["_level"]).alias("j"))
+    used = narrow.agg(F.bit_or(F.pow(F.lit(2.0), "j").cast("long"))).first()[0] or 1
+    at = events.filter(F.col(time).isNotNull()).withColumn("_slice", number(time))
+    blocks = [
+        F.struct(F.lit(j).alias("_level"), F.shiftright("_slice", j).alias("_block")) for j in range(63) if used >> j & 1
+    ]
+    at = at.select("*", F.inline(F.array(*blocks))).drop("_slice")
+    on = [*keys, "_level", "_block"]
+    return listed.join(at, on).filter(F.col(time).between(F.col(start), F.col(end))).drop("_level", "_block")

@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from itertools import accumulate
-from math import exp, factorial
+from math import exp, factorial, pi
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import float_text
-from .prefix import rank_blocks, running_totals
+from .prefix import block_count, rank_blocks, running_totals
 
 GROUP = ["group"]
 
@@ -23,14 +23,14 @@ GROUP = ["group"]
 def long_scores(df: DataFrame, scores: Sequence[str], label: str, keep: Sequence[str] = ()) -> DataFrame:
     """Rows (keep, ``group`` = score name, ``score``, ``positive``, ``_block``) from several score columns.
 
-    Rows without a score or a label are left out; a NaN score is an error, as it has no rank.
+    Blocks count up while scores fall. Rows without a score or a label are left out; a NaN score is an error, as it has no rank.
     """
     no_rank = lambda s: F.when(F.isnan(s), F.raise_error(F.lit(f"{s} is NaN"))).otherwise(F.col(s).cast("double"))
     df = df.select(*keep, label, *[no_rank(s).alias(s) for s in scores])
     ranked = rank_blocks(df, scores)
     cells = F.array(
         *[
-            F.struct(F.lit(s).alias("group"), F.col(s).alias("score"), F.col(f"{s}_block").alias("_block"))
+            F.struct(F.lit(s).alias("group"), F.col(s).alias("score"), (-F.col(f"{s}_block")).alias("_block"))
             for s in scores
         ]
     )
@@ -38,7 +38,11 @@ def long_scores(df: DataFrame, scores: Sequence[str], label: str, keep: Sequence
     return flat.select(*keep, "positive", "x.*").filter(F.col("score").isNotNull() & F.col("positive").isNotNull())
 
 
-def cumulative(scored: DataFrame, by: Sequence[str] = GROUP, weight: Column | None = None) -> DataFrame:
+#: Rows of a table of block totals that may be sent to every task.
+SMALL_TABLE = 200_000
+
+
+def cumulative(scored: DataFrame, by: Sequence[str] = GROUP, weight: Column | None = None, small: bool = False) -> DataFrame:
     """One row per (group, distinct score), highest score first:
 
     ``pos``/``neg`` at this score, ``tp``/``fp`` down to and with it, ``*_before`` above it,
@@ -52,7 +56,7 @@ def cumulative(scored: DataFrame, by: Sequence[str] = GROUP, weight: Column | No
         (F.col("positive") * weight).cast("long").alias("pos"),
         ((1 - F.col("positive")) * weight).cast("long").alias("neg"),
     )
-    totals = running_totals(counted, by, "down", ["pos", "neg"], -F.col("_block"), with_next=True)
+    totals = running_totals(counted, by, "down", ["pos", "neg"], "_block", with_next=True, small=small)
     return totals.select(
         *by,
         # 0.0 - x keeps a zero score from turning into -0.0.
@@ -171,23 +175,42 @@ def confusion(df: DataFrame, predicted: Column, label: Column, by: Sequence[str]
     return counted.withColumn("f1", F.coalesce(f1, F.lit(0.0)))
 
 
-#: P(count <= k) of a Poisson(1) count for k = 0, 1, 2, ... up to where 32 random bits
-#: can tell no further count apart.
-POISSON_ONE = list(accumulate(exp(-1) / factorial(k) for k in range(13)))
+#: Cells of up to so many rows draw their count by inversion, larger ones from a normal deviate.
+SMALL_CELL = 30
+
+
+def poisson_shares(mean: int) -> list[float]:
+    """P(count <= k) of a Poisson count for k = 0, 1, 2, ... up to where 32 random bits tell no further count apart."""
+    shares = list(accumulate(exp(-mean) * mean**k / factorial(k) for k in range(mean + 80)))
+    return shares[: next(i for i, x in enumerate(shares) if 1 - x < 2**-33) + 1]
+
+
+def score_cells(scored: DataFrame, key: str) -> DataFrame:
+    """One row per (group, score, label) with its number of rows ``n`` and its least ``key``."""
+    return scored.groupBy("group", "_block", "score", "positive").agg(
+        F.count(F.lit(1)).alias("n"), F.min(key).cast("string").alias("_key")
+    )
 
 
-def bootstrap_weights(scored: DataFrame, key: str, replicates: int, seed: int) -> DataFrame:
-    """Every row once per replicate with a Poisson(1) weight above zero.
+def bootstrap_weights(cells: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """Every cell once per replicate with the number of its rows that are drawn, above zero.
 
-    Weights come from a hash of (seed, replicate, key): a lost task draws the same ones
-    again. They stand for drawing n rows with replacement, without a shuffle.
+    Poisson(1) counts of n rows add up to a Poisson(n) count, so a cell is drawn as a
+    whole: by inversion if n is small, else by a normal deviate with the skewness put
+    right. Draws come from a hash of (seed, replicate, least key of the cell): a lost task
+    draws the same again. Replicates are made after the shuffle to score blocks and stay there.
     """
-    drawn = scored.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("replicate").cast("string"), F.lit(":"), F.col(key).cast("string")))
-    uniform = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(2**32)
-    weight = sum([F.when(uniform >= edge, 1).otherwise(0) for edge in POISSON_ONE[1:]],
-                 F.when(uniform >= POISSON_ONE[0], 1).otherwise(0))
-    return drawn.withColumn("weight", weight).filter("weight > 0")
+    drawn = cells.repartition("group", "_block").withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    text = F.concat(F.lit(f"{seed}:"), F.col("replicate").cast("string"), F.lit(":"), F.coalesce("_key", F.lit("")))
+    drawn = drawn.withColumn("_digest", F.md5(text))
+    bits = lambda first: F.conv(F.substring("_digest", first, 8), 16, 10).cast("double")
+    table = F.array(*[F.array(*[F.lit(x) for x in poisson_shares(n)]) for n in range(1, SMALL_CELL + 1)])
+    uniform = bits(1) / float(2**32)
+    few = F.size(F.filter(F.get(table, F.col("n").cast("int") - 1), lambda share: uniform >= share))
+    z = F.sqrt(-2 * F.log((bits(1) + 0.5) / float(2**32))) * F.cos(2 * pi * bits(9) / float(2**32))
+    many = F.greatest(F.lit(0), F.floor(F.col("n") + F.sqrt("n") * z + (z * z - 1) / 6 + 0.5))
+    weight = F.when(F.col("n") <= SMALL_CELL, few).otherwise(many)
+    return drawn.withColumn("weight", weight.cast("long")).filter("weight > 0").drop("_digest")
 
 
 METRICS = ["auroc", "ap", "sensitivity", "specificity"]
@@ -195,9 +218,11 @@ METRICS = ["auroc", "ap", "sensitivity", "specificity"]
 
 def bootstrap_replicates(df: DataFrame, scores: Sequence[str], label: str, key: str, replicates: int = 200, seed: int = 10) -> DataFrame:
     """Metrics of every bootstrap replicate; replicates with one class only are left out."""
-    scored = long_scores(df, scores, label, keep=[key])
+    cells = score_cells(long_scores(df, scores, label, keep=[key]), key)
     by = ["group", "replicate"]
-    curve = cumulative(bootstrap_weights(scored, key, replicates, seed), by, F.col("weight"))
+    # What blocks hand on has a row per block, score column and replicate.
+    small = block_count(df) * len(scores) * replicates <= SMALL_TABLE
+    curve = cumulative(bootstrap_weights(cells, replicates, seed), by, F.col("weight"), small)
     return ranking_metrics(curve, by).filter("auroc is not null")
 
 

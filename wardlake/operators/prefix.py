@@ -49,13 +49,15 @@ def running_totals(
     sums: Sequence[str],
     block: Column | str,
     with_next: bool = False,
+    small: bool = False,
 ) -> DataFrame:
     """One row per distinct (``by``, ``order``).
 
     For every column ``c`` of ``sums`` the row holds ``c`` (total of the rows with this
     order value), ``c_before`` (total of all smaller order values in the group) and
     ``c_total`` (total of the group). ``with_next`` adds ``next_<order>`` and
-    ``next_<c>``, taken from the next order value of the group.
+    ``next_<c>``, taken from the next order value of the group. ``small`` says that the
+    table of block totals may be broadcast, so that the rows stay where they are.
 
     Rows without a group or a block are left out. ``block`` must never fall while ``order`` rises; how even the blocks are decides the
     task sizes, never the result.
@@ -88,7 +90,7 @@ def running_totals(
         *[F.coalesce(F.sum(c).over(so_far), F.lit(0)).alias(f"_{c}_inside") for c in sums],
         *([F.lead(F.struct(order, *sums)).over(inside).alias("_next_inside")] if with_next else []),
     )
-    joined = scanned.join(carried, keys)
+    joined = scanned.join(F.broadcast(carried) if small else carried, keys)
     out = [
         *by,
         order,
@@ -118,48 +120,110 @@ def rank_blocks(df: DataFrame, values: Sequence[str], blocks: int | None = None)
     doubles = df.withColumns({v: F.col(v).cast("double") for v in values})
     probabilities = [i / blocks for i in range(1, blocks)]
     edges = doubles.approxQuantile(list(values), probabilities, 1.0 / (4 * blocks))
-    splits = [[-float("inf"), *sorted({x for x in e if isfinite(x)}), float("inf")] for e in edges]
-    bucketizer = Bucketizer(
-        splitsArray=splits,
-        inputCols=list(values),
-        outputCols=[f"{v}_block" for v in values],
-        handleInvalid="keep",
-    )
-    bucketed = bucketizer.transform(doubles)
+    inner = {v: sorted({x for x in e if isfinite(x)}) for v, e in zip(values, edges)}
+    # A column without a finite value (empty, all NULL, all infinite) has one block.
+    cut = [v for v in values if inner[v]]
+    bucketed = doubles.withColumns({f"{v}_block": F.lit(0) for v in values if not inner[v]})
+    if cut:
+        bucketizer = Bucketizer(
+            splitsArray=[[-float("inf"), *inner[v], float("inf")] for v in cut],
+            inputCols=cut,
+            outputCols=[f"{v}_block" for v in cut],
+            handleInvalid="keep",
+        )
+        bucketed = bucketizer.transform(bucketed)
     return bucketed.withColumns(
         {f"{v}_block": F.when(F.col(v).isNotNull(), F.col(f"{v}_block").cast("int")) for v in values}
     )
 
 
-def exact_medians(df: DataFrame, columns: Sequence[str], blocks: int | None = None) -> DataFrame:
-    """Rows (``variable``, ``median``): the exact median of each column, missing values skipped.
+def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where NULL equals NULL; the keys come from ``left``."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(renamed, reduce(and_, same), how).drop(*[f"_r_{k}" for k in keys])
+
 
-    Equal values are counted before they are shuffled and no task holds a whole column.
+def grouped_medians(df: DataFrame, keys: Sequence[str], columns: Sequence[str], blocks: int | None = None) -> DataFrame:
+    """Rows (``keys``, ``variable``, ``median``): exact medians per group, missing values skipped.
+
+    Rank selection in two steps: rows are counted per group and value block (on the map
+    side first), which tells the block that holds the middle; only values of that block
+    are counted one by one. A group is never gathered, however large it is: a block holds
+    about as many rows of all groups together as any other. Groups without a value have
+    no row.
     """
-    ranked = rank_blocks(df.select(*columns), columns, blocks)
+    if not columns:
+        raise ValueError("no columns")
+    ranked = rank_blocks(df.select(*keys, *columns), columns, blocks)
     cells = F.array(
         *[
-            F.struct(
-                F.lit(c).alias("variable"),
-                F.col(c).alias("value"),
-                F.col(f"{c}_block").alias("cell"),
-            )
+            F.struct(F.lit(c).alias("variable"), F.col(c).alias("_value"), F.col(f"{c}_block").alias("_cell"))
             for c in columns
         ]
     )
-    long = (
-        ranked.select(F.explode(cells).alias("x"))
-        .select("x.*")
-        .filter(F.col("value").isNotNull() & ~F.isnan("value"))
-        .withColumn("n", F.lit(1))
+    long = ranked.select(*keys, F.inline(cells)).filter(F.col("_value").isNotNull() & ~F.isnan("_value"))
+    group = [*keys, "variable"]
+    along = Window.partitionBy(*group).orderBy("_cell")
+    counted = long.groupBy(*group, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    counted = counted.select(
+        "*",
+        F.coalesce(F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.sum("_n").over(Window.partitionBy(*group)).alias("_all"),
     )
-    totals = running_totals(long, ["variable"], "value", ["n"], F.col("cell"))
     # Ranks start at 1; an even count takes the mean of its two middle values.
-    low = F.floor((F.col("n_total") + 1) / 2)
-    high = F.floor(F.col("n_total") / 2) + 1
-    holds = lambda rank: (F.col("n_before") < rank) & (rank <= F.col("n_before") + F.col("n"))
+    low, high = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
+    holds = lambda rank: (F.col("_before") < rank) & (rank <= F.col("_before") + F.col("_n"))
+    middle = counted.filter(holds(low) | holds(high)).drop("_n")
+    values = null_safe(long, middle, [*group, "_cell"]).groupBy(*group, "_cell", "_value").agg(
+        F.count(F.lit(1)).alias("_n"), F.first("_before").alias("_base"), F.first("_all").alias("_all")
+    )
+    inside = Window.partitionBy(*group, "_cell").orderBy("_value").rowsBetween(Window.unboundedPreceding, -1)
+    values = values.withColumn("_before", F.col("_base") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
     return (
-        totals.filter(holds(low) | holds(high))
-        .groupBy("variable")
-        .agg(((F.min("value") + F.max("value")) / 2).alias("median"))
+        values.filter(holds(low) | holds(high))
+        .groupBy(*group)
+        .agg(((F.min("_value") + F.max("_value")) / 2).alias("median"))
+    )
+
+
+def exact_medians(df: DataFrame, columns: Sequence[str], blocks: int | None = None) -> DataFrame:
+    """Rows (``variable``, ``median``) for every column; the median of a column without values is NULL."""
+    names = F.explode(F.array(*[F.lit(c) for c in columns])).alias("variable")
+    every = df.sparkSession.range(1).select(names)
+    return every.join(grouped_medians(df, [], columns, blocks), "variable", "left")
+
+
+def carried(df: DataFrame, by: Sequence[str], order: str, block: Column, past: Sequence[str], following: Sequence[str]) -> DataFrame:
+    """``df`` with ``past_<c>``, the last value of ``c`` in an earlier row, and ``next_<c>``, the first in a later one.
+
+    NULL values are passed over. (``by``, ``order``) is unique. Rows are scanned per
+    ``block`` (which must not fall while ``order`` rises), and what a block hands on comes
+    from a table with one row per block, so no task holds a whole group.
+    """
+    keys = [*by, "_block"]
+    rows = df.withColumn("_block", block)
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    ahead, back = Window.partitionBy(*keys).orderBy(order), Window.partitionBy(*keys).orderBy(F.desc(order))
+    # Looking ahead is a growing frame on the reversed order: one step per row.
+    scanned = rows.select(
+        "*",
+        *[F.last(c, ignorenulls=True).over(earlier(ahead)).alias(f"_in_past_{c}") for c in past],
+        *[F.last(c, ignorenulls=True).over(earlier(back)).alias(f"_in_next_{c}") for c in following],
+    )
+    held = lambda c: F.when(F.col(c).isNotNull(), F.struct(order, F.col(c).alias("v")))
+    ends = rows.groupBy(*keys).agg(
+        *[F.max(held(c))["v"].alias(f"_last_{c}") for c in past], *[F.min(held(c))["v"].alias(f"_first_{c}") for c in following]
+    )
+    along, against = Window.partitionBy(*by).orderBy("_block"), Window.partitionBy(*by).orderBy(F.desc("_block"))
+    handed = ends.select(
+        *keys,
+        *[F.last(f"_last_{c}", ignorenulls=True).over(earlier(along)).alias(f"_on_past_{c}") for c in past],
+        *[F.last(f"_first_{c}", ignorenulls=True).over(earlier(against)).alias(f"_on_next_{c}") for c in following],
+    )
+    joined = null_safe(scanned, handed, keys)
+    return joined.select(
+        *df.columns,
+        *[F.coalesce(f"_in_past_{c}", f"_on_past_{c}").alias(f"past_{c}") for c in past],
+        *[F.coalesce(f"_in_next_{c}", f"_on_next_{c}").alias(f"next_{c}") for c in following],
     )
