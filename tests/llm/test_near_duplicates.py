@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from wardlake.llm import order_minhash
+from wardlake.llm import hashing, order_minhash
 
 from .conftest import words
 
@@ -110,7 +110,9 @@ def test_pairs_in_one_wide_bucket(spark, rounds):
     assert got == classes(rows)
 
 
-def test_reachable_pairs_hold_every_link(spark):
+@pytest.mark.parametrize("frequent", [3, 64])
+def test_reachable_pairs_hold_every_link(spark, monkeypatch, frequent):
+    monkeypatch.setattr(order_minhash, "FREQUENT", frequent)
     own, rows = np.random.default_rng(3), []
     for node in range(150):
         body = own.integers(0, 6, own.integers(1, 40)) if node % 3 == 0 else rows[own.integers(0, len(rows))][1].copy()
@@ -119,12 +121,16 @@ def test_reachable_pairs_hold_every_link(spark):
         rows.append((node, body))
     table = [(node, bytearray(body.astype("<u4").tobytes())) for node, body in rows]
     sequences = spark.createDataFrame(table, "node long, sequence binary")
-    found = [(r.node, r.hub) for r in order_minhash._reachable(sequences, 0.8).collect()]
+    # Every third node is of one class already; all share two buckets.
+    left = spark.createDataFrame([(node, -1 if node % 3 == 1 else node) for node, _ in rows], "node long, label long")
+    buckets = spark.createDataFrame([(band, 7, node) for node, _ in rows for band in (2, 5)], "band int, element long, node long")
+    found = [(r.node, r.hub) for r in order_minhash._reachable(sequences, left, buckets, 0.8).collect()]
+    assert not any(a % 3 == b % 3 == 1 for a, b in found)
     assert len(found) == len(set(found)) == len({frozenset(p) for p in found})
     held = {frozenset(p) for p in found}
     for i, a in rows:
         for j, b in rows[:i]:
-            if order_minhash.alignment(a, b, 0.8):
+            if not i % 3 == j % 3 == 1 and order_minhash.alignment(a, b, 0.8):
                 assert frozenset((i, j)) in held
 
 
@@ -145,3 +151,18 @@ def test_order_counts(spark):
 def test_empty_table(no_docs):
     assert order_minhash.near_duplicates(no_docs).count() == 0
     assert order_minhash.keep_one(no_docs).count() == 0
+
+
+def test_slices_longer_than_their_positions(monkeypatch):
+    """With few bits for positions the long way is taken; samples and anchors stay the same."""
+    own = np.random.default_rng(6)
+    values = own.integers(0, 2**63, 5000).astype(np.uint64)
+    values[own.integers(0, 5000, 900)] = values[0]
+    first = np.array([0, 0, 1, 4, 3000, 3000, 5000])
+    sketch = order_minhash.order_sketch(values, first, 12, 2)
+    near = hashing.anchors(values, 20)
+    monkeypatch.setattr(order_minhash, "PLACE_BITS", 8)
+    monkeypatch.setattr(hashing, "PLACE_BITS", 8)
+    assert (order_minhash.order_sketch(values, first, 12, 2) == sketch).all()
+    assert (hashing.anchors(values, 20) == near).all()
+    assert len(hashing.anchors(values[:19], 20)) == 0

@@ -132,8 +132,12 @@ PLACE_BITS = 24
 def anchors(grams: np.ndarray, width: int) -> np.ndarray:
     """For each stretch of ``width`` k-grams the position of its least one."""
     place = U((1 << PLACE_BITS) - 1)
-    if len(grams) > int(place):
-        raise ValueError("a slice is too long for its positions")
+    most = max(int(place), 2 * width)
+    if len(grams) > most:
+        # Parts of a very long slice overlap by a stretch less one, so each stretch lies in one part.
+        step = most - width + 1
+        parts = [anchors(grams[i : i + most], width) + i for i in range(0, len(grams) - width + 1, step)]
+        return np.concatenate(parts)
     keyed = (grams & ~place) | np.arange(len(grams), dtype=U)
     return (sliding_min(keyed, width) & place).astype(np.int64)
 

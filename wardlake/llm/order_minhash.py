@@ -14,13 +14,15 @@ Equal texts are one node. In a bucket every node is compared with three hubs, no
 every other node: the one that shares most buckets with others, one drawn from all and
 one drawn from outside the bucket's largest class. Nodes that fall into one class are not
 compared again; nodes that stay apart meet further hubs in later rounds. Buckets of a few
-nodes are so compared in full. Buckets that hold several classes beside their hubs after
-the last round are finished exactly: all pairs of their nodes that can reach the
-similarity by a prefix filter over their labelled shingles are aligned. A link is lost
-only if its ends share no bucket (below one in 100,000 at a similarity of 0.8).
+nodes are so compared in full. Nodes of buckets that hold several classes beside their
+hubs after the last round are finished exactly, nodes of one class never with each other:
+pairs that share a rare shingle are found by it, pairs that can be similar by frequent
+shingles alone by the bucket (see ``_reachable``). A link is lost only if its ends share no
+bucket (below one in 100,000 at a similarity of 0.8).
 
 Edge cases: a null text counts as empty; texts without words are classes of equal texts;
-a text of fewer than five words is one shingle; an empty table gives an empty table; rows
+a text of fewer than five words is one shingle; a very long text is one slice of any
+length; an empty table gives an empty table; rows
 that share a ``doc_id`` are told apart by text, and a null ``doc_id`` comes last as a
 class id; other columns do not matter.
 """
@@ -38,8 +40,8 @@ from .tables import fresh_name, materialize, texts
 
 BANDS = 12
 TAKE = 2
-#: Nodes of one shingle that are joined in one block.
-BLOCK_NODES = 1_000
+#: Nodes that a shingle may have to be joined by it.
+FREQUENT = 64
 MOST = U(0xFFFFFFFFFFFFFFFF)
 
 
@@ -75,18 +77,23 @@ def order_sketch(values: np.ndarray, first: np.ndarray, bands: int, take: int) -
     some = np.flatnonzero(np.diff(first) > 0)
     heads = first[some]
     place = U((1 << PLACE_BITS) - 1)
-    index = np.arange(len(labels), dtype=U)
-    if len(labels) > int(place):
-        raise ValueError("a slice is too long for its positions")
+    # The place in the low bits lets one pass over all texts find the least; where a slice
+    # is longer than these bits can count, texts are looked through one by one.
+    long = len(labels) > int(place)
+    index = np.arange(0 if long else len(labels), dtype=U)
     factors = randoms(bands, 11)
     out = np.zeros((len(some), bands), U)
     for band in range(bands):
-        keyed = (mix(labels * factors[band]) & ~place) | index
+        keyed = mix(labels * factors[band]) & ~place
+        if not long:
+            keyed |= index
         places = np.full((len(some), take), len(labels), np.int64)
         for t in range(take):
-            least = np.minimum.reduceat(keyed, heads)
             left = (np.diff(first)[some] > t)
-            at = (least & place).astype(np.int64)
+            if long:
+                at = np.array([a + int(keyed[a:b].argmin()) for a, b in zip(heads.tolist(), first[some + 1].tolist())])
+            else:
+                at = (np.minimum.reduceat(keyed, heads) & place).astype(np.int64)
             places[left, t] = at[left]
             keyed[at[left]] = MOST
         places.sort(axis=1)
@@ -224,45 +231,61 @@ def _labels(sequences: DataFrame) -> DataFrame:
     return sequences.mapInArrow(label, "node long, n long, token long")
 
 
-def _reachable(sequences: DataFrame, similarity: float) -> DataFrame:
-    """All pairs ``(node, hub)`` of ``sequences`` that may reach ``similarity``, each once.
+def _reachable(sequences: DataFrame, left: DataFrame, buckets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``(node, hub)`` of ``left (node, label)`` that may reach ``similarity``, of different labels, each once.
 
-    Of two sets of n >= m shingles with a Jaccard similarity of at least s, the first
-    ``n - s n + 1`` shingles of the one and ``m - 2 s / (1 + s) m + 1`` of the other, rare
-    ones first, have one in common. How many they have there, and how many can follow the
-    last of those, bounds what the two have in common at all. Shingles of a single node
-    only count for the places of the others.
+    Shingles are put in one order, rare ones first. Of two sets of n >= m shingles with a
+    Jaccard similarity of at least s, the first ``n - s n + 1`` shingles of the one and
+    ``m - 2 s / (1 + s) m + 1`` of the other have one in common.
+
+    A shingle of at most ``FREQUENT`` nodes there is joined; a pair that shares any such
+    shingle at all shares one there, if a node's part reaches its frequent ones. What is
+    left are pairs that share frequent shingles only, so both have enough of these; they
+    are met in their buckets, in the first band that they share.
     """
-    tokens = materialize(_labels(sequences))
-    often = tokens.groupBy("token").agg(F.count("*").alias("often")).filter("often > 1")
-    ranked = (
+    tokens = materialize(_labels(sequences.join(left.select("node"), "node", "left_semi")))
+    often = tokens.groupBy("token").agg(F.count("*").alias("often"))
+    rare = F.col("often").between(2, FREQUENT)
+    nodes = (
         tokens.join(often, "token")
         .groupBy("node", "n")
-        .agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("all"))
+        .agg(
+            F.count_if(F.col("often") == 1).alias("single"),
+            F.count_if(F.col("often") > FREQUENT).alias("frequent"),
+            F.array_sort(F.collect_list(F.when(rare, F.struct("often", "token")))).alias("rare"),
+        )
+        .join(left, "node")
     )
+    nodes = materialize(nodes)
+    need = (F.col("n") + F.col("m")) * (similarity / (1 + similarity)) - 1e-9
     prefix = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1
-    placed = ranked.select("node", "n", (F.col("n") - F.size("all")).alias("single"), F.posexplode("all").alias("i", "x"))
-    placed = placed.select("node", "n", (F.col("single") + F.col("i")).alias("place"), "x.often", "x.token").filter(
-        F.col("place") < prefix
-    )
-    placed = materialize(placed.withColumn("blocks", F.ceil(F.col("often") / BLOCK_NODES).cast("int")).drop("often"))
     short = F.col("n") - F.ceil(F.col("n") * (2 * similarity / (1 + similarity)) - 1e-9) + 1
-    ours = placed.filter(F.col("place") < short).select(
-        "token",
-        F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"),
-        F.col("node").alias("hub"),
-        F.col("n").alias("m"),
-        F.col("place").alias("hub_place"),
+    placed = nodes.select("node", "label", "n", "single", F.posexplode("rare").alias("i", "x")).select(
+        "node", "label", "n", (F.col("single") + F.col("i")).alias("place"), "x.token"
+    )
+    hub = lambda frame, *more: frame.select(
+        F.col("node").alias("hub"), F.col("label").alias("hub_label"), F.col("n").alias("m"), *more
     )
-    theirs = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    ours = hub(placed.filter(F.col("place") < short), "token", F.col("place").alias("hub_place"))
     longer = (F.col("n") > F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("node") > F.col("hub")))
-    pairs = theirs.join(ours, ["token", "block"]).filter(longer & (F.col("m") >= F.col("n") * similarity - 1e-9))
+    able = longer & (F.col("label") != F.col("hub_label")) & (F.col("m") >= F.col("n") * similarity - 1e-9)
+    pairs = placed.filter(F.col("place") < prefix).join(ours, "token").filter(able)
     pairs = pairs.groupBy("node", "hub", "n", "m").agg(
         F.count("*").alias("common"), F.max("place").alias("place"), F.max("hub_place").alias("hub_place")
     )
     after = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("hub_place")) - 1
-    need = (F.col("n") + F.col("m")) * (similarity / (1 + similarity)) - 1e-9
-    return pairs.filter(F.col("common") + after >= need).select("node", "hub")
+    some = pairs.filter(F.col("common") + after >= need).select("node", "hub")
+    # Nodes that may reach it by frequent shingles alone, and with whom.
+    full = nodes.filter(F.col("frequent") >= F.col("n") * similarity - 1e-9).select("node", "label", "n", "frequent")
+    bands = buckets.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("band", "element"))).alias("bands"))
+    full = materialize(buckets.select("node", "band", "element").join(full.join(bands, "node"), "node"))
+    several = full.groupBy("band", "element").agg(F.min("label").alias("least"), F.max("label").alias("most"))
+    full = full.join(several.filter("least <> most").select("band", "element"), ["band", "element"])
+    theirs = hub(full, "band", "element", F.col("frequent").alias("hub_frequent"), F.col("bands").alias("hub_bands"))
+    first = F.element_at(F.array_intersect("bands", "hub_bands"), 1)["band"] == F.col("band")
+    enough = F.least("frequent", "hub_frequent") >= need
+    rest = full.join(theirs, ["band", "element"]).filter(able & enough & first).select("node", "hub")
+    return some.unionByName(rest).distinct()
 
 
 def _unmet(buckets: DataFrame, labels: DataFrame | None, used: DataFrame | None) -> DataFrame:
@@ -282,7 +305,7 @@ def near_duplicates(
     size: int = 5,
     bands: int = BANDS,
     take: int = TAKE,
-    rounds: int = 5,
+    rounds: int = 3,
 ) -> DataFrame:
     """Per document row ``doc_id, digest, class_id``: the least ``doc_id`` of its class.
 
@@ -352,9 +375,7 @@ def near_duplicates(
         labels = components(links)
     left = materialize(_unmet(buckets, labels, used))
     if not left.isEmpty():
-        pairs = _reachable(sequences.join(left.select("node"), "node", "left_semi"), similarity)
-        other = left.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
-        pairs = pairs.join(left, "node").join(other, "hub").filter("label <> hub_label").select("node", "hub")
+        pairs = _reachable(sequences, left, buckets.select("band", "element", "node"), similarity)
         if met is not None:
             pairs = pairs.join(met, ["node", "hub"], "left_anti")
             pairs = pairs.join(met.select(F.col("hub").alias("node"), F.col("node").alias("hub")), ["node", "hub"], "left_anti")
