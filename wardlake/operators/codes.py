@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clock import DAY_US, micros, time_block
 from ..functions.parse import ATC_PREFIX_LENGTHS, atc_levels, clean_code
+from ..session import materialize
 from .comorbidity_groups import FLAGS
 
 #: A dimension below this many rows is copied to every executor, a larger one is shuffled.
@@ -141,6 +142,56 @@ def _slices(df: DataFrame, time_us: Column, width_us: int) -> DataFrame:
 FLAGS_PER_MASK = 62
 
 
+def recent_facts(
+    visits: DataFrame,
+    events: DataFrame,
+    facts: Sequence[str],
+    event_time: str,
+    days: int,
+    subject: str = "subject_id",
+    start: str = "intime",
+    key: str = "stay_id",
+) -> DataFrame:
+    """Rows (subject, key, ``_hits``): per visit the distinct ``facts`` of events with ``0 < start - time <= days``.
+
+    Events shrink on the map side to the first and last time per (subject, time slice,
+    facts), and all of a (subject, slice) are packed into one row. A visit meets that one
+    row and filters its marks, so visits are neither multiplied nor grouped again.
+    """
+    width = days * DAY_US
+    timed = events.filter(F.col(event_time).isNotNull()).select(F.col(subject), *facts, micros(event_time).alias("_time"))
+    marks = _slices(timed, F.col("_time"), width).groupBy(subject, "_slice", *facts).agg(
+        F.min("_cur").alias("_first"), F.max("_prev").alias("_last")
+    )
+    packed = marks.groupBy(subject, "_slice").agg(F.collect_list(F.struct("_first", "_last", *facts)).alias("_marks"))
+    at = micros(start)
+    asked = visits.select(F.col(key), F.col(subject), at.alias("_at"), time_block(at, width).alias("_slice"))
+    recent = lambda m: (m["_first"] < F.col("_at")) | (m["_last"] >= F.col("_at") - F.lit(width))
+    met = asked.join(packed, [subject, "_slice"])
+    hits = F.transform(F.filter("_marks", recent), lambda m: F.struct(*[m[f].alias(f) for f in facts]))
+    return met.select(subject, key, hits.alias("_hits"))
+
+
+def _masks(flag_numbers: Sequence[Column], flags: int) -> list[Column]:
+    """One whole number per ``FLAGS_PER_MASK`` flags with the bit of every flag number given."""
+    chunks = range((flags + FLAGS_PER_MASK - 1) // FLAGS_PER_MASK)
+    bit = lambda n, k: F.when(
+        F.floor(n / FLAGS_PER_MASK) == k, F.call_function("shiftleft", F.lit(1).cast("long"), (n - k * FLAGS_PER_MASK).cast("int"))
+    ).otherwise(F.lit(0).cast("long"))
+    return [F.bit_or(bit(n, k)).alias(f"_mask_{k}") for k in chunks for n in flag_numbers]
+
+
+def _flag_columns(visits: DataFrame, hits: DataFrame, flags: Sequence[str], subject: str, key: str) -> DataFrame:
+    """0/1 columns from the bit masks in ``_hits``, joined to the visits once."""
+    chunks = range((len(flags) + FLAGS_PER_MASK - 1) // FLAGS_PER_MASK)
+    zero = F.lit(0).cast("long")
+    folded = lambda k: F.aggregate("_hits", zero, lambda x, h: x.bitwiseOR(F.coalesce(h[f"_mask_{k}"], zero)))
+    masks = hits.select(subject, key, *[folded(k).alias(f"_mask_{k}") for k in chunks])
+    joined = visits.join(masks, [subject, key], "left")
+    lit_up = lambda i: F.getbit(F.coalesce(F.col(f"_mask_{i // FLAGS_PER_MASK}"), zero), F.lit(i % FLAGS_PER_MASK))
+    return joined.select(*visits.columns, *[lit_up(i).cast("int").alias(f) for i, f in enumerate(flags)])
+
+
 def lookback_flags(
     visits: DataFrame,
     events: DataFrame,
@@ -154,30 +205,52 @@ def lookback_flags(
 ) -> DataFrame:
     """0/1 column per flag: an event with that flag has ``0 < start - time <= days``.
 
-    Events shrink to one row per (subject, time slice, flag) on the map side, so a visit
-    meets each flag once, however many events its subject has. Only visit keys and times
-    take part; the hits fold into bit masks that are joined to the visits at the end.
+    Only visit keys and times take part in the look-back (:func:`recent_facts`); its hits
+    are bit masks that are joined to the visits at the end.
     """
     numbers = F.create_map(*[F.lit(x) for i, f in enumerate(flags) for x in (f, i)])
-    timed = events.filter(F.col(event_time).isNotNull()).select(
-        F.col(subject), numbers[F.col(flag_column)].alias("_flag"), F.col(event_time)
-    )
-    hits = lookback_codes(
-        visits, timed.filter(F.col("_flag").isNotNull()), "_flag", event_time, days, subject, start, key
-    )
-    chunks = range((len(flags) + FLAGS_PER_MASK - 1) // FLAGS_PER_MASK)
-    bit = lambda k: F.expr(f"shiftleft(1L, cast(_flag - {k * FLAGS_PER_MASK} as int))")
-    masks = hits.groupBy(subject, key).agg(
-        *[
-            F.bit_or(F.when(F.floor(F.col("_flag") / FLAGS_PER_MASK) == k, bit(k)).otherwise(F.lit(0).cast("long"))).alias(f"_mask_{k}")
-            for k in chunks
-        ]
-    )
-    joined = visits.join(masks, [subject, key], "left")
-    lit_up = lambda i: F.getbit(
-        F.coalesce(F.col(f"_mask_{i // FLAGS_PER_MASK}"), F.lit(0).cast("long")), F.lit(i % FLAGS_PER_MASK)
-    )
-    return joined.select(*visits.columns, *[lit_up(i).cast("int").alias(f) for i, f in enumerate(flags)])
+    known = events.select("*", numbers[F.col(flag_column)].alias("_flag")).filter(F.col("_flag").isNotNull())
+    keyed = known.groupBy(subject, event_time).agg(*_masks([F.col("_flag")], len(flags)))
+    facts = [c for c in keyed.columns if c.startswith("_mask_")]
+    return _flag_columns(visits, recent_facts(visits, keyed, facts, event_time, days, subject, start, key), flags, subject, key)
+
+
+def _flag_names(schemes: Sequence[str]) -> list[str]:
+    return [flag for s in schemes for flag in FLAGS[s].values()]
+
+
+def code_facts(
+    codes: DataFrame,
+    dimension: DataFrame | None = None,
+    schemes: Sequence[str] = ("charlson", "elixhauser"),
+    maps: Mapping[str, DataFrame] | None = None,
+) -> DataFrame:
+    """Every distinct (icd_code, icd_version) with what the features need of it.
+
+    ``_mask_0 ...``: the flags of its comorbidity groups; ``v9``, ``v9_3digit``, ``v10``:
+    the code in the other versions by the unique code maps ``maps`` (``9to10``, ``10to9``).
+    """
+    known = codes.select("icd_code", "icd_version").distinct()
+    if dimension is not None:
+        numbers = {flag: i for i, flag in enumerate(_flag_names(schemes))}
+        pairs = [(f"{s}|{g}", numbers[flag]) for s in schemes for g, flag in FLAGS[s].items()]
+        number = F.create_map(*[F.lit(x) for pair in pairs for x in pair])[F.concat_ws("|", "scheme", "group")]
+        hits = prefix_hits(known, dimension.filter(F.col("scheme").isin(*schemes)))
+        masks = hits.groupBy("icd_code", "icd_version").agg(*_masks([number], len(numbers)))
+        known = known.join(masks, ["icd_code", "icd_version"], "left")
+    if maps is not None:
+        for name, (version, digit3) in LIST_VARIANTS.items():
+            code_map = maps["9to10" if version == 10 else "10to9"]
+            known = convert_codes(known, code_map, version, digit3, out=name)
+    return known
+
+
+def dated_facts(dated: DataFrame, facts: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``dated`` diagnoses with the columns of :func:`code_facts`, and the names of these."""
+    names = [c for c in facts.columns if c not in ("icd_code", "icd_version")]
+    same = F.col("icd_code").eqNullSafe(F.col("_code")) & F.col("icd_version").eqNullSafe(F.col("_version"))
+    renamed = facts.withColumnsRenamed({"icd_code": "_code", "icd_version": "_version"})
+    return dated.join(renamed, same, "left").drop("_code", "_version"), names
 
 
 def comorbidity_flags(
@@ -188,12 +261,14 @@ def comorbidity_flags(
     days: int = LOOKBACK_DAYS,
     schemes: Sequence[str] = ("charlson", "elixhauser"),
 ) -> DataFrame:
-    """Adds the 0/1 comorbidity columns of every scheme from earlier discharges of the subject."""
-    names = [(s, g, flag) for s in schemes for g, flag in FLAGS[s].items()]
-    flag_map = F.create_map(*[F.lit(x) for s, g, flag in names for x in (f"{s}|{g}", flag)])
-    hits = prefix_hits(dated_diagnoses(diagnoses, admissions), dimension.filter(F.col("scheme").isin(*schemes)))
-    flagged = hits.withColumn("flag", flag_map[F.concat_ws("|", "scheme", "group")])
-    return lookback_flags(visits, flagged, [flag for _, _, flag in names], "dischtime", days)
+    """Adds the 0/1 comorbidity columns of every scheme from earlier discharges of the subject.
+
+    Groups are matched once per distinct code; codes with the same groups are one mark.
+    """
+    events, facts = dated_facts(dated_diagnoses(diagnoses, admissions), code_facts(diagnoses, dimension, schemes))
+    events = events.filter(F.col(facts[0]).isNotNull())
+    hits = recent_facts(visits, events, facts, "dischtime", days)
+    return _flag_columns(visits, hits, _flag_names(schemes), "subject_id", "stay_id")
 
 
 def lookback_codes(
@@ -206,38 +281,29 @@ def lookback_codes(
     start: str = "intime",
     key: str = "stay_id",
 ) -> DataFrame:
-    """Rows (subject, key, code), each once: the codes a visit's subject had within the look-back.
-
-    A code's events in a time slice shrink to their first and last time before the join,
-    so a visit meets each of its subject's codes once and not every event.
-    """
-    width = days * DAY_US
-    timed = events.filter(F.col(event_time).isNotNull()).select(
-        F.col(subject), F.col(code), micros(event_time).alias("_time")
-    )
-    marks = _slices(timed, F.col("_time"), width).groupBy(subject, "_slice", code).agg(
-        F.min("_cur").alias("_first"), F.max("_prev").alias("_last")
-    )
-    at = micros(start)
-    asked = visits.select(F.col(key), F.col(subject), at.alias("_at"), time_block(at, width).alias("_slice"))
-    recent = (F.col("_first") < F.col("_at")) | (F.col("_last") >= F.col("_at") - F.lit(width))
-    return asked.join(marks, [subject, "_slice"]).filter(recent).select(subject, key, code)
+    """Rows (subject, key, code), each once: the codes a visit's subject had within the look-back."""
+    hits = recent_facts(visits, events, [code], event_time, days, subject, start, key)
+    return hits.select(subject, key, F.explode(F.col("_hits")[code]).alias(code))
 
 
 def code_index(codes: DataFrame, code: str) -> DataFrame:
     """Distinct codes with a gap-free number (0, 1, ...) in code order: columns ``code``, ``code_idx``.
 
-    Codes are numbered inside their two-character prefix and shifted by the counts of the
-    smaller prefixes, so no task sees the whole vocabulary.
+    Codes are cut into text ranges (at cuts from a sample of the codes themselves, so a
+    common beginning does not matter), numbered inside their range and shifted by the
+    counts of the ranges before it: no task sees the whole vocabulary.
     """
-    distinct = codes.select(F.col(code).alias("code")).distinct().withColumn("_head", F.substring("code", 1, 2))
-    heads = distinct.groupBy("_head").agg(F.count(F.lit(1)).alias("_n")).withColumn("_all", F.lit(1))
-    earlier = Window.partitionBy("_all").orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)
-    shift = heads.select("_head", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"))
-    inside = Window.partitionBy("_head").orderBy("code")
+    distinct = codes.select(F.col(code).alias("code")).filter(F.col("code").isNotNull()).distinct()
+    partitions = int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Written once, so that ranges and their counts come from the same cuts.
+    placed = materialize(distinct.repartitionByRange(partitions, "code").withColumn("_range", F.spark_partition_id()))
+    counts = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shift = counts.select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"))
+    inside = Window.partitionBy("_range").orderBy("code")
     return (
-        distinct.withColumn("_rn", F.row_number().over(inside))
-        .join(shift, "_head")
+        placed.withColumn("_rn", F.row_number().over(inside))
+        .join(F.broadcast(shift), "_range")
         .select("code", (F.col("_shift") + F.col("_rn") - 1).cast("long").alias("code_idx"))
     )
 
@@ -246,6 +312,32 @@ def code_index(codes: DataFrame, code: str) -> DataFrame:
 LIST_VARIANTS = {"v9": (9, False), "v9_3digit": (9, True), "v10": (10, False)}
 
 
+def lookback_lists(visits: DataFrame, events: DataFrame, names: Sequence[str], days: int = LOOKBACK_DAYS) -> DataFrame:
+    """Rows (stay_id, one sorted list of distinct codes per name), for stays with any; written once.
+
+    All lists come from one look-back over ``events`` with their ``dischtime``.
+    """
+    hits = recent_facts(visits, events, names, "dischtime", days)
+    lists = [F.array_sort(F.array_compact(F.array_distinct(F.col("_hits")[n]))).alias(n) for n in names]
+    return materialize(hits.select("stay_id", *lists))
+
+
+def numbered_lists(visits: DataFrame, lists: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Per stay ``icd_list`` and ``icd_encoded_list`` of one list column; and the index of its codes."""
+    index = code_index(lists.select(F.explode(name).alias("code")), "code")
+    numbered = lists.select("stay_id", F.explode(name).alias("code")).join(index, "code")
+    found = numbered.groupBy("stay_id").agg(F.array_sort(F.collect_set("code_idx")).alias("_numbers"))
+    # Numbers follow code order, so both lists stand in the same order.
+    both = lists.select("stay_id", F.col(name).alias("_codes")).join(found, "stay_id", "left")
+    empty = lambda t: F.array().cast(f"array<{t}>")
+    out = visits.select("stay_id").join(both, "stay_id", "left").select(
+        "stay_id",
+        F.coalesce("_codes", empty("string")).alias("icd_list"),
+        F.coalesce("_numbers", empty("bigint")).alias("icd_encoded_list"),
+    )
+    return out, index
+
+
 def code_lists(
     visits: DataFrame,
     dated: DataFrame,
@@ -261,20 +353,8 @@ def code_lists(
     if variant not in LIST_VARIANTS:
         raise ValueError(f"variant must be one of {sorted(LIST_VARIANTS)}")
     version, digit3 = LIST_VARIANTS[variant]
-    converted = convert_codes(dated, code_map, version, digit3)
-    pairs = lookback_codes(visits, converted, "converted", "dischtime", days)
-    index = code_index(pairs, "converted")
-    numbered = pairs.join(index, F.col("converted") == F.col("code"))
-    lists = numbered.groupBy("stay_id").agg(
-        F.sort_array(F.collect_set(F.struct("code", "code_idx"))).alias("_codes")
-    )
-    empty = lambda t: F.array().cast(f"array<{t}>")
-    out = visits.select("stay_id").join(lists, "stay_id", "left").select(
-        "stay_id",
-        F.coalesce(F.col("_codes.code"), empty("string")).alias("icd_list"),
-        F.coalesce(F.col("_codes.code_idx"), empty("bigint")).alias("icd_encoded_list"),
-    )
-    return out, index
+    converted = convert_codes(dated, code_map, version, digit3, out=variant)
+    return numbered_lists(visits, lookback_lists(visits, converted, [variant], days), variant)
 
 
 def atc_classes(drugs: DataFrame, atc: DataFrame, column: str = "atc_id") -> DataFrame:

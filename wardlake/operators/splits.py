@@ -35,6 +35,63 @@ def split_parts(df: DataFrame, key: str, **how) -> dict[str, DataFrame]:
     return {n: marked.filter(F.col("_part") == n).drop("_part") for n in names}
 
 
+#: Bits of a key's hash, and bits that one counting round decides.
+HASH_BITS, ROUND_BITS = 60, 12
+
+
+def hash_number(key: str | Column, seed: int | str) -> Column:
+    """A whole number of ``HASH_BITS`` bits that depends on the key and the seed only."""
+    key = F.col(key) if isinstance(key, str) else key
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))))
+    return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
+def nth_hashes(df: DataFrame, number: Column, ranks: Sequence[int]) -> list[int]:
+    """For every rank n the least number that at least n rows do not exceed (-1 for rank 0).
+
+    Each round counts the rows of the number ranges still in question by their next bits,
+    exactly and on the map side first; at most 4,096 counts a rank reach the driver.
+    """
+    hashed = df.select(number.alias("h"))
+    prefix, before = [0] * len(ranks), [0] * len(ranks)
+    for shift in range(HASH_BITS - ROUND_BITS, -1, -ROUND_BITS):
+        live = sorted({p for p, n in zip(prefix, ranks) if n > 0})
+        if not live:
+            break
+        place = F.shiftright("h", shift)
+        counts = hashed.filter(F.shiftright("h", shift + ROUND_BITS).isin(live)).groupBy(place.alias("p")).count().collect()
+        counts = sorted((r.p, r["count"]) for r in counts)
+        for i, n in enumerate(ranks):
+            for p, count in counts if n > 0 else ():
+                if p >> ROUND_BITS != prefix[i]:
+                    continue
+                if before[i] + count >= n:
+                    prefix[i] = p
+                    break
+                before[i] += count
+    return [p if n > 0 else -1 for p, n in zip(prefix, ranks)]
+
+
+def exact_split(df: DataFrame, key: str, shares: Mapping[str, float], seed: int = 42) -> DataFrame:
+    """``df`` with ``part``: parts that have their shares to the row, the same on any partitioning.
+
+    Rows are taken in the order of a hash of the key; the cuts between parts are found by
+    counting (:func:`nth_hashes`), nothing is sorted or shuffled. The last part takes what
+    rounding leaves. ``key`` should be unique: rows of one key stay together, so only a
+    part that ends in such a key has more rows than its share.
+    """
+    total, names = df.count(), list(shares)
+    ends, so_far = [], 0.0
+    for name in names[:-1]:
+        so_far += shares[name]
+        ends.append(int(total * so_far + 0.5))
+    number = hash_number(key, seed)
+    part = F.lit(names[-1])
+    for name, cut in reversed(list(zip(names, nth_hashes(df, number, ends)))):
+        part = F.when(number <= cut, name).otherwise(part)
+    return df.withColumn("part", part)
+
+
 def anonymous_columns(df: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """The features as ``feature1``, ``feature2``, ... followed by the kept columns."""
     return df.select(
@@ -86,8 +143,9 @@ def fit_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
 
 
 def fill_medians(df: DataFrame, medians: Mapping[str, float]) -> DataFrame:
-    """Missing values take the fitted median."""
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(float(m))) for c, m in medians.items()})
+    """Missing values take the fitted median; a column whose median is missing keeps its own."""
+    fitted = lambda m: F.lit(None if m is None else float(m)).cast("double")
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), fitted(m)) for c, m in medians.items()})
 
 
 def class_ratio(df: DataFrame, label: str) -> DataFrame:
