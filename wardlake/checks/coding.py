@@ -159,6 +159,16 @@ for _variant in _VARIANT_SQL:
     _register_list(_variant)
 
 
+@query("code_lists_on_stays", with_tables("edstays", "dated", "map10to9", extra={
+    "recent": _RECENT, "pairs": f"SELECT DISTINCT stay_id, {_VARIANT_SQL['v9_3digit']} AS code FROM recent LEFT JOIN map10to9 ON source_code = icd_code"}, body="""
+    SELECT e.stay_id, e.hadm_id, coalesce(string_agg(code, '|' ORDER BY code), '') AS codes FROM edstays e LEFT JOIN pairs USING (stay_id) GROUP BY ALL"""))
+def code_lists_on_stays(d: Derived):
+    dated = codes.dated_diagnoses(d.diagnoses, d.admissions)
+    lists, _ = codes.code_lists(d.edstays, dated, codes.unique_code_map(d.code_map(MAP_10_TO_9)), "v9_3digit")
+    out = codes.merge_code_lists(d.edstays, lists, {"icd_list": "codes"})
+    return out.select("stay_id", "hadm_id", F.array_join("codes", "|").alias("codes"))
+
+
 @query("code_index", """
     SELECT p_name AS code, row_number() OVER (ORDER BY p_name) - 1 AS code_idx FROM (SELECT DISTINCT p_name FROM part)""")
 def code_index(d: Derived):

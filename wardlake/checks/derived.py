@@ -8,6 +8,7 @@ SQL engine of the correctness check.
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 
 from ..functions.panels import LAB_LABELS, PANEL_GROUPS, PANELS
 from ..operators.policy import until_diagnosis
-from ..session import local_table
+from ..session import checkpoint_dir, local_table
 from ..sources import tables as shapes
+from ..sources.sinks import write_table
 
 #: Diagnosis codes that the lines of an order pick from: (code, version).
 CODES = [
@@ -55,6 +57,32 @@ class Derived:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def from_csv(self, name: str, change: dict | None = None, raw: bool = False) -> DataFrame:
+        """The raw table written as CSV, as exports look, and loaded: whole numbers with ``.0``, missing ones ``NaN``."""
+        rows = getattr(self, f"{name}_raw")
+        whole = [f.name for f in rows.schema.fields if f.name == "hadm_id"]
+        rows = rows.withColumns(
+            {c: F.when(F.col(c).isNull(), "NaN").otherwise(F.concat(F.col(c).cast("string"), F.lit(".0"))) for c in whole}
+        ).withColumns(change or {})
+        root = f"{checkpoint_dir(self.spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+        path = f"{root}/{shapes.FOLDERS[name]}/{name}.csv"
+        write_table(rows, path, "csv")
+        if raw:
+            return self.spark.read.option("header", True).option("escape", '"').csv(path)
+        return shapes.load(self.spark, root, name)
+
+    @property
+    def pyxis_raw(self) -> DataFrame:
+        return self.pyxis
+
+    @property
+    def diagnoses_icd_raw(self) -> DataFrame:
+        return self.diagnoses
+
+    @property
+    def labevents_raw(self) -> DataFrame:
+        return self.labevents
+
     # ---- visits -------------------------------------------------------------------
 
     @cached_property
@@ -112,15 +140,17 @@ class Derived:
 
     @cached_property
     def icustays(self) -> DataFrame:
+        return shapes.shape_icustays(self.icustays_raw)
+
+    @cached_property
+    def icustays_raw(self) -> DataFrame:
         first = self._visits.filter("status = 'P'").selectExpr(
             "subject_id", "hadm_id", "stay_id",
             "timestampadd(HOUR, cast(stay_id * 37 % 40 - 4 as int), outtime) AS intime",
         )
         second = first.filter("stay_id % 2 = 0").withColumn("intime", F.expr("timestampadd(HOUR, 48, intime)"))
         both = first.unionByName(second)
-        return shapes.shape_icustays(
-            both.select("subject_id", "hadm_id", "intime", F.expr("timestampadd(HOUR, 20, intime)").alias("outtime"))
-        )
+        return both.select("subject_id", "hadm_id", "intime", F.expr("timestampadd(HOUR, 20, intime)").alias("outtime"))
 
     # ---- per-stay tables ----------------------------------------------------------
 
@@ -320,7 +350,7 @@ DERIVED_SQL: dict[str, tuple[tuple[str, ...], str]] = {
           CASE WHEN l_suppkey % 6 <> 0 THEN 5 + l_quantity END AS ed_resprate,
           80 + l_quantity / 2 AS ed_o2sat, 60 + l_quantity * 4 AS ed_sbp,
           CASE WHEN l_suppkey % 3 <> 0 THEN 30 + l_quantity END AS ed_dbp,
-          (CAST(l_quantity AS INTEGER) % 12 + l_linenumber) / 2.0::DOUBLE AS ed_pain
+          (CAST(l_quantity AS INTEGER) % 12 + l_linenumber) / 2.0::DOUBLE AS ed_pain, l_returnflag AS ed_rhythm
         FROM lines"""),
     "pyxis": ((), """
         SELECT l_orderkey AS stay_id, 'drug ' || CAST(l_partkey % 50 AS VARCHAR) AS name,

@@ -307,6 +307,39 @@ def policy_report(d: Derived):
     })
 
 
+DRAWS = 200
+_DRAWN = {
+    "people": "SELECT patient_id AS who, row_number() OVER (ORDER BY patient_id) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT patient_id FROM all_log)",
+    "draws": f"""SELECT r AS draw, floor(('0x' || substr(md5('3:' || r), 1, 13))::BIGINT::DOUBLE / 4503599627370496::DOUBLE
+        * (SELECT max(n) FROM people))::BIGINT AS i FROM range(1, {DRAWS + 1}) t(r)""",
+    "log": "SELECT draw AS patient_id, step, action, prob_pos, label FROM draws JOIN people USING (i) JOIN all_log l ON l.patient_id = who",
+}
+
+
+@query("policy_report_drawn", with_tables("log", extra={**_DRAWN, **_REPORT}, body="""
+    SELECT n_patients, f1, round(auroc, 10) AS auroc, round(ap, 10) AS ap, tpr AS sensitivity, 1 - fpr AS specificity, threshold,
+      round(reward / n_patients, 6) AS mean_reward, round(cost / n_patients, 6) AS mean_cost, round(mean_tests, 6) AS mean_tests
+    FROM areas JOIN best USING (budget) JOIN f USING (budget), r, t""").replace("WITH log AS (", "WITH all_log AS (", 1))
+def policy_report_drawn(d: Derived):
+    """The report over episodes whose patients are drawn with replacement."""
+    out = policy.drawn_policy_report(d.log, d.episode_patients, DRAWS, seed=3)
+    return out.withColumns({
+        **{c: F.round(c, 10) for c in ("auroc", "ap")},
+        **{c: F.round(c, 6) for c in ("mean_reward", "mean_cost", "mean_tests")},
+    })
+
+
+@query("legal_along_log", with_tables("log", extra=_COST, body="""
+    SELECT patient_id, step, action, string_agg(CASE WHEN open THEN a::VARCHAR END, ',' ORDER BY a) AS legal, bool_or(open AND a = action) AS was_legal
+    FROM (SELECT l.patient_id, l.step, l.action, t.a, t.a >= 12 OR (list_contains(coalesce(groups, []), t.a)
+        AND NOT EXISTS (SELECT 1 FROM log e WHERE e.patient_id = l.patient_id AND e.step < l.step AND e.action = t.a)) AS open
+      FROM log l LEFT JOIN done USING (patient_id), range(0, 14) t(a)) GROUP BY ALL"""))
+def legal_along_log(d: Derived):
+    out = policy.legal_along_log(d.log, d.episode_patients)
+    open_ = F.filter(F.transform("legal", lambda ok, a: F.when(ok, a.cast("string"))), lambda a: a.isNotNull())
+    return out.select("patient_id", "step", "action", F.array_join(open_, ",").alias("legal"), "was_legal")
+
+
 # ---- texts --------------------------------------------------------------------------
 
 END = "</s>"

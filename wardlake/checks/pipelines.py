@@ -10,7 +10,7 @@ from ..operators import codes, joins, models, splits
 from ..operators.comorbidity_groups import CCI_FLAGS, ECI_FLAGS
 from ..plans import master, tasks, training
 from ..session import checkpoint_dir, materialize
-from ..sources.sinks import write_code_index, write_table
+from ..sources.sinks import write_code_index, write_parts, write_table
 from ..sources.tables import conform, parse_list_text, read_table
 from .clinical import _clamp_sql, _score_sql
 from .coding import _HITS, _RECENT, _flag_sql
@@ -117,6 +117,21 @@ def scored_train_test(d: Derived):
     return parts["train"].select(*names).unionByName(parts["test"].select(*names))
 
 
+@query("split_files", with_tables("edstays", "patients", "triage", extra=_TT, body="""
+    SELECT CASE WHEN train THEN 'train' ELSE 'test' END AS part, count(*) AS n, sum(stay_id)::BIGINT AS keys FROM filled GROUP BY 1"""))
+def split_files(d: Derived):
+    """Train and test rows written part by part and read back."""
+    import uuid
+
+    out = f"{checkpoint_dir(d.spark).rstrip('/')}/parts-{uuid.uuid4().hex}"
+    write_parts(training.train_test(small_master(d), with_scores=False), out)
+    rows = None
+    for name in ("train", "test"):
+        part = read_table(d.spark, f"{out}/{name}").agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("n"), F.sum("stay_id").alias("keys"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
 @query("training_texts")
 def training_texts(d: Derived):
     """Labs and master table to anonymous rows, split, and their texts."""
@@ -214,6 +229,63 @@ def model_rows(d: Derived):
     return result.select("doc_id", "label", F.col("score").between(0, 1).alias("in_range"))
 
 
+_TEST_DOCS = "SELECT * FROM labels WHERE ('0x' || substr(md5('10:' || doc_id), 1, 8))::BIGINT % 1000000 >= 800000"
+_KINDS = {"forest": {"numTrees": 10, "maxDepth": 5}, "boosting": {"maxIter": 5}, "perceptron": {"maxIter": 10}}
+
+
+def _in_range():
+    return F.min(F.col("score").between(0, 1) & ~F.isnan("score")).alias("in_range")
+
+
+@query("model_kinds", " UNION ALL ".join(
+    f"SELECT '{k}' AS model, count(*) AS n, sum(quality)::BIGINT AS n_positive, count(DISTINCT doc_id) AS n_keys, TRUE AS in_range FROM ({_TEST_DOCS})"
+    for k in _KINDS))
+def model_kinds(d: Derived):
+    """Each kind of model scores every row of the test part once, with probabilities."""
+    parts = {k: materialize(p) for k, p in _documents(d).items()}
+    out = None
+    for kind, params in _KINDS.items():
+        model = models.fit_model(parts["train"], DOC_VARIABLES, "quality", kind, **params)
+        result = models.predict(model, parts["test"], DOC_VARIABLES, "quality", ["doc_id"])
+        row = result.agg(
+            F.lit(kind).alias("model"), F.count(F.lit(1)).alias("n"), F.sum("label").alias("n_positive"),
+            F.count_distinct("doc_id").alias("n_keys"), _in_range(),
+        )
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("importance_shares", """
+    SELECT v AS variable, TRUE AS in_range, 1::DOUBLE AS total FROM (VALUES ('n_chars'), ('lang'), ('source')) t(v)""")
+def importance_shares(d: Derived):
+    """Importances are shares: every variable has one, and they add up to 1."""
+    parts = _documents(d)
+    model = models.fit_model(parts["train"], DOC_VARIABLES, "quality", "forest", numTrees=10, maxDepth=5)
+    ranked = models.importance_ranking(model, DOC_VARIABLES, parts["train"])
+    total = ranked.agg(F.round(F.sum("importance"), 9).alias("total"))
+    return ranked.select("variable", F.col("importance").between(0, 1).alias("in_range")).join(total)
+
+
+@query("task_models", with_tables(*_MASTER_NEEDS, extra={**_MASTER, "test": """SELECT * FROM master
+    WHERE ('0x' || substr(md5('10:' || stay_id), 1, 8))::BIGINT % 1000000 >= 800000"""}, body=" UNION ALL ".join(
+    f"""SELECT '{t.name}' AS task, count(*) AS n, sum({t.outcome}::INTEGER)::BIGINT AS n_positive, count(DISTINCT stay_id) AS n_keys, TRUE AS in_range
+      FROM test WHERE {'NOT outcome_hospitalization' if t.cohort is outcomes.discharged else 'TRUE'}""" for t in tasks.TASKS.values())))
+def task_models(d: Derived):
+    """The four prediction tasks on the master table: fitted on train, every test row of the cohort scored."""
+    parts = splits.split_parts(materialize(master.build_master(d.tables)), "stay_id", test_seed=10, valid_seed=None)
+    out = None
+    for task in tasks.TASKS.values():
+        train, test = (tasks.task_rows(parts[p], task) for p in ("train", "test"))
+        model = models.fit_model(train, task.variables, task.outcome, "logistic", maxIter=10)
+        result = models.predict(model, test, task.variables, task.outcome, ["stay_id"])
+        row = result.agg(
+            F.lit(task.name).alias("task"), F.count(F.lit(1)).alias("n"), F.sum("label").alias("n_positive"),
+            F.count_distinct("stay_id").alias("n_keys"), _in_range(),
+        )
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query("importance_ranking")
 def importance_ranking(d: Derived):
     parts = _documents(d)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.clock import DAY_US, micros
 from ..functions.panels import LAB_LABELS
 from ..operators import events, joins
 from ..plans import training
+from ..session import checkpoint_dir
+from ..sources.sinks import write_lab_results, write_table
+from ..sources.tables import load, parse_list_text, read_table
 from .derived import Derived, with_tables
 from .registry import query
 
@@ -76,6 +81,31 @@ def labs_in_stay(d: Derived):
     return events.stay_labs(d.edstays, d.labevents, d.lab_items)
 
 
+@query("labs_from_files", with_tables("edstays", "labevents", "lab_items", extra=_LABS, body="SELECT * FROM inside"))
+def labs_from_files(d: Derived):
+    """The lab table as a parquet file, whose scan takes the items and the range of admissions as filters."""
+    root = f"{checkpoint_dir(d.spark).rstrip('/')}/labs-{uuid.uuid4().hex}"
+    write_table(d.labevents, f"{root}/hosp/labevents.parquet")
+    return events.stay_labs(d.edstays, load(d.spark, root, "labevents", "parquet"), d.lab_items)
+
+
+@query("lab_result_files", with_tables("edstays", "labevents", "lab_items", extra=_LABS, body="""
+    SELECT stay_id, string_agg(itemid::VARCHAR, ',' ORDER BY itemid) AS lab_measure, round(list_sum(list(valuenum ORDER BY itemid)), 4) AS value_sum
+    FROM single GROUP BY stay_id"""))
+def lab_result_files(d: Derived):
+    """Lab lists written as CSV, the lists as text, and read back."""
+    out = f"{checkpoint_dir(d.spark).rstrip('/')}/results-{uuid.uuid4().hex}"
+    single = events.single_measures(events.stay_labs(d.edstays, d.labevents, d.lab_items))
+    write_lab_results(events.lab_lists(single), out, "csv")
+    back = read_table(d.spark, f"{out}/lab_results", fmt="csv")
+    items, values = parse_list_text("lab_measure", "bigint"), parse_list_text("lab_results")
+    return back.select(
+        F.col("stay_id").cast("long"),
+        F.array_join(items.cast("array<string>"), ",").alias("lab_measure"),
+        F.round(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), 4).alias("value_sum"),
+    )
+
+
 @query("lines_in_order_window", """
     SELECT o_orderkey, l_linenumber, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey
     WHERE l_shipdate BETWEEN o_orderdate AND o_orderdate + INTERVAL 30 DAY""")

@@ -20,15 +20,14 @@ LOOKBACKS = (30, 90, 365)
 @query("read_edstays", with_tables("edstays", body="""
     SELECT subject_id, hadm_id, stay_id, epoch_us(intime) AS in_us, epoch_us(outtime) AS out_us FROM edstays"""))
 def read_edstays(d: Derived):
-    raw = d.edstays_raw.withColumns({c: F.col(c).cast("string") for c in ("intime", "outtime")})
-    shaped = shapes.shape_edstays(raw)
+    shaped = d.from_csv("edstays")
     return shaped.select("subject_id", "hadm_id", "stay_id", micros("intime").alias("in_us"), micros("outtime").alias("out_us"))
 
 
 @query("read_patients", with_tables("patients", body="""
     SELECT subject_id, gender, anchor_age, anchor_year, epoch_us(dod) AS dod_us FROM patients"""))
 def read_patients(d: Derived):
-    shaped = shapes.shape_patients(d.patients_raw.withColumn("dod", F.col("dod").cast("string")))
+    shaped = d.from_csv("patients")
     return shaped.select("subject_id", "gender", "anchor_age", "anchor_year", micros("dod").alias("dod_us"))
 
 
@@ -36,7 +35,7 @@ def read_patients(d: Derived):
     SELECT subject_id, hadm_id, epoch_us(admittime) AS admit_us, epoch_us(dischtime) AS disch_us,
       NULL::BIGINT AS death_us, ethnicity, edregtime, edouttime, insurance FROM admissions"""))
 def read_admissions(d: Derived):
-    shaped = shapes.shape_admissions(d.admissions_raw.withColumn("admittime", F.col("admittime").cast("string")))
+    shaped = d.from_csv("admissions")
     return shaped.select(
         "subject_id", "hadm_id", micros("admittime").alias("admit_us"), micros("dischtime").alias("disch_us"),
         micros("deathtime").alias("death_us"), "ethnicity", "edregtime", "edouttime", "insurance",
@@ -46,33 +45,50 @@ def read_admissions(d: Derived):
 @query("read_icustays", with_tables("icustays", body="""
     SELECT subject_id, hadm_id, epoch_us(intime) AS in_us, epoch_us(intime + INTERVAL 20 HOUR) AS out_us FROM icustays"""))
 def read_icustays(d: Derived):
-    return d.icustays.select("subject_id", "hadm_id", micros("intime").alias("in_us"), micros("outtime").alias("out_us"))
+    rows = d.from_csv("icustays")
+    return rows.select("subject_id", "hadm_id", micros("intime").alias("in_us"), micros("outtime").alias("out_us"))
 
 
 @query("read_triage", with_tables("triage", body="SELECT * FROM triage"))
 def read_triage(d: Derived):
-    return d.triage
+    return d.from_csv("triage")
 
 
 @query("read_vitalsign", with_tables("vitalsign", body="""
     SELECT subject_id, stay_id, epoch_us(charttime) AS chart_us, ed_temperature, ed_heartrate, ed_resprate, ed_o2sat,
-      ed_sbp, ed_dbp, ed_pain FROM vitalsign"""))
+      ed_sbp, ed_dbp, ed_pain, ed_rhythm FROM vitalsign"""))
 def read_vitalsign(d: Derived):
-    return d.vitalsign.withColumn("chart_us", micros("charttime")).drop("charttime", "ed_rhythm")
+    return d.from_csv("vitalsign").withColumn("chart_us", micros("charttime")).drop("charttime")
 
 
-@query("read_pyxis", with_tables("pyxis", body="""
-    SELECT name, count(*) AS n_rows, count(gsn) AS n_coded, min(stay_id) AS first_stay FROM pyxis GROUP BY name"""))
+@query("read_pyxis", with_tables("pyxis", body="SELECT stay_id, name, gsn FROM pyxis"))
 def read_pyxis(d: Derived):
-    return d.pyxis.groupBy("name").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count("gsn").alias("n_coded"), F.min("stay_id").alias("first_stay")
-    )
+    return d.from_csv("pyxis")
 
 
-@query("read_diagnoses", with_tables("diagnoses", body="""
-    SELECT icd_code, icd_version, count(*) AS n FROM diagnoses GROUP BY ALL"""))
+@query("read_diagnoses", with_tables("diagnoses", body="SELECT subject_id, hadm_id, icd_code, icd_version FROM diagnoses"))
 def read_diagnoses(d: Derived):
-    return d.diagnoses.groupBy("icd_code", "icd_version").agg(F.count(F.lit(1)).alias("n"))
+    return d.from_csv("diagnoses_icd")
+
+
+@query("read_labevents", with_tables("labevents", body="""
+    SELECT subject_id, hadm_id, itemid, epoch_us(storetime) AS store_us, valuenum FROM labevents"""))
+def read_labevents(d: Derived):
+    return d.from_csv("labevents").select("subject_id", "hadm_id", "itemid", micros("storetime").alias("store_us"), "valuenum")
+
+
+@query("rejected_csv_cells", with_tables("visits", body="""
+    SELECT c AS "column", CASE WHEN c = 'heartrate' THEN (SELECT count(*) FROM visits WHERE stay_id % 50 = 0)
+      WHEN c = 'stay_id' THEN (SELECT count(*) FROM visits WHERE stay_id % 70 = 0) ELSE 0 END AS rejected
+    FROM (SELECT unnest(['subject_id', 'stay_id', 'temperature', 'heartrate', 'resprate', 'o2sat', 'sbp', 'dbp', 'pain', 'acuity', 'chiefcomplaint']) AS c)"""))
+def rejected_csv_cells(d: Derived):
+    """Triage with bad cells: text in a number, a fraction in a whole number; and quotes inside a quoted cell."""
+    bad = {
+        "heartrate": F.expr("CASE WHEN stay_id % 50 = 0 THEN 'high' ELSE cast(heartrate AS string) END"),
+        "chiefcomplaint": F.concat("chiefcomplaint", F.lit(', "as told"')),
+        "stay_id": F.expr("CASE WHEN stay_id % 70 = 0 THEN concat(stay_id, '.5') ELSE concat(stay_id, '.0') END"),
+    }
+    return shapes.rejected_cells(d.from_csv("triage", bad, raw=True), "triage")
 
 
 # ---- joins --------------------------------------------------------------------------
@@ -365,3 +381,10 @@ def split_train_valid_test(d: Derived):
         )
         out = row if out is None else out.unionByName(row)
     return out
+
+
+@query("split_exact_shares", """
+    SELECT o_orderkey, CASE WHEN r <= floor(n * 0.8::DOUBLE + 0.5) THEN 'train' WHEN r <= floor(n * (0.8::DOUBLE + 0.1::DOUBLE) + 0.5) THEN 'valid' ELSE 'test' END AS part
+    FROM (SELECT o_orderkey, count(*) OVER () AS n, row_number() OVER (ORDER BY ('0x' || substr(md5('42:' || o_orderkey), 1, 15))::BIGINT) AS r FROM orders)""")
+def split_exact_shares(d: Derived):
+    return splits.exact_split(d.table("orders").select("o_orderkey"), "o_orderkey", {"train": 0.8, "valid": 0.1, "test": 0.1})

@@ -88,20 +88,34 @@ def merge_medication_count(
     return visits.join(counts, "stay_id", "left").withColumn(out, F.coalesce(out, F.lit(0).cast("long")))
 
 
+#: Items that go into the scan as a list.
+MOST_LISTED = 1_000
+
+
+def wanted_labs(visits: DataFrame, labs: DataFrame, items: DataFrame) -> DataFrame:
+    """The lab rows that can matter, by filters that a parquet scan can skip row groups with.
+
+    Items of a small dimension become an IN list (a larger one is a semi join), and the
+    admissions of the visits a range, both found by small jobs before the large table is read.
+    """
+    rows = labs.filter(F.col("hadm_id").isNotNull() & F.col("valuenum").isNotNull())
+    listed = [r[0] for r in items.select("itemid").distinct().limit(MOST_LISTED + 1).collect()]
+    if len(listed) <= MOST_LISTED:
+        rows = rows.filter(F.col("itemid").isin([i for i in listed if i is not None]))
+    else:
+        rows = rows.join(items.select("itemid"), "itemid", "left_semi")
+    low, high = visits.agg(F.min("hadm_id"), F.max("hadm_id")).first()
+    return rows.filter(F.col("hadm_id").between(low, high) if low is not None else F.lit(False))
+
+
 def stay_labs(visits: DataFrame, labs: DataFrame, items: DataFrame) -> DataFrame:
     """Lab values stored during the stay: rows (subject, admission, stay, item, value).
 
     ``items`` is the lab item dimension; only its items count.
     """
-    wanted = labs.filter(F.col("hadm_id").isNotNull() & F.col("valuenum").isNotNull()).join(
-        F.broadcast(items.select("itemid")) if items.count() <= 10_000 else items.select("itemid"),
-        "itemid",
-        "left_semi",
-    )
-    spans = visits.select("subject_id", "hadm_id", "stay_id", "intime", "outtime")
     inside = events_within(
-        spans,
-        wanted.select("subject_id", "hadm_id", "itemid", "storetime", "valuenum"),
+        visits.select("subject_id", "hadm_id", "stay_id", "intime", "outtime"),
+        wanted_labs(visits, labs, items).select("subject_id", "hadm_id", "itemid", "storetime", "valuenum"),
         ["subject_id", "hadm_id"],
         "intime",
         "outtime",

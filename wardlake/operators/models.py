@@ -11,7 +11,7 @@ from pyspark.ml.classification import (
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import CountVectorizer, Imputer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import CountVectorizer, Imputer, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,9 +68,14 @@ def feature_stages(df: DataFrame, variables: Sequence[str], code_list: str | Non
     text = [c for c in variables if is_text(df, c)]
     numbers = [c for c in variables if c not in text]
     stages = [label_encoder(c) for c in text]
-    if numbers:
-        filled = [f"{c}_filled" for c in numbers]
-        stages.append(Imputer(inputCols=numbers, outputCols=filled, strategy="median"))
+    given = df.agg(*[F.count(F.nanvl(F.col(c), F.lit(None))).alias(c) for c in numbers]).first() if numbers else {}
+    some = [c for c in numbers if given[c]]
+    if some:
+        stages.append(Imputer(inputCols=some, outputCols=[f"{c}_filled" for c in some], strategy="median"))
+    if empty := [c for c in numbers if not given[c]]:
+        # A column without any value has no median and says nothing: 0 in every row.
+        zeros = ", ".join(f"cast(0 as double) AS `{c}_filled`" for c in empty)
+        stages.append(SQLTransformer(statement=f"SELECT *, {zeros} FROM __THIS__"))
     inputs = [f"{c}_idx" if c in text else f"{c}_filled" for c in variables]
     if code_list:
         stages.append(CountVectorizer(inputCol=code_list, outputCol="_codes", binary=True, vocabSize=ALL_CODES))

@@ -11,9 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.costs import personal_costs, price_array, step_reward
+from ..functions.costs import legal_actions, personal_costs, price_array, step_reward
 from ..functions.panels import N_PANELS, PANEL_PRICES, POSITIVE
 from ..session import materialize
+from .codes import code_index
 from .metrics import confusion, cumulative, long_scores, ranking_metrics
 from .prefix import running_totals
 
@@ -144,3 +145,43 @@ def budget_curve(log: DataFrame, budgets: Sequence[int] = BUDGETS) -> DataFrame:
     return ranking.join(counts, "budget").join(tests, "budget").select(
         "budget", "f1", "auroc", "ap", "sensitivity", "specificity", "threshold", "mean_tests"
     )
+
+
+def draw_patients(log: DataFrame, draws: int, seed: int = 0) -> DataFrame:
+    """The log of ``draws`` episodes whose patients are drawn with replacement.
+
+    ``patient_id`` becomes the number of the draw and ``drawn_from`` the patient. Patients
+    are numbered in order (:func:`codes.code_index`), and a hash of (seed, draw) picks a
+    number, so draws repeat on any partitioning and no list of patients is collected.
+    """
+    numbered = code_index(log, "patient_id").select(F.col("code").alias("drawn_from"), "code_idx")
+    total = numbered.count()
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")))
+    share = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(2**52)
+    picked = log.sparkSession.range(1, draws + 1).select(F.col("id").alias("draw"), F.floor(share * total).alias("code_idx"))
+    chosen = picked.join(numbered, "code_idx").drop("code_idx")
+    return log.withColumnRenamed("patient_id", "drawn_from").join(chosen, "drawn_from").withColumnRenamed("draw", "patient_id")
+
+
+def drawn_policy_report(log: DataFrame, patients: DataFrame, draws: int, seed: int = 0) -> DataFrame:
+    """:func:`policy_report` over drawn episodes: each draw is an episode of its own."""
+    log = materialize(draw_patients(log, draws, seed))
+    who = log.select("patient_id", "drawn_from").distinct()
+    own = who.join(patients.withColumnRenamed("patient_id", "drawn_from"), "drawn_from").drop("drawn_from")
+    return policy_report(log.drop("drawn_from"), own)
+
+
+def legal_along_log(log: DataFrame, patients: DataFrame) -> DataFrame:
+    """Adds ``legal``, the 14 booleans of the actions open before each step, and ``was_legal`` of the step taken.
+
+    ``patients`` has ``patient_id, lab_group_idx``; panels ordered in earlier steps are closed.
+    A patient orders each of the panels once, so what a step looks back on stays short.
+    """
+    first = log.filter(F.col("action") < N_PANELS).groupBy("patient_id", "action").agg(F.min("step").alias("step"))
+    done = first.groupBy("patient_id").agg(F.collect_list(F.struct("step", "action")).alias("_done"))
+    joined = log.join(patients, "patient_id", "left").join(done, "patient_id", "left")
+    earlier = F.transform(F.filter("_done", lambda d: d["step"] < F.col("step")), lambda d: d["action"])
+    none = F.array().cast("array<int>")
+    mask = legal_actions(F.coalesce("lab_group_idx", none), F.coalesce(earlier, none))
+    out = joined.withColumn("legal", mask).withColumn("was_legal", F.get("legal", F.col("action")))
+    return out.select(*log.columns, "legal", "was_legal")

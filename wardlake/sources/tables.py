@@ -12,17 +12,26 @@ from ..functions.parse import parse_number_text
 from .schemas import ADMISSION_COLUMNS, SCHEMAS, SERIES_VITALS, TRIAGE_VITALS
 
 
-def read_table(spark: SparkSession, path: str, name: str | None = None, fmt: str | None = None) -> DataFrame:
+#: Tables with free text, whose quoted cells may hold line breaks. Spark reads such a file
+#: in one task, so the large tables of numbers and codes are not among them.
+FREE_TEXT = {"triage", "pyxis", "medrecon"}
+
+
+def read_table(
+    spark: SparkSession, path: str, name: str | None = None, fmt: str | None = None, line_breaks: bool | None = None
+) -> DataFrame:
     """Reads parquet or header CSV; CSV columns are matched to the schema by their names.
 
     CSV is read as text first, so column order and extra columns do not matter. Quoted
-    cells may hold line breaks. Cells that do not parse become NULL; `rejected_cells`
-    counts them.
+    cells may hold line breaks if ``line_breaks`` says so (by default in the tables of
+    ``FREE_TEXT`` and in tables without a schema). Cells that do not parse become NULL;
+    `rejected_cells` counts them.
     """
     fmt = fmt or ("csv" if path.rstrip("/").endswith((".csv", ".csv.gz")) else "parquet")
     if fmt != "csv":
         return nan_to_null(spark.read.format(fmt).load(path))
-    raw = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    breaks = name is None or name in FREE_TEXT if line_breaks is None else line_breaks
+    raw = spark.read.option("header", True).option("escape", '"').option("multiLine", breaks).csv(path)
     return conform(raw, name) if name else raw
 
 
