@@ -59,3 +59,10 @@ def test_sample_is_bounded(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = language_id.train(docs, sample_rows=40, most_words=100)
     assert len(model.words) <= 100 and len(model.grams) <= 200
+
+
+def test_clashing_columns_give_way(spark):
+    docs = spark.createDataFrame([(1, "das haus", "de", "x", 7), (2, "the house", "en", "y", 8)], "doc_id long, text string, lang string, lang_pred string, SCORE int")
+    got = language_id.predict(docs, language_id.train(docs))
+    assert got.columns == ["doc_id", "text", "lang", "lang_pred", "score"]
+    assert {r.doc_id: r.lang_pred for r in got.collect()} == {1: "de", 2: "en"}

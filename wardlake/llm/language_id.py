@@ -122,8 +122,12 @@ def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, most_words: int =
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` (``doc_id, text`` and more) with ``lang_pred`` and ``score`` added."""
+    """``docs`` (``doc_id, text`` and more) with ``lang_pred`` and ``score`` added.
+
+    Columns of ``docs`` with one of these names give way.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("lang_pred", "score")])
     names = docs.columns
 
     def score(frames):
