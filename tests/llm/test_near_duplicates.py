@@ -140,6 +140,16 @@ def test_components_of_a_chain(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
+def test_components_grow_with_links(spark):
+    own, labels, edges = random.Random(7), None, []
+    for _ in range(4):
+        more = [(own.randrange(60), own.randrange(60)) for _ in range(12)]
+        edges += more
+        labels = order_minhash.merged(labels, spark.createDataFrame(more, "a long, b long"))
+        want = {r.node: r.label for r in order_minhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert {r.node: r.label for r in labels.collect()} == want
+
+
 def test_order_counts(spark):
     a = words(200, 1).split()
     turned = a[100:] + a[:100]

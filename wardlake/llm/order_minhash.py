@@ -157,6 +157,22 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components ``labels (node, label)`` with more ``links (a, b)``; only labels that links join are looked at again."""
+    if labels is None:
+        return components(links)
+    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    fresh = ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))
+    known = materialize(labels.unionByName(fresh))
+    of = lambda end: known.select(F.col("node").alias(end), F.col("label").alias(f"of_{end}"))
+    joined = links.select("a", "b").join(of("a"), "a").join(of("b"), "b").filter("of_a <> of_b")
+    joined = materialize(joined.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct())
+    if joined.isEmpty():
+        return known
+    roots = components(joined).select(F.col("node").alias("label"), F.col("label").alias("root"))
+    return materialize(known.join(roots, "label", "left").select("node", F.coalesce("root", "label").alias("label")))
+
+
 def _sketches(keyed: DataFrame, size: int, bands: int, take: int) -> DataFrame:
     def sketch(frames):
         for rows, data, offsets in batches(frames):
@@ -330,7 +346,7 @@ def near_duplicates(
     bodies = keyed.join(chosen, "digest").groupBy("node").agg(F.first("text").alias("text"))
     sequences = materialize(_sequences(bodies, size))
 
-    labels, links, met, used = None, None, None, None
+    labels, met, used = None, None, None
     for turn in range(rounds):
         live = buckets.withColumn("label", F.col("node")) if labels is None else (
             buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -371,8 +387,7 @@ def near_duplicates(
             continue
         found = materialize(_links(pairs, sequences, similarity))
         met = pairs if met is None else met.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
+        labels = merged(labels, found)
     left = materialize(_unmet(buckets, labels, used))
     if not left.isEmpty():
         pairs = _reachable(sequences, left, buckets.select("band", "element", "node"), similarity)
@@ -381,7 +396,7 @@ def near_duplicates(
             pairs = pairs.join(met.select(F.col("hub").alias("node"), F.col("node").alias("hub")), ["node", "hub"], "left_anti")
         found = materialize(_links(materialize(pairs), sequences, similarity))
         if not found.isEmpty():
-            labels = components(found if links is None else links.unionByName(found))
+            labels = merged(labels, found)
     classes = nodes.select("node", "digest", "least")
     if labels is not None:
         classes = classes.join(labels, "node", "left").withColumn("node", F.coalesce("label", "node"))
