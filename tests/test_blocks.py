@@ -117,3 +117,85 @@ def test_policies_of_an_empty_log(spark):
     assert policy.budget_curve(log).count() == 0
     patients = spark.createDataFrame([], "patient_id long, lab_group_idx array<int>")
     assert policy.policy_report(log, patients).count() <= 1
+
+
+@pytest.mark.parametrize("rows", [0, 1, 7, 1003])
+def test_exact_shares(spark, rows):
+    shares = {"train": 0.8, "valid": 0.1, "test": 0.1}
+    df = spark.range(rows).withColumnRenamed("id", "k")
+    got = {r.k: r.part for r in splits.exact_split(df, "k", shares).collect()}
+    count = lambda part: sum(p == part for p in got.values())
+    assert len(got) == rows
+    assert (count("train"), count("train") + count("valid")) == (int(rows * 0.8 + 0.5), int(rows * 0.9 + 0.5))
+    again = splits.exact_split(df.repartition(7), "k", shares)
+    assert {r.k: r.part for r in again.collect()} == got
+    other = {r.k: r.part for r in splits.exact_split(df, "k", shares, seed=1).collect()}
+    assert rows < 100 or other != got
+
+
+def test_nth_hashes(spark):
+    values = [5, 5, 5, 0, (1 << 60) - 1, 1 << 59, 77, 78, 79, (1 << 48) + 3, (1 << 48) + 4]
+    df = spark.createDataFrame([(v,) for v in values], "v long")
+    ranks = list(range(len(values) + 1))
+    assert splits.nth_hashes(df, F.col("v"), ranks) == [-1, *sorted(values)]
+
+
+def test_rows_of_one_key_stay_together(spark):
+    df = spark.createDataFrame([(k,) for k in [1] * 40 + list(range(2, 62))], "k long")
+    rows = splits.exact_split(df, "k", {"a": 0.5, "b": 0.5}).collect()
+    parts = {}
+    for r in rows:
+        parts.setdefault(r.k, set()).add(r.part)
+    assert all(len(p) == 1 for p in parts.values())
+
+
+def test_lab_filters_reach_the_scan(spark, tmp_path):
+    """The items and the range of admissions are pushed into the parquet scan."""
+    rows = [(i % 5, 100 + i % 50, 50_000 + i % 9, T0 + timedelta(minutes=i), float(i)) for i in range(400)] + [(1, None, 50_001, T0, 1.0)]
+    labs = spark.createDataFrame(rows, "subject_id long, hadm_id long, itemid long, storetime timestamp_ntz, valuenum double")
+    labs.write.parquet(str(tmp_path / "labs"))
+    visits = spark.createDataFrame([(1, 111, 7), (2, 120, 8), (3, None, 9)], "subject_id long, hadm_id long, stay_id long")
+    items = spark.createDataFrame([(50_002,), (50_004,), (50_002,)], "itemid long")
+    found = events.wanted_labs(visits, spark.read.parquet(str(tmp_path / "labs")), items)
+    assert sorted(r.valuenum for r in found.collect()) == [r[4] for r in rows if r[2] in (50_002, 50_004) and r[1] and 111 <= r[1] <= 120]
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = plan[plan.index("PushedFilters") :]
+    assert "In(itemid, [50002,50004])" in pushed and "GreaterThanOrEqual(hadm_id,111)" in pushed and "LessThanOrEqual(hadm_id,120)" in pushed
+    assert events.wanted_labs(visits.filter("hadm_id is null"), labs, items).count() == 0
+    assert events.wanted_labs(visits, labs, items.filter("itemid < 0")).count() == 0
+
+
+def test_drawn_episodes(spark):
+    log = spark.createDataFrame(
+        [(p, s, a, 0.5, p % 2) for p in range(10, 15) for s, a in ((0, 3), (1, 12 + p % 2))],
+        "patient_id long, step int, action int, prob_pos double, label int",
+    )
+    drawn = policy.draw_patients(log, 400, seed=2)
+    per = {r.drawn_from: r.n for r in drawn.groupBy("drawn_from").agg(F.count_distinct("patient_id").alias("n")).collect()}
+    assert sum(per.values()) == 400 and set(per) == set(range(10, 15)) and all(50 < n < 110 for n in per.values())
+    assert drawn.count() == 800
+    assert drawn.exceptAll(policy.draw_patients(log.repartition(5), 400, seed=2)).count() == 0
+    assert policy.draw_patients(log.filter("patient_id < 0"), 10).count() == 0
+
+
+def test_actions_close_along_a_log(spark):
+    log = spark.createDataFrame([(1, 0, 3, 0.1, 0), (1, 1, 3, 0.1, 0), (1, 2, 5, 0.1, 0), (1, 3, 12, 0.1, 0), (2, 0, 4, 0.1, 1)],
+                                "patient_id long, step int, action int, prob_pos double, label int")
+    patients = spark.createDataFrame([(1, [3, 4])], "patient_id long, lab_group_idx array<int>")
+    rows = {(r.patient_id, r.step): r for r in policy.legal_along_log(log, patients).collect()}
+    open_ = lambda p, s: [i for i, ok in enumerate(rows[p, s].legal) if ok]
+    assert [open_(1, s) for s in range(4)] == [[3, 4, 12, 13], [4, 12, 13], [4, 12, 13], [4, 12, 13]]
+    assert [rows[1, s].was_legal for s in range(4)] == [True, False, False, True]
+    assert open_(2, 0) == [12, 13] and rows[2, 0].was_legal is False
+
+
+def test_models_with_a_column_without_values(spark):
+    from wardlake.operators import models
+
+    rows = [(i, float(i % 7) if i % 3 else None, None, "x" if i % 2 else None, i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "k long, a double, b double, c string, y int")
+    model = models.fit_model(df, ["a", "b", "c"], "y", "logistic")
+    got = models.predict(model, df, ["a", "b", "c"], "y", ["k"]).collect()
+    assert sorted(r.k for r in got) == list(range(60)) and all(0 <= r.score <= 1 for r in got)

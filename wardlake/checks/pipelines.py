@@ -36,9 +36,14 @@ _MASTER = {
     "coalesce(ethnicity, usual) AS ethnicity, hadm_id IS NOT NULL AS outcome_hospitalization, "
     "coalesce(dod IS NOT NULL AND dischtime >= dod, FALSE) OR coalesce(intime_icu - outtime <= INTERVAL 12 HOUR, FALSE) AS outcome_critical, "
     "coalesce(next_in - outtime < INTERVAL 3 DAY, FALSE) AS outcome_ed_revisit_3d, "
+    "coalesce(dod IS NOT NULL AND dischtime >= dod, FALSE) AS outcome_inhospital_mortality, "
+    "coalesce(intime_icu - outtime <= INTERVAL 12 HOUR, FALSE) AS outcome_icu_transfer_12h, "
     "round((epoch_us(outtime) - epoch_us(intime)) / 3600000000.0::DOUBLE, 2) AS ed_los_hours, "
+    "round((epoch_us(intime_icu) - epoch_us(outtime)) // 60000000 / 60.0::DOUBLE, 2) AS time_to_icu_transfer_hours, "
+    "sign((epoch_us(next_in) - epoch_us(outtime)) // 60000000) * ((abs((epoch_us(next_in) - epoch_us(outtime)) // 60000000) * 200 + 1440) // 2880)"
+    " / 100.0::DOUBLE AS next_ed_visit_time_diff_days, "
     + ", ".join(COUNTS + CCI_FLAGS + ECI_FLAGS + [f"{c}_last" for c in V])
-    + ", triage_temperature, triage_sbp, triage_pain, triage_acuity, "
+    + ", triage_temperature, triage_heartrate, triage_resprate, triage_o2sat, triage_sbp, triage_dbp, triage_pain, triage_acuity, "
     + ", ".join(f"coalesce(regexp_matches(chiefcomplaint, '(?i){p}'), FALSE) AS {n}" for n, p in COMPLAINTS.items())
     + """, coalesce(n_med, 0) AS n_med, coalesce(n_medrecon, 0) AS n_medrecon
       FROM base b LEFT JOIN best USING (subject_id) JOIN past_ed USING (stay_id) JOIN past_hosp USING (stay_id) JOIN past_icu USING (stay_id)
@@ -47,8 +52,10 @@ _MASTER = {
 _MASTER_NEEDS = ("edstays", "patients", "admissions", "icustays", "triage", "vitalsign", "pyxis", "dated")
 _MASTER_COLUMNS = [
     "stay_id", "subject_id", "age", "gender", "ethnicity", "outcome_hospitalization", "outcome_critical", "outcome_ed_revisit_3d",
-    "ed_los_hours", *COUNTS, *CCI_FLAGS, *ECI_FLAGS, *[f"{c}_last" for c in V], "triage_temperature", "triage_sbp", "triage_pain",
-    "triage_acuity", *COMPLAINTS, "n_med", "n_medrecon",
+    "outcome_inhospital_mortality", "outcome_icu_transfer_12h", "ed_los_hours", "time_to_icu_transfer_hours",
+    "next_ed_visit_time_diff_days", *COUNTS, *CCI_FLAGS, *ECI_FLAGS, *[f"{c}_last" for c in V], "triage_temperature",
+    "triage_heartrate", "triage_resprate", "triage_o2sat", "triage_sbp", "triage_dbp", "triage_pain", "triage_acuity",
+    *COMPLAINTS, "n_med", "n_medrecon",
 ]
 
 
