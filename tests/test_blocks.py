@@ -159,7 +159,8 @@ def test_lab_filters_reach_the_scan(spark, tmp_path):
     found = events.wanted_labs(visits, spark.read.parquet(str(tmp_path / "labs")), items)
     assert sorted(r.valuenum for r in found.collect()) == [r[4] for r in rows if r[2] in (50_002, 50_004) and r[1] and 111 <= r[1] <= 120]
     spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
-    plan = found._jdf.queryExecution().executedPlan().toString()
+    again = events.wanted_labs(visits, spark.read.parquet(str(tmp_path / "labs")), items)
+    plan = again._jdf.queryExecution().executedPlan().toString()
     spark.conf.unset("spark.sql.maxMetadataStringLength")
     pushed = plan[plan.index("PushedFilters") :]
     assert "In(itemid, [50002,50004])" in pushed and "GreaterThanOrEqual(hadm_id,111)" in pushed and "LessThanOrEqual(hadm_id,120)" in pushed
