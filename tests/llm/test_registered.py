@@ -21,7 +21,7 @@ def test_query_matches_sql(spark, sf_dir, name):
 
 
 def test_one_query_per_operator():
-    assert [n for n in range(1, 11) if sum(q.startswith(f"op{n}_") for q in QUERIES) != 1] == []
+    assert [n for n in range(1, 14) if sum(q.startswith(f"op{n}_") for q in QUERIES) != 1] == []
     assert "pipeline" in QUERIES
 
 
