@@ -200,3 +200,21 @@ def test_models_with_a_column_without_values(spark):
     model = models.fit_model(df, ["a", "b", "c"], "y", "logistic")
     got = models.predict(model, df, ["a", "b", "c"], "y", ["k"]).collect()
     assert sorted(r.k for r in got) == list(range(60)) and all(0 <= r.score <= 1 for r in got)
+
+
+def test_bucketed_parts_join_without_a_shuffle(spark, tmp_path):
+    from wardlake.plans import features
+
+    keys = spark.range(200).withColumnRenamed("id", "stay_id")
+    times = {c: F.lit(T0) for c in ("intime", "outtime", "intime_icu", "next_ed_visit_time")}
+    parts = {"stay": keys.withColumns(times), "a": keys.withColumn("x", F.col("stay_id") * 2), "b": keys.filter("stay_id > 5").withColumn("y", F.lit(1))}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = features.join_features(spark, features.write_features(parts, str(tmp_path), 6))
+        rows = {r.stay_id: (r.x, r.y) for r in joined.collect()}
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert rows == {i: (2 * i, 1 if i > 5 else None) for i in range(200)}
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+    assert len(list(tmp_path.glob("a/part-*"))) <= 6

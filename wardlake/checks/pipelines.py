@@ -8,7 +8,7 @@ from ..functions import outcomes
 from ..functions.parse import COMPLAINTS
 from ..operators import codes, joins, models, splits
 from ..operators.comorbidity_groups import CCI_FLAGS, ECI_FLAGS
-from ..plans import master, tasks, training
+from ..plans import features, master, tasks, training
 from ..session import checkpoint_dir, materialize
 from ..sources.sinks import write_code_index, write_parts, write_table
 from ..sources.tables import conform, parse_list_text, read_table
@@ -64,6 +64,15 @@ def master_dataset(d: Derived):
     return master.build_master(d.tables).select(*_MASTER_COLUMNS)
 
 
+@query("master_from_features", with_tables(*_MASTER_NEEDS, extra=_MASTER, body="SELECT * FROM master"))
+def master_from_features(d: Derived):
+    """The same table from narrow parts that are bucketed by stay."""
+    import uuid
+
+    out = f"{checkpoint_dir(d.spark).rstrip('/')}/features-{uuid.uuid4().hex}"
+    return features.build_master_from_features(d.tables, out).select(*_MASTER_COLUMNS)
+
+
 @query("task_cohorts", with_tables(*_MASTER_NEEDS, extra=_MASTER, body=" UNION ALL ".join(
     f"""SELECT '{t.name}' AS task, count(*) FILTER ({t.outcome}) AS n_positive, count(*) FILTER (NOT {t.outcome}) AS n_negative,
       count(*) FILTER ({t.outcome}) / count(*) FILTER (NOT {t.outcome})::DOUBLE AS ratio FROM master

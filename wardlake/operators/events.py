@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clock import HOUR_US, MINUTE_US, micros, time_block
+from ..session import materialize
 from .joins import events_within
 from .prefix import carried, grouped_medians, null_safe
 
@@ -211,14 +212,15 @@ def hourly_series(
         *[edge(c, F.min).alias(f"first_{c}") for c in columns],
         *[edge(c, F.max).alias(f"last_{c}") for c in columns],
     ).withColumn("_step", F.col("step"))
-    lined = carried(
+    # Written once: the leading values and the steps both come from it.
+    lined = materialize(carried(
         per_step,
         [key],
         "step",
         F.shiftright("step", STEP_BITS),
         past=[f"last_{c}" for c in columns],
         following=["_step", *[f"first_{c}" for c in columns]],
-    )
+    ))
     until = F.coalesce(F.col("next__step") - 1, F.col("_most"))
 
     def value(column: str, step: Column, own: bool) -> Column:
