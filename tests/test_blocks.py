@@ -218,3 +218,11 @@ def test_bucketed_parts_join_without_a_shuffle(spark, tmp_path):
     assert rows == {i: (2 * i, 1 if i > 5 else None) for i in range(200)}
     assert "Exchange" not in plan and "SortMergeJoin" in plan
     assert len(list(tmp_path.glob("a/part-*"))) <= 6
+
+
+def test_running_cost_keeps_rows_without_a_place(spark):
+    rows = [(1, 0, 3, 0.1, 0), (1, 1, 12, 0.1, 0), (None, 0, 4, 0.2, 1), (2, None, 5, 0.2, 1)]
+    log = spark.createDataFrame(rows, "patient_id long, step int, action int, prob_pos double, label int")
+    got = {(r.patient_id, r.step): (r.spent is None, r.n_tests) for r in policy.running_cost(log).collect()}
+    assert got == {(1, 0): (False, 1), (1, 1): (False, 1), (None, 0): (True, None), (2, None): (True, None)}
+    assert {r.patient_id for r in policy.budget_stops(log).collect()} == {1}

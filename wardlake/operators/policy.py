@@ -16,7 +16,7 @@ from ..functions.panels import N_PANELS, PANEL_PRICES, POSITIVE
 from ..session import materialize
 from .codes import code_index
 from .metrics import confusion, cumulative, long_scores, ranking_metrics
-from .prefix import running_totals
+from .prefix import null_safe, running_totals
 
 # Budgets of the cost curve.
 BUDGETS = list(range(0, 700, 50))
@@ -36,7 +36,10 @@ def raw_price(action: str = "action") -> Column:
 
 
 def running_cost(log: DataFrame) -> DataFrame:
-    """Adds ``cost``, ``spent`` (list prices up to and with this step) and ``n_tests`` so far."""
+    """Adds ``cost``, ``spent`` (list prices up to and with this step) and ``n_tests`` so far.
+
+    Rows without a patient or a step stay, with NULL totals: they have no place in an episode.
+    """
     priced = log.withColumn("cost", raw_price()).withColumn("n", (F.col("action") < N_PANELS).cast("int"))
     totals = running_totals(
         priced, ["patient_id"], "step", ["cost", "n"], F.shiftright(F.col("step").cast("long"), STEP_BITS)
@@ -47,7 +50,7 @@ def running_cost(log: DataFrame) -> DataFrame:
         (F.col("cost_before") + F.col("cost")).alias("spent"),
         (F.col("n_before") + F.col("n")).alias("n_tests"),
     )
-    return priced.drop("n").join(spent, ["patient_id", "step"])
+    return null_safe(priced.drop("n"), spent, ["patient_id", "step"], "left")
 
 
 def within_budget(log: DataFrame, budgets: Sequence[int] = BUDGETS) -> DataFrame:
@@ -120,8 +123,9 @@ def budget_stops(log: DataFrame, budgets: Sequence[int] = BUDGETS) -> DataFrame:
     """Per patient and budget the step at which the episode ends: a diagnosis, or the first unpaid test.
 
     At an unpaid test the prediction is negative and the probability is the step's own.
+    Rows without a patient or a step belong to no episode.
     """
-    costed = running_cost(until_diagnosis(log))
+    costed = running_cost(until_diagnosis(log.filter(F.col("patient_id").isNotNull() & F.col("step").isNotNull())))
     budget = F.explode(F.array(*[F.lit(b) for b in budgets])).alias("budget")
     is_test = F.col("action") < N_PANELS
     paid = F.col("spent") <= F.col("budget")
