@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,9 +40,19 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_
         first = last
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a worker serves one task after another."""
+    pa.default_memory_pool().release_unused()
+    # Only some C libraries keep freed memory and can be told to let it go.
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def batches(frames: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES):
     for batch in frames:
         yield from text_slices(batch, column, limit)
+    give_back()
 
 
 def column(rows: pa.RecordBatch, name: str) -> pa.Array:
