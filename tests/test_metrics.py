@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 
@@ -71,6 +72,38 @@ def test_bootstrap_draws_cells_as_poisson_counts(spark):
     assert drawn.exceptAll(again).count() == 0
 
 
+def poisson_by_hand(seed, replicate, key):
+    uniform = int(hashlib.md5(f"{seed}:{replicate}:{key}".encode()).hexdigest()[:8], 16) / 2**32
+    count, term = 0, math.exp(-1)
+    share = term
+    while uniform >= share and count < 40:
+        count += 1
+        term /= count
+        share += term
+    return count
+
+
+def test_bootstrap_draws_every_row_by_itself(spark):
+    """Cells of 1, 20 and 300 equal rows: the count of a cell is the sum of its rows' own draws."""
+    rows = [(i, 1.0 if i < 300 else 2.0 if i < 320 else 3.0, i % 2) for i in range(321)]
+    df = spark.createDataFrame(rows, "id long, score double, y int")
+    got = {(r.score, r.positive, r.replicate): r.weight for r in metrics.row_weights(df, ["score"], "y", "id", 7, 10).collect()}
+    want = {}
+    for i, score, y in rows:
+        for rep in range(1, 8):
+            want[score, y, rep] = want.get((score, y, rep), 0) + poisson_by_hand(10, rep, i)
+    assert got == {k: v for k, v in want.items() if v}
+
+
+def test_replicates_are_drawn_by_rows(spark):
+    """Many equal scores: the positives of a replicate are those drawn row by row."""
+    rows = [(i, float(i % 3), int(i % 5 == 0)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, score double, y int")
+    got = {r.replicate: (r.n_positive, r.n_negative) for r in metrics.bootstrap_replicates(df, ["score"], "y", "id", 5, 10).collect()}
+    count = lambda rep, y: sum(poisson_by_hand(10, rep, i) for i, _, label in rows if label == y)
+    assert got == {rep: (count(rep, 1), count(rep, 0)) for rep in range(1, 6)}
+
+
 def test_cells_hold_all_rows(spark):
     rows = [(0, 1.5, 1), (1, 1.5, 1), (2, 1.5, 0), (3, 2.0, 0), (4, None, 1), (5, 2.0, None)]
     df = spark.createDataFrame(rows, "id long, score double, y int")

@@ -129,8 +129,18 @@ _BOOT = {
     "all_runs": "SELECT grp, rep, auroc, ap, tpr AS sensitivity, 1 - fpr AS specificity FROM runs JOIN best USING (grp, rep)",
 }
 
+_WEIGHT_SQL = " + ".join(f"(u >= {edge!r}::DOUBLE)::INTEGER" for edge in metrics.POISSON_ONE)
+#: Every row drawn by itself; only "cells" and what follows is as above.
+_ROW_BOOT = {
+    "drawn": f"""SELECT grp, rep, score, y, {_WEIGHT_SQL} AS w FROM (
+        SELECT *, ('0x' || substr(md5('10:' || rep || ':' || doc_id), 1, 8))::BIGINT::DOUBLE / 4294967296 AS u
+        FROM (SELECT 'length_score' AS grp, doc_id, length_score AS score, quality AS y FROM scored
+              UNION ALL SELECT 'coarse_score', doc_id, coarse_score, quality FROM scored), range(1, {REPLICATES + 1}) r(rep))""",
+    **{k: v for k, v in _BOOT.items() if k not in ("rows_of_cells", "bits", "normal", "drawn")},
+}
+
 
-@query("bootstrap_replicates", with_tables("scored", extra=_BOOT, body="""
+@query("bootstrap_replicates", with_tables("scored", extra=_ROW_BOOT, body="""
     SELECT grp AS "group", rep::INTEGER AS replicate, round(auroc, 10) AS auroc, round(ap, 10) AS ap, sensitivity, specificity FROM all_runs"""))
 def bootstrap_replicates(d: Derived):
     out = metrics.bootstrap_replicates(d.scored, SCORES, "quality", "doc_id", REPLICATES, 10)
@@ -143,7 +153,7 @@ def bootstrap_replicates(d: Derived):
     f"round(quantile_cont({m}, 0.025), 8) AS lower_{m}, round(quantile_cont({m}, 0.975), 8) AS upper_{m}, round(stddev_pop({m}), 8) AS std_{m}"
     for m in metrics.METRICS) + " FROM all_runs GROUP BY grp"))
 def bootstrap_intervals(d: Derived):
-    out = metrics.bootstrap_intervals(d.scored, SCORES, "quality", "doc_id", REPLICATES, 10)
+    out = metrics.bootstrap_intervals(d.scored, SCORES, "quality", "doc_id", REPLICATES, 10, draw="cells")
     return out.select("group", *[F.round(c, 8).alias(c) for c in out.columns if c != "group"])
 
 
