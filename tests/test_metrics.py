@@ -104,6 +104,14 @@ def test_replicates_are_drawn_by_rows(spark):
     assert got == {rep: (count(rep, 1), count(rep, 0)) for rep in range(1, 6)}
 
 
+def test_results_have_intervals_of_row_draws(spark):
+    rows = [(i, float(i % 3), int(i % 5 == 0)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, score double, y int")
+    got = metrics.evaluate_scores(df, ["score"], "y", "id", 6, 10).first()
+    runs = [r.auroc for r in metrics.bootstrap_replicates(df, ["score"], "y", "id", 6, 10, draw="rows").collect()]
+    assert math.isclose(got["std_auroc"], (sum(x * x for x in runs) / 6 - (sum(runs) / 6) ** 2) ** 0.5, rel_tol=1e-6)
+
+
 def test_cells_hold_all_rows(spark):
     rows = [(0, 1.5, 1), (1, 1.5, 1), (2, 1.5, 0), (3, 2.0, 0), (4, None, 1), (5, 2.0, None)]
     df = spark.createDataFrame(rows, "id long, score double, y int")

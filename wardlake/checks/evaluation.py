@@ -163,7 +163,7 @@ def bootstrap_intervals(d: Derived):
         "cells": _CURVE["cells"].replace("FROM long", "FROM b_long"),
         "curve": _CURVE["curve"].replace("FROM cells", "FROM b_cells"),
         "areas": _CURVE["areas"].replace("FROM curve", "FROM b_curve"),
-    }.items()}, **_BOOT}, body="""
+    }.items()}, **_ROW_BOOT}, body="""
     SELECT grp AS "Model", round(auroc, 3)::VARCHAR || ' (' || round(lo, 3)::VARCHAR || '-' || round(hi, 3)::VARCHAR || ')' AS "AUROC",
       round(ap, 3)::VARCHAR || ' (' || round(alo, 3)::VARCHAR || '-' || round(ahi, 3)::VARCHAR || ')' AS "AUPRC"
     FROM b_areas JOIN (SELECT grp, quantile_cont(auroc, 0.025) AS lo, quantile_cont(auroc, 0.975) AS hi,
