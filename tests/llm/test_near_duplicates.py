@@ -176,3 +176,23 @@ def test_slices_longer_than_their_positions(monkeypatch):
     assert (order_minhash.order_sketch(values, first, 12, 2) == sketch).all()
     assert (hashing.anchors(values, 20) == near).all()
     assert len(hashing.anchors(values[:19], 20)) == 0
+
+
+def test_wide_buckets_compare_few_pairs(spark, monkeypatch):
+    """400 pages of one template, none similar to another, with 40 copies of one page: comparisons stay near one a page and round."""
+    rng = random.Random(8)
+    common = [f"menu{i}" for i in range(60)]
+    rows = [(i, " ".join(common + [f"w{rng.randrange(10**9)}" for _ in range(40)])) for i in range(400)]
+    copied = rows[0][1].split()
+    rows += [(1000 + i, " ".join([*copied[:-2], f"x{i}", f"y{i}"])) for i in range(40)]
+    compared = []
+    links = order_minhash._links
+
+    def counted(pairs, sequences, similarity):
+        compared.append(pairs.count())
+        return links(pairs, sequences, similarity)
+
+    monkeypatch.setattr(order_minhash, "_links", counted)
+    found = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {i: 0 if i >= 1000 else i for i, _ in rows}
+    assert sum(compared) < 12 * 440

@@ -12,7 +12,8 @@ of both lengths around the diagonal.
 
 Equal texts are one node. In a bucket every node is compared with three hubs, not with
 every other node: the one that shares most buckets with others, one drawn from all and
-one drawn from outside the bucket's largest class. Nodes that fall into one class are not
+one drawn from outside the bucket's largest class. A bucket of more than ``FREQUENT`` nodes
+has one hub a round and ``WIDE_ROUNDS`` of them, as what few hubs miss there more of them hardly find. Nodes that fall into one class are not
 compared again; nodes that stay apart meet further hubs in later rounds. Buckets of a few
 nodes are so compared in full. Nodes of buckets that hold several classes beside their
 hubs after the last round are finished exactly, nodes of one class never with each other:
@@ -42,6 +43,8 @@ BANDS = 12
 TAKE = 2
 #: Nodes that a shingle may have to be joined by it.
 FREQUENT = 64
+#: Rounds in which a bucket of more nodes has a hub.
+WIDE_ROUNDS = 2
 MOST = U(0xFFFFFFFFFFFFFFFF)
 
 
@@ -248,7 +251,7 @@ def _labels(sequences: DataFrame) -> DataFrame:
 
 
 def _reachable(sequences: DataFrame, left: DataFrame, buckets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs ``(node, hub)`` of ``left (node, label)`` that may reach ``similarity``, of different labels, each once.
+    """Pairs ``(node, hub)`` of ``left (node, label)`` that may reach ``similarity``, of different labels, each once, with these.
 
     Shingles are put in one order, rare ones first. Of two sets of n >= m shingles with a
     Jaccard similarity of at least s, the first ``n - s n + 1`` shingles of the one and
@@ -286,11 +289,12 @@ def _reachable(sequences: DataFrame, left: DataFrame, buckets: DataFrame, simila
     longer = (F.col("n") > F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("node") > F.col("hub")))
     able = longer & (F.col("label") != F.col("hub_label")) & (F.col("m") >= F.col("n") * similarity - 1e-9)
     pairs = placed.filter(F.col("place") < prefix).join(ours, "token").filter(able)
-    pairs = pairs.groupBy("node", "hub", "n", "m").agg(
+    pairs = pairs.groupBy("node", "hub", "label", "hub_label", "n", "m").agg(
         F.count("*").alias("common"), F.max("place").alias("place"), F.max("hub_place").alias("hub_place")
     )
     after = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("hub_place")) - 1
-    some = pairs.filter(F.col("common") + after >= need).select("node", "hub")
+    named = ["node", "hub", "label", "hub_label"]
+    some = pairs.filter(F.col("common") + after >= need).select(*named)
     # Nodes that may reach it by frequent shingles alone, and with whom.
     full = nodes.filter(F.col("frequent") >= F.col("n") * similarity - 1e-9).select("node", "label", "n", "frequent")
     bands = buckets.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("band", "element"))).alias("bands"))
@@ -300,7 +304,7 @@ def _reachable(sequences: DataFrame, left: DataFrame, buckets: DataFrame, simila
     theirs = hub(full, "band", "element", F.col("frequent").alias("hub_frequent"), F.col("bands").alias("hub_bands"))
     first = F.element_at(F.array_intersect("bands", "hub_bands"), 1)["band"] == F.col("band")
     enough = F.least("frequent", "hub_frequent") >= need
-    rest = full.join(theirs, ["band", "element"]).filter(able & enough & first).select("node", "hub")
+    rest = full.join(theirs, ["band", "element"]).filter(able & enough & first).select(*named)
     return some.unionByName(rest).distinct()
 
 
@@ -353,7 +357,7 @@ def near_duplicates(
         )
         by_label = live.groupBy("band", "element", "label").agg(F.count("*").alias("n"))
         bucket = by_label.groupBy("band", "element").agg(
-            F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("most")
+            F.count("*").alias("labels"), F.sum("n").alias("nodes"), F.max(F.struct("n", "label")).alias("most")
         ).filter("labels > 1")
         fresh = live.join(bucket, ["band", "element"])
         if used is not None:
@@ -362,12 +366,22 @@ def near_duplicates(
         # class; draws differ from bucket to bucket, so a node meets many hubs of its group.
         draw = F.struct(F.xxhash64("node", "band", F.lit(turn)).alias("tie"), "node")
         other = F.struct(F.xxhash64("node", "band", F.lit(-1 - turn)).alias("tie"), "node")
-        tops = fresh.groupBy("band", "element").agg(
+        # A wide bucket has one hub a round, in the first rounds: that with most company, then a
+        # drawn one. Where one class has most of it the hub is of that class, so that only nodes
+        # beside it meet it.
+        wide = F.col("nodes") > FREQUENT
+        ruled = wide & (2 * F.col("most.n") > F.col("nodes"))
+        within = F.col("label") == F.col("most.label")
+        tops = fresh.groupBy("band", "element", wide.alias("wide")).agg(
             F.max(F.struct("company", "node")).alias("one"),
-            F.max(F.when(F.col("label") != F.col("most.label"), draw)).alias("two"),
+            F.max(F.when(ruled == within, draw)).alias("two"),
             F.max(other).alias("three"),
         )
         chosen = F.array_distinct(F.array_compact(F.array("one.node", "two.node", "three.node")))
+        if turn < WIDE_ROUNDS:
+            chosen = F.when(F.col("wide"), F.array_compact(F.array("two.node" if turn else "one.node"))).otherwise(chosen)
+        else:
+            tops = tops.filter(~F.col("wide"))
         tops = materialize(tops.select("band", "element", F.explode(chosen).alias("hub")))
         if tops.isEmpty():
             break
@@ -394,9 +408,22 @@ def near_duplicates(
         if met is not None:
             pairs = pairs.join(met, ["node", "hub"], "left_anti")
             pairs = pairs.join(met.select(F.col("hub").alias("node"), F.col("node").alias("hub")), ["node", "hub"], "left_anti")
-        found = materialize(_links(materialize(pairs), sequences, similarity))
+        # Each node first meets one node of every other class; links found there spare it the others.
+        pairs = materialize(pairs.withColumn("tie", F.xxhash64("node", "hub")))
+        first = materialize(pairs.groupBy("node", "hub_label").agg(F.min_by("hub", F.struct("tie", "hub")).alias("hub")))
+        found = materialize(_links(first.select("node", "hub"), sequences, similarity))
         if not found.isEmpty():
             labels = merged(labels, found)
+        rest = pairs.join(first, ["node", "hub_label", "hub"], "left_anti")
+        if labels is not None:
+            root = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"of_{end}"))
+            rest = rest.join(root("label"), "label", "left").join(root("hub_label"), "hub_label", "left")
+            rest = rest.filter(F.coalesce("of_label", "label") != F.coalesce("of_hub_label", "hub_label"))
+        rest = materialize(rest.select("node", "hub"))
+        if not rest.isEmpty():
+            found = materialize(_links(rest, sequences, similarity))
+            if not found.isEmpty():
+                labels = merged(labels, found)
     classes = nodes.select("node", "digest", "least")
     if labels is not None:
         classes = classes.join(labels, "node", "left").withColumn("node", F.coalesce("label", "node"))
