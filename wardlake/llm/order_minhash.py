@@ -405,13 +405,13 @@ def near_duplicates(
     left = materialize(_unmet(buckets, labels, used))
     if not left.isEmpty():
         pairs = _reachable(sequences, left, buckets.select("band", "element", "node"), similarity)
-        if met is not None:
-            pairs = pairs.join(met, ["node", "hub"], "left_anti")
-            pairs = pairs.join(met.select(F.col("hub").alias("node"), F.col("node").alias("hub")), ["node", "hub"], "left_anti")
         # Each node first meets one node of every other class; links found there spare it the others.
         pairs = materialize(pairs.withColumn("tie", F.xxhash64("node", "hub")))
         first = materialize(pairs.groupBy("node", "hub_label").agg(F.min_by("hub", F.struct("tie", "hub")).alias("hub")))
-        found = materialize(_links(first.select("node", "hub"), sequences, similarity))
+        if met is not None:
+            met = met.unionByName(met.select(F.col("hub").alias("node"), F.col("node").alias("hub")))
+        unmet = lambda some: some if met is None else some.join(met, ["node", "hub"], "left_anti")
+        found = materialize(_links(materialize(unmet(first.select("node", "hub"))), sequences, similarity))
         if not found.isEmpty():
             labels = merged(labels, found)
         rest = pairs.join(first, ["node", "hub_label", "hub"], "left_anti")
@@ -419,7 +419,7 @@ def near_duplicates(
             root = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"of_{end}"))
             rest = rest.join(root("label"), "label", "left").join(root("hub_label"), "hub_label", "left")
             rest = rest.filter(F.coalesce("of_label", "label") != F.coalesce("of_hub_label", "hub_label"))
-        rest = materialize(rest.select("node", "hub"))
+        rest = materialize(unmet(rest.select("node", "hub")))
         if not rest.isEmpty():
             found = materialize(_links(rest, sequences, similarity))
             if not found.isEmpty():
