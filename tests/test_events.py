@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 import pandas as pd
 import pytest
 
-from wardlake.operators import events, joins
+from wardlake.operators import events, joins, prefix
 
 T0 = datetime(2020, 1, 1, 10, 7)
 minute = lambda m: T0 + timedelta(minutes=m)
@@ -116,3 +116,21 @@ def test_hourly_series_against_pandas(spark):
 def test_hourly_series_ignores_off_grid_readings(spark):
     df = readings(spark, [(1, 0, 10.0, None), (1, 30.5, 99.0, None), (1, 120, 30.0, None)])
     assert [r["ed_heartrate"] for r in events.hourly_series(df, ["ed_heartrate"]).orderBy("step").collect()] == [10.0, 20.0, 30.0]
+
+
+def test_summaries_deal_readings_once(spark, monkeypatch):
+    """One shuffle, tasks by the number of readings, and the same rows with stays too large for a buffer."""
+    rows = [(s, m, None if m % 5 == s % 5 else float(m * 7 % 11), None if m % 3 else float(m)) for s in range(40) for m in range(s % 7 + 1)]
+    rows += [(99, i // 2, float(i * 31 % 17), float("nan") if i % 2 else None) for i in range(60)] + [(None, 3, 1.0, 2.0), (None, 4, 2.0, None)]
+    df = readings(spark, rows)
+    options = ["first", "last", "max", "min", "mean", "median"]
+    shown = lambda out: sorted(repr(r) for r in out.collect())
+    monkeypatch.setattr(prefix, "TASK_ROWS", 20)
+    once = events.vital_summaries(df, options)
+    assert once.rdd.getNumPartitions() == -(-len(rows) // 20)
+    plan = events.vital_summaries(df, options)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Generate" not in plan
+    want = shown(once)
+    for limit in (0, 1, 7):
+        monkeypatch.setattr(events, "STAY_ROWS", limit)
+        assert shown(events.vital_summaries(df, options)) == want
