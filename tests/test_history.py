@@ -176,3 +176,15 @@ def test_missing_repeated_and_text_keys(spark, strategy, text_keys):
     )
     found = [(r.subject_id, r.stay_id, r.n_ed_2d, r.n_seen_2d, r.next_ed_visit_time, r.outcome_ed_revisit_3d) for r in got.collect()]
     assert sorted(found, key=repr) == brute_history(rows, events, 2, 3)
+
+
+def test_tasks_follow_the_number_of_rows(spark, monkeypatch):
+    """However few shuffle partitions the session has, a task of the time line gets about TASK_ROWS rows."""
+    from wardlake.operators import prefix
+
+    df = visits(spark, [(s, 10 * s + k, k * 3, k * 3 + 1) for s in range(30) for k in range(4)])
+    plain = history.visit_history(df, past_visits={"n": 7}, next_visit=3)
+    monkeypatch.setattr(prefix, "TASK_ROWS", 10)
+    cut = history.visit_history(df, past_visits={"n": 7}, next_visit=3)
+    assert cut.rdd.getNumPartitions() == 12
+    assert sorted(cut.collect()) == sorted(plain.collect())

@@ -18,7 +18,7 @@ from ..functions import outcomes
 from ..functions.parse import complaint_flags
 from ..operators import codes, events, history, joins
 from ..operators.comorbidity_groups import prefix_dimension
-from ..operators.prefix import strategy_for
+from ..operators.prefix import strategy_and_rows
 from .master import LOOKBACKS
 
 
@@ -32,7 +32,7 @@ def feature_parts(
 ) -> dict[str, DataFrame]:
     """Part name -> one row per stay with ``stay_id`` and the part's columns; ``stay`` holds the visits themselves."""
     visits = tables["edstays"]
-    strategy = strategy_for(strategy, "subject_id", *[tables[t] for t in ("edstays", "admissions", "icustays")])
+    strategy, rows = strategy_and_rows(strategy, "subject_id", *[tables[t] for t in ("edstays", "admissions", "icustays")])
     stay = joins.with_admissions(joins.with_patients(visits, tables["patients"]), tables["admissions"])
     stay = outcomes.add_ed_los(outcomes.add_inhospital_mortality(outcomes.add_age(stay)))
     stay = outcomes.add_hospitalization(history.transfer_outcome(stay, tables["icustays"], icu_hours))
@@ -47,6 +47,7 @@ def feature_parts(
         },
         next_visit=revisit_days,
         strategy=strategy,
+        rows=rows,
     ).drop("subject_id", "intime", "outtime")
 
     dimension = prefix_dimension(visits.sparkSession) if dimension is None else dimension
