@@ -134,3 +134,16 @@ def test_summaries_deal_readings_once(spark, monkeypatch):
     for limit in (0, 1, 7):
         monkeypatch.setattr(events, "STAY_ROWS", limit)
         assert shown(events.vital_summaries(df, options)) == want
+
+
+def test_series_deals_readings_once(spark, monkeypatch):
+    """One shuffle, tasks by the number of readings, and the same steps by blocks."""
+    rows = [(s, m * (31 + s), None if m % 3 == 0 else float(m), float(s) if m % 4 == 1 else None) for s in range(30) for m in range(s % 6 + 1)]
+    df = readings(spark, [*rows, (None, 0, 1.0, 1.0)])
+    series = lambda: events.hourly_series(df, ["ed_heartrate", "ed_pain"])
+    monkeypatch.setattr(prefix, "TASK_ROWS", 10)
+    once = series()
+    plan = series()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and once.rdd.getNumPartitions() == -(-len(rows) // 10)
+    monkeypatch.setattr(events, "STAY_ROWS", 0)
+    assert sorted(map(repr, once.collect())) == sorted(map(repr, series().collect()))
