@@ -147,3 +147,17 @@ def test_series_deals_readings_once(spark, monkeypatch):
     assert plan.count("Exchange") == 1 and once.rdd.getNumPartitions() == -(-len(rows) // 10)
     monkeypatch.setattr(events, "STAY_ROWS", 0)
     assert sorted(map(repr, once.collect())) == sorted(map(repr, series().collect()))
+
+
+def test_interval_join_moves_rows_once(spark, monkeypatch):
+    """Keys with few pairs are joined as a whole, with the rows of the join by blocks."""
+    spans = spark.createDataFrame([(k % 9, k, minute(k * 700), minute(k * 700 + 4000)) for k in range(20)], "g long, k long, a timestamp_ntz, z timestamp_ntz")
+    points = spark.createDataFrame([(m % 9 or None, m, minute(m * 331)) for m in range(90)], "g long, m long, t timestamp_ntz")
+    join = lambda: joins.events_within(spans, points, ["g"], "a", "z", "t")
+    plain = join()
+    assert "Generate" not in plain._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(joins, "KEY_PAIRS", 1)
+    blocks = join()
+    assert "Generate" in blocks._jdf.queryExecution().executedPlan().toString()
+    assert plain.columns == blocks.columns and plain.count() > 0
+    assert sorted(map(repr, plain.collect())) == sorted(map(repr, blocks.collect()))
