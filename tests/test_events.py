@@ -161,3 +161,14 @@ def test_interval_join_moves_rows_once(spark, monkeypatch):
     assert "Generate" in blocks._jdf.queryExecution().executedPlan().toString()
     assert plain.columns == blocks.columns and plain.count() > 0
     assert sorted(map(repr, plain.collect())) == sorted(map(repr, blocks.collect()))
+
+
+def test_last_vitals_of_stays_are_dealt_once(spark, monkeypatch):
+    """Tasks of the last readings follow their number, also where the session has few shuffle partitions."""
+    rows = [(s, m, float(m), None if m == 2 else float(s)) for s in range(30) for m in range(3)]
+    monkeypatch.setattr(prefix, "TASK_ROWS", 9)
+    assert events.vital_summaries(readings(spark, rows), ["last"]).rdd.getNumPartitions() == 10
+    visits = spark.createDataFrame([(1, s) for s in range(31)], "subject_id long, stay_id long")
+    out = events.merge_vital_summaries(visits, readings(spark, rows), ["last"]).collect()
+    got = {r.stay_id: (r.ed_heartrate_last, r.ed_pain_last) for r in out}
+    assert got == {s: (2.0, float(s)) if s < 30 else (None, None) for s in range(31)}
