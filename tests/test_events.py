@@ -172,3 +172,12 @@ def test_last_vitals_of_stays_are_dealt_once(spark, monkeypatch):
     out = events.merge_vital_summaries(visits, readings(spark, rows), ["last"]).collect()
     got = {r.stay_id: (r.ed_heartrate_last, r.ed_pain_last) for r in out}
     assert got == {s: (2.0, float(s)) if s < 30 else (None, None) for s in range(31)}
+
+
+def test_last_readings_need_no_sort(spark):
+    """Buffers of ``first`` and ``last`` hold plain numbers, so the aggregation is hashed; the greatest of one instant is last."""
+    rows = [(s, m // 2, float(m), None if m == 3 else float(m)) for s in range(5) for m in range(4)]
+    out = events.vital_summaries(readings(spark, rows), ["first", "last"])
+    assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r.ed_heartrate_first, r.ed_heartrate_last, r.ed_pain_first, r.ed_pain_last) for r in out.collect()}
+    assert got == {(0.0, 3.0, 0.0, 2.0)}
