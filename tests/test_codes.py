@@ -123,3 +123,52 @@ def test_atc_levels(spark):
     rows = {(r["atc_id"], r["level"]): (r["code"], r["description"]) for r in codes.atc_classes(df, atc).collect()}
     assert rows[("c07ab02", 5)] == ("C07AB02", "metoprolol") and rows[("c07ab02", 3)] == ("C07A", None)
     assert rows[("C07", 5)] == (None, None) and rows[("C07", 2)] == ("C07", "beta")
+
+
+def test_events_of_a_lookback_are_shuffled_once(spark):
+    visits = spark.createDataFrame([(1, 1, day(10))], "subject_id long, stay_id long, intime timestamp_ntz")
+    events = spark.createDataFrame([(1, "a", day(9))], "subject_id long, flag string, t timestamp_ntz")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = codes.recent_facts(visits, events, ["flag"], "t", 5)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # One for the events and one for the visits.
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_code_lists_are_looked_up_without_a_shuffle(spark, monkeypatch):
+    rng = random.Random(5)
+    stays = [(rng.randint(1, 6), k, day(rng.randint(0, 3000))) for k in range(60)] + [(None, 60, day(1)), (1, 61, None), (1, None, day(2900))]
+    names = ["I10", "I1", 'a"b', "x,y", "é\U0001f600", "E11", "Z", None]
+    seen = [(rng.randint(1, 6), rng.choice(names), rng.choice([9, 10]), day(rng.randint(0, 3000))) for _ in range(150)]
+    seen += [(1, "never", 9, None), (99, "other", 10, day(1))]
+    visits = spark.createDataFrame(stays, "subject_id long, stay_id long, intime timestamp_ntz")
+    dated = spark.createDataFrame(seen, "subject_id long, icd_code string, icd_version int, dischtime timestamp_ntz")
+    to9, to10 = {"I10": "4019", "E11": "25000"}, {"Z": "I10"}
+    maps = {
+        "10to9": spark.createDataFrame(list(to9.items()), "source_code string, target_code string"),
+        "9to10": spark.createDataFrame(list(to10.items()), "source_code string, target_code string"),
+    }
+    wanted = {
+        "v9": lambda c, v: to9.get(c, c) if v == 10 else c,
+        "v9_3digit": lambda c, v: to9.get(c, c)[:3] if v == 10 else c,
+        "v10": lambda c, v: to10.get(c, c) if v == 9 else c,
+    }
+    recent = lambda s, k, t: [
+        (c, v) for e, c, v, u in seen if None not in (s, k, t, c, u) and e == s and u < t <= u + timedelta(days=codes.LOOKBACK_DAYS)
+    ]
+    for rows in (codes.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(codes, "BROADCAST_ROWS", rows)
+        for variant, (got, index) in codes.lookback_lists(visits, dated, maps, list(wanted)).items():
+            expected = {k: sorted({wanted[variant](c, v) for c, v in recent(s, k, t)}) for s, k, t in stays}
+            number = {c: i for i, c in enumerate(sorted({c for found in expected.values() for c in found}))}
+            assert {r["code"]: r["code_idx"] for r in index.collect()} == number
+            lists = [(r["stay_id"], r["icd_list"], r["icd_encoded_list"]) for r in got.collect()]
+            assert len(lists) == len(stays)
+            assert {k: (c, i) for k, c, i in lists} == {k: (c, [number[x] for x in c]) for k, c in expected.items()}
+            if rows:
+                plan = got._jdf.queryExecution()
+                assert "Exchange" not in plan.executedPlan().toString()
+                assert "from_json" not in plan.optimizedPlan().toString()
