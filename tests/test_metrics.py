@@ -6,7 +6,7 @@ import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
-from wardlake.operators import metrics, splits
+from wardlake.operators import metrics, models, splits
 
 
 def scored(spark, rows):
@@ -172,3 +172,24 @@ def test_nan_scores_are_refused(spark):
     df = spark.createDataFrame([(1, float("nan"), 1), (2, 0.5, 0)], "id long, score double, label int")
     with pytest.raises(Exception, match="is NaN"):
         metrics.long_scores(df, ["score"], "label").collect()
+
+
+def test_parts_are_written_once_for_all_reads(spark):
+    df = spark.range(200).selectExpr("id", "id % 7 AS x")
+    plain, written = splits.split_parts(df, "id"), splits.split_parts(df, "id", written=True)
+    for name in plain:
+        assert sorted(written[name].collect()) == sorted(plain[name].collect())
+        assert "md5" not in written[name]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_code_lists_as_features(spark):
+    lists = [["b", "a"], ["a"], ["c", "a"], None, [], ["c"], ["e", "d"]] * 4
+    df = spark.createDataFrame([(float(i % 5), c, i % 2) for i, c in enumerate(lists)], "x double, codes array<string>, y int")
+    # The most frequent code first, equals in code order, none cut.
+    assert models.code_vocabulary(df, "codes") == ["a", "c", "b", "d", "e"]
+    df = df.filter("codes IS NOT NULL")
+    model = models.fit_model(df, ["x"], "y", "logistic", code_list="codes")
+    features = [r["features"].toArray().tolist() for r in model.transform(models.prepare(df, ["x"], "y")).collect()]
+    assert sorted(f[1:] for f in features) == sorted([float(v in c) for v in "acbde"] for c in lists if c is not None)
+    empty = df.withColumn("codes", F.array().cast("array<string>"))
+    assert models.predict(models.fit_model(empty, ["x"], "y", "logistic", code_list="codes"), empty, ["x"], "y", ["x"]).count() == df.count()
