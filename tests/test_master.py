@@ -1,8 +1,11 @@
 """The master table by key and step by step."""
 
+import re
+
 from pyspark.sql import functions as F
+from wardlake import session
 from wardlake.checks.derived import Derived
-from wardlake.operators import history
+from wardlake.operators import events, history, prefix
 from wardlake.plans import master
 
 
@@ -25,3 +28,35 @@ def test_fill_along_equals_the_join(spark):
     filled = {r.stay_id: r.ethnicity for r in history.fill_from_subject(visits, "ethnicity", along=True).collect()}
     assert filled == {r.stay_id: r.ethnicity for r in history.fill_from_subject(visits, "ethnicity").collect()}
     assert (filled[3], filled[7], filled[8], filled[10]) == ("b", "b", None, None)
+
+
+def exchanged(df, *keys):
+    """Deals of the plan by all of ``keys``, in their order."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return re.findall(rf"Exchange hashpartitioning\({', '.join(rf'{k}#\d+L?' for k in keys)}, \d+\)", plan)
+
+
+def test_written_rows_are_dealt_by_subject_once(spark, sf_dir, monkeypatch):
+    """A wide row goes to its subject and stays there: no deal by admission or stay follows."""
+    tables = Derived(spark, sf_dir).tables
+    monkeypatch.setattr(prefix, "LEAST_ROWS", 100)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with session.planned_with(spark, session.STAY_PUT):
+            table = master.build_master(tables, strategy="window")
+            assert not exchanged(table, "subject_id", "stay_id")
+            # Bits of an admission are put together before they are dealt by subject.
+            assert len(exchanged(table, "subject_id", "hadm_id")) == 1
+        written = master.written_master(tables, strategy="window")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    steps = master.build_master(tables, strategy="blocks")
+    assert written.columns == steps.columns
+    assert written.exceptAll(steps).isEmpty() and steps.exceptAll(written).isEmpty()
+
+
+def test_a_subject_with_many_readings_is_summed_up_by_stay(spark, sf_dir, monkeypatch):
+    tables = Derived(spark, sf_dir).tables
+    monkeypatch.setattr(events, "STAY_ROWS", 3)
+    assert master.build_master(tables, strategy="window").exceptAll(master.build_master(tables, strategy="blocks")).isEmpty()
