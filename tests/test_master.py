@@ -1,11 +1,12 @@
 """The master table by key and step by step."""
 
 import re
+import time
 
 from pyspark.sql import functions as F
 from wardlake import session
 from wardlake.checks.derived import Derived
-from wardlake.operators import events, history, prefix
+from wardlake.operators import events, history, joins, prefix
 from wardlake.plans import master
 
 
@@ -60,3 +61,19 @@ def test_a_subject_with_many_readings_is_summed_up_by_stay(spark, sf_dir, monkey
     tables = Derived(spark, sf_dir).tables
     monkeypatch.setattr(events, "STAY_ROWS", 3)
     assert master.build_master(tables, strategy="window").exceptAll(master.build_master(tables, strategy="blocks")).isEmpty()
+
+
+def test_writing_leaves_no_shuffle_files_and_no_settings(spark):
+    """The shuffle files of a written frame and of counting jobs go when these end."""
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in manager.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    start = files()
+    rows = spark.range(0, 1000, 1, 4).selectExpr("id % 10 AS k", "id AS v")
+    session.materialize(rows.groupBy("k").sum("v"))
+    assert prefix.group_sizes(rows, ["k"]) == (100, 1000)
+    assert joins._few_pairs(rows.filter("v < 20"), rows.filter("v < 50"), ["k"])
+    until = time.time() + 20
+    while files() - start and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - start
+    assert spark.conf.get(next(iter(session.RELEASE)), "false") == "false"

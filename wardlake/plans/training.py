@@ -11,7 +11,7 @@ from ..functions import outcomes, scores, text, vitals
 from ..functions.panels import LAB_LABELS, PANELS, panel_feature_numbers
 from ..operators import events, joins, splits
 from ..operators.comorbidity_groups import CCI_FLAGS
-from ..session import materialize
+from ..session import STAY_PUT, materialize
 from .tasks import EXTRA_ECI, HISTORY, TRIAGE
 
 RECORD = [
@@ -59,7 +59,7 @@ def lab_master(
     """
     pivot = events.lab_pivot(single, items, labels)
     rows = joins.keep_right(outcomes.hospitalized(master), pivot, events.STAY_KEYS)
-    cleaned = materialize(clean_cohort(rows))
+    cleaned = materialize(clean_cohort(rows), STAY_PUT)
     columns = vitals.family_columns(cleaned, skip=("acuity",))
     if fit_on == "all":
         base = cleaned
