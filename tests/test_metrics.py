@@ -193,3 +193,35 @@ def test_code_lists_as_features(spark):
     assert sorted(f[1:] for f in features) == sorted([float(v in c) for v in "acbde"] for c in lists if c is not None)
     empty = df.withColumn("codes", F.array().cast("array<string>"))
     assert models.predict(models.fit_model(empty, ["x"], "y", "logistic", code_list="codes"), empty, ["x"], "y", ["x"]).count() == df.count()
+
+
+def test_a_logistic_fit_keeps_no_rows_beside_its_blocks(spark, tmp_path, monkeypatch):
+    """The rows are not kept by the fit, and a task reads about ``TASK_ROWS`` of them with unchanged settings after."""
+    path, usual = str(tmp_path / "rows"), spark.conf.get(models.READ_BYTES)
+    made = spark.range(0, 4000, 1, 8).selectExpr("id", "cast(id % 7 as double) AS x", "array(cast(id % 5 as string)) AS codes", "id % 3 = 0 AS y")
+    made.write.parquet(path)
+    spark.conf.set(models.READ_BYTES, "64m")
+    seen, fitted = [], models.classifier
+    whole = models.fit_model(spark.read.parquet(path), ["x"], "y", "logistic", code_list="codes", positive_weight=2.0)
+
+    def watched(*given, **params):
+        estimator = fitted(*given, **params)
+        fit = estimator.fit
+
+        def watch(rows):
+            seen.append((rows.storageLevel.useMemory, given[2], int(spark.conf.get(models.READ_BYTES))))
+            return fit(rows)
+
+        estimator.fit = watch
+        return estimator
+
+    monkeypatch.setattr(models, "classifier", watched)
+    monkeypatch.setattr(models, "TASK_ROWS", 100)
+    try:
+        model = models.fit_model(spark.read.parquet(path), ["x"], "y", "logistic", code_list="codes", positive_weight=2.0)
+        assert spark.conf.get(models.READ_BYTES) == "64m"
+    finally:
+        spark.conf.set(models.READ_BYTES, usual)
+    (kept, weight, reads), = seen
+    assert not kept and weight == 1334 * 2 + 2666 and reads < 64 << 20
+    assert all(abs(a - b) < 1e-9 for a, b in zip(model.stages[-1].coefficients, whole.stages[-1].coefficients))
