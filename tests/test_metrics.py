@@ -6,7 +6,11 @@ import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
+from wardlake.checks import load_queries
 from wardlake.operators import metrics, models, splits
+from wardlake.plans import master, tasks
+
+QUERIES, _ = load_queries()
 
 
 def scored(spark, rows):
@@ -225,3 +229,16 @@ def test_a_logistic_fit_keeps_no_rows_beside_its_blocks(spark, tmp_path, monkeyp
     (kept, weight, reads), = seen
     assert not kept and weight == 1334 * 2 + 2666 and reads < 64 << 20
     assert all(abs(a - b) < 1e-9 for a, b in zip(model.stages[-1].coefficients, whole.stages[-1].coefficients))
+
+
+def test_task_models_are_fitted_to_the_end(spark, sf_dir, monkeypatch):
+    """The four fits have the classifier's own number of iterations."""
+    rows = [(i, i % 3 == 0, float(i % 7)) for i in range(200)]
+    table = spark.createDataFrame(rows, "stay_id long, y boolean, x double")
+    tasks_made = {n: tasks.Task(n, "y", ["x"]) for n in ("a", "b", "c", "d")}
+    made, fit = [], models.fit_model
+    monkeypatch.setattr(master, "written_master", lambda tables: table)
+    monkeypatch.setattr(tasks, "TASKS", tasks_made)
+    monkeypatch.setattr(models, "fit_model", lambda *a, **k: made.append(fit(*a, **k)) or made[-1])
+    QUERIES["task_models"](spark, sf_dir).collect()
+    assert [m.stages[-1].getMaxIter() for m in made] == [models.classifier("logistic", 1, 1.0).getMaxIter()] * 4
